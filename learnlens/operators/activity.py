@@ -27,7 +27,7 @@ from learnlens.schema import (
 
 OVERALL = "overall"
 ATTRIBUTES = ["learner_id", "tenant_name", "school", "grade", "operation", "qset_grade"]
-DAY = F.col("activity_date")
+DAY = "activity_date"
 
 
 def _attributes(attempts: DataFrame) -> list[str]:
@@ -67,16 +67,16 @@ def activity_daily(attempts: DataFrame) -> DataFrame:
 # --- buckets ---------------------------------------------------------------------------------------
 
 
-def overall(df: DataFrame, period: Period = Period(), day: str = "activity_date") -> DataFrame:
+def overall(df: DataFrame, period: Period = Period(), day: str = DAY) -> DataFrame:
     return df.where(period.closed(F.col(day))).withColumn("bucket", F.lit(OVERALL))
 
 
-def weekly(df: DataFrame, period: Period = Period(), day: str = "activity_date") -> DataFrame:
+def weekly(df: DataFrame, period: Period = Period(), day: str = DAY) -> DataFrame:
     return df.where(period.open_ended(F.col(day))).withColumn("bucket", week_label(F.col(day)))
 
 
 def overall_and_weekly(
-    df: DataFrame, period: Period = Period(), day: str = "activity_date"
+    df: DataFrame, period: Period = Period(), day: str = DAY
 ) -> DataFrame:
     """Each row once for the overall bucket and once for its week, as far as the two rules admit it."""
     date = F.col(day)
@@ -142,7 +142,7 @@ def on_operation_domain(by_operation: DataFrame) -> DataFrame:
 
 def learners_before(activity: DataFrame, period: Period) -> DataFrame:
     """Learners active before the period, whatever their school, grade, operation or tenant."""
-    return activity.where(period.before(DAY)).select("learner_id").distinct()
+    return activity.where(period.before(F.col(DAY))).select("learner_id").distinct()
 
 
 def new_learners(
@@ -157,8 +157,8 @@ def new_learners(
     counts once for each operation they worked on in their first week (an unknown operation is one more);
     ``distinct_learners=True`` counts each once.
     """
-    in_period = selected.where(period.open_ended(DAY)).where(F.col("learner_id").isNotNull())
-    weeks = in_period.groupBy("learner_id", week_start(DAY).alias("week")).agg(
+    in_period = selected.where(period.open_ended(F.col(DAY))).where(F.col("learner_id").isNotNull())
+    weeks = in_period.groupBy("learner_id", week_start(F.col(DAY)).alias("week")).agg(
         (
             F.count_distinct("operation")
             + F.max(F.col("operation").isNull().cast("int"))

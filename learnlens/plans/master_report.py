@@ -92,7 +92,7 @@ def _cells(df: DataFrame, metric: str, value: Column, sub: Column | None = None)
 
 def _median_cells(daily: DataFrame, chosen: DataFrame, selection: Selection, period: Period, as_of):
     """All medians of the report, ranked together."""
-    of_weeks = chosen.where(period.open_ended(act.DAY)).withColumn("bucket", F.lit(act.OVERALL))
+    of_weeks = chosen.where(period.open_ended(F.col(act.DAY))).withColumn("bucket", F.lit(act.OVERALL))
     work = act.learner_work(act.weekly(chosen, period).unionByName(of_weeks))
     accuracy = act.learner_accuracy(act.overall_and_weekly(chosen, period))
 

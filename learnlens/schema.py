@@ -55,8 +55,17 @@ GRADE_RANK = {grade: rank for rank, grade in GRADE_BY_ID.items()}
 OPERATION_RANK = {operation: rank for rank, operation in enumerate(OPERATIONS)}
 
 
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "double": T.DoubleType(),
+    "timestamp_ntz": T.TimestampNTZType(),
+}
+
+
+def _struct(columns: str) -> T.StructType:
+    pairs = (column.split() for column in columns.split(","))
+    return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in pairs])
 
 
 SOURCE_SCHEMAS = {
