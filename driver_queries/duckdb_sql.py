@@ -429,7 +429,7 @@ ORACLES: dict[str, str] = {
     "dim_values_repositories": distinct_values("repo_name", REPOSITORIES),
     # filters and projections
     "filtered_attempts": f"""{A} SELECT learner_id, question_id, {ts('updated_at')} AS updated_at FROM a WHERE school = 'NATION_7'
-  AND grade = 'class-two' AND operation = 'Addition' AND tenant_name = 'REGION_2'""",
+  AND grade = 'class-two' AND operation = 'Addition' AND tenant_name = 'ASIA'""",
     "date_range_overall": f"""{A} SELECT learner_id, question_id, {ts('updated_at')} AS updated_at FROM a
   WHERE d >= DATE '2024-01-10' AND d <= DATE '2024-01-23'""",
     "date_range_weekly": f"""{A} SELECT learner_id, question_id, {ts('updated_at')} AS updated_at FROM a

@@ -264,7 +264,7 @@ QUERIES: dict[str, Query] = {
     "dim_values_repositories": dim_values(extracts.repositories, "repo_name"),
     # filters and projections
     "filtered_attempts": lambda spark, sf: keys_of(
-        Selection("NATION_7", "class-two", "Addition", "REGION_2").apply(attempts(spark, sf))
+        Selection("NATION_7", "class-two", "Addition", "ASIA").apply(attempts(spark, sf))
     ),
     "date_range_overall": lambda spark, sf: keys_of(
         core(spark, sf).where(SOME_DAYS.closed(F.to_date("updated_at")))
