@@ -394,6 +394,7 @@ ORACLES: dict[str, str] = {
   'repo-' || (b % 3) AS repo_name_identifier, CASE WHEN operation IS NOT NULL THEN 'l1-' || event_type END AS l1_skill_identifier,
   'l2-' || (b // 5) AS l2_skill_identifier, CASE WHEN b < 24 THEN 'l3-' || b END AS l3_skill_identifier, sequence, status FROM a""",
     "attempts_enriched": f"{A} SELECT {FACT_COLUMNS} FROM a",
+    "attempt_fact": f"{A} SELECT {FACT_COLUMNS} FROM a",
     "last_question": f"{EV}, {LAST} SELECT * FROM last",
     "dim_learners": f"""WITH {LEARNERS} SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS identifier, 'user' || c_custkey AS user_name,
   c_name AS name, school FROM lr""",

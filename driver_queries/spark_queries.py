@@ -88,7 +88,7 @@ def tables(spark: SparkSession, sf: str):
 
 
 def results(spark: SparkSession, sf: str) -> DataFrame:
-    return extracts.set_results(binding.result_tables(spark, sf))
+    return binding.set_results(spark, sf)
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -233,7 +233,10 @@ def dim_values(extract, column: str, kind: str | None = None) -> Query:
 QUERIES: dict[str, Query] = {
     # sources
     "attempts_flat": of_tables(extracts.attempts_flat),
-    "attempts_enriched": of_tables(extracts.attempts),
+    "attempts_enriched": lambda spark, sf: extracts.enrich(
+        extracts.attempts_flat(tables(spark, sf)), tables(spark, sf)
+    ),
+    "attempt_fact": of_tables(extracts.attempts),
     "last_question": of_tables(extracts.last_questions),
     "dim_learners": of_tables(extracts.all_learners),
     "dim_grades": of_tables(extracts.grades),
@@ -248,7 +251,7 @@ QUERIES: dict[str, Query] = {
     "question_set_ids": of_tables(extracts.question_set_ids),
     "question_set_ids_of_repository": of_tables(extracts.question_set_ids, repository="Repo-1"),
     "question_level": of_tables(extracts.question_level),
-    "set_results": results,
+    "set_results": lambda spark, sf: extracts.set_results(binding.result_tables(spark, sf)),
     "incremental_refresh": refreshed,
     "streaming_refresh": streamed,
     "data_bounds": lambda spark, sf: snapshots.data_bounds(core(spark, sf)),

@@ -18,6 +18,10 @@ def _same(left: str, right: str, columns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, pairs)
 
 
+def _quoted(columns: Sequence[str]) -> list[str]:
+    return [f"`{c}`" for c in columns]
+
+
 def spread(
     df: DataFrame,
     keys: Sequence[str],
@@ -33,49 +37,50 @@ def spread(
     The output columns of measure ``m`` are ``m_count``, ``m_mean`` and ``m_median``.
     """
     group = [*keys, "_measure"]
-    carried = ["_n", "_valid", "_sum", *[f"_t_{t}" for t in tallies]]
-
-    long = df.select(
-        *keys,
-        (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_w"),
-        *[F.col(t).cast("bigint").alias(f"_t_{t}") for t in tallies],
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("_measure"),
-                        F.lit(float(width)).alias("_width"),
-                        F.col(name).cast("double").alias("_value"),
-                    )
-                    for name, width in measures.items()
-                ]
-            )
-        ).alias("_m"),
-    ).select(*keys, "_w", *[f"_t_{t}" for t in tallies], "_m.*")
+    summed = ["_n", "_valid", "_sum", *[f"_t_{t}" for t in tallies]]
 
+    stacked = ", ".join(
+        f"named_struct('_measure', '{name}', '_width', {float(width)}D, '_value', cast(`{name}` as double))"
+        for name, width in measures.items()
+    )
+    carried = [f"cast(`{t}` as bigint) as _t_{t}" for t in tallies]
+    number = f"cast(`{weight}` as bigint)" if weight else "1L"
     counts = (
-        long.groupBy(*group, "_width", "_value")
+        df.selectExpr(*_quoted(keys), f"{number} as _w", *carried, f"inline(array({stacked}))")
+        .groupBy(*group, "_width", "_value")
         .agg(
-            F.sum("_w").alias("_n"),
-            F.sum(F.when(F.col("_value").isNotNull(), F.col("_w")).otherwise(0)).alias("_valid"),
-            F.sum((F.col("_value") * F.col("_w")).cast("decimal(20,10)")).alias("_sum"),
-            *[F.sum(f"_t_{t}").alias(f"_t_{t}") for t in tallies],
+            F.expr("sum(_w) as _n"),
+            F.expr("sum(if(_value is null, 0L, _w)) as _valid"),
+            F.expr("sum(cast(_value * _w as decimal(20, 10))) as _sum"),
+            *[F.expr(f"sum(_t_{t}) as _t_{t}") for t in tallies],
         )
-        .withColumn("_bin", F.floor(F.col("_value") / F.col("_width")))
+        .withColumn("_bin", F.expr("floor(_value / _width)"))
     )
+    # Both uses of the counts below need all their columns, whatever the caller reads of the result, so that
+    # Spark runs them as one shuffle and what lies before it once. The condition names every column and holds.
+    whole = ["_n >= _valid", "(_sum is not null or _valid = 0)"]
+    whole += [f"(_t_{t} is null or _t_{t} >= 0)" for t in tallies]
+    counts = counts.where(" and ".join(whole))
 
     by_group = Window.partitionBy(*group)
     upto_bin = by_group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    middle = "_upto >= _low and _upto - _valid < _high"
     middle_bins = (
         counts.groupBy(*group, "_bin")
-        .agg(*[F.sum(c).alias(c) for c in carried])
-        .withColumn("_upto", F.sum("_valid").over(upto_bin))
-        .withColumns({f"_all{c}": F.sum(c).over(by_group) for c in carried})
-        .withColumn("_low", F.floor((F.col("_all_valid") + 1) / 2))
-        .withColumn("_high", F.floor((F.col("_all_valid") + 2) / 2))
-        .where((F.col("_upto") >= F.col("_low")) & (F.col("_upto") - F.col("_valid") < F.col("_high")))
-        .withColumn("_before", F.col("_upto") - F.col("_valid"))
-        .drop("_upto", *carried)
+        .agg(*[F.sum(c).alias(c) for c in summed])
+        .select(
+            "*",
+            F.sum("_valid").over(upto_bin).alias("_upto"),
+            *[F.sum(c).over(by_group).alias(f"_all{c}") for c in summed],
+        )
+        .selectExpr(
+            "*",
+            "floor((_all_valid + 1) / 2) as _low",
+            "floor((_all_valid + 2) / 2) as _high",
+            "_upto - _valid as _before",
+        )
+        .where(middle)
+        .drop("_upto", *summed)
     )
 
     within_bin = (
@@ -83,52 +88,39 @@ def spread(
         .orderBy("_value")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    totals = [f"_all{c}" for c in carried]
-    # Both uses of ``counts`` need all its columns, so that Spark runs them as one shuffle and what lies
-    # before it is computed once. The conditions name the otherwise unused ones; they always hold.
-    whole = (F.col("_n") >= F.col("_valid")) & (F.col("_sum").isNotNull() | (F.col("_valid") == 0))
-    for tally in tallies:
-        whole = whole & (F.col(f"_t_{tally}").isNull() | (F.col(f"_t_{tally}") >= 0))
+    totals = [f"_all{c}" for c in summed]
     summary = (
-        counts.where(whole)
-        .alias("c")
+        counts.alias("c")
         .join(middle_bins.alias("b"), _same("c", "b", [*group, "_bin"]))
         .select("c.*", "b._before", "b._low", "b._high", *[f"b.{t}" for t in totals])
         .withColumn("_upto", F.col("_before") + F.sum("_valid").over(within_bin))
-        .where((F.col("_upto") >= F.col("_low")) & (F.col("_upto") - F.col("_valid") < F.col("_high")))
+        .where(middle)
         .groupBy(*group)
         .agg(
-            ((F.min("_value") + F.max("_value")) / 2).alias("_median"),
+            F.expr("(min(_value) + max(_value)) / 2 as _median"),
             *[F.max(t).alias(t) for t in totals],
         )
     )
 
     first = next(iter(measures))
-
-    def of(measure: str, column: Column | str) -> Column:
-        return F.max(F.when(F.col("_measure") == measure, column))
-
-    mean = F.try_divide(F.col("_all_sum").cast("double"), F.col("_all_valid").cast("double"))
-    per_measure = [
-        expr
-        for name in measures
-        for expr in (
-            of(name, F.col("_all_valid")).alias(f"{name}_count"),
-            of(name, mean).alias(f"{name}_mean"),
-            of(name, F.col("_median")).alias(f"{name}_median"),
-        )
-    ]
+    mean = "try_divide(cast(_all_sum as double), cast(_all_valid as double))"
     if len(measures) == 1:
-        return summary.select(
-            *keys,
-            F.col("_all_n").alias("rows"),
-            *[F.col(f"_all_t_{t}").alias(t) for t in tallies],
-            F.col("_all_valid").alias(f"{first}_count"),
-            mean.alias(f"{first}_mean"),
-            F.col("_median").alias(f"{first}_median"),
+        return summary.selectExpr(
+            *_quoted(keys),
+            "_all_n as rows",
+            *[f"_all_t_{t} as `{t}`" for t in tallies],
+            f"_all_valid as `{first}_count`",
+            f"{mean} as `{first}_mean`",
+            f"_median as `{first}_median`",
         )
+
+    def of(measure: str, value: str, name: str) -> Column:
+        return F.expr(f"max(if(_measure = '{measure}', {value}, null)) as `{name}`")
+
     return summary.groupBy(*keys).agg(
-        of(first, F.col("_all_n")).alias("rows"),
-        *[of(first, F.col(f"_all_t_{t}")).alias(t) for t in tallies],
-        *per_measure,
+        of(first, "_all_n", "rows"),
+        *[of(first, f"_all_t_{t}", t) for t in tallies],
+        *[of(m, "_all_valid", f"{m}_count") for m in measures],
+        *[of(m, mean, f"{m}_mean") for m in measures],
+        *[of(m, "_median", f"{m}_median") for m in measures],
     )

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from itertools import chain
 
 from pyspark.sql import Column, functions as F
 
 from learnlens.schema import GRADE_BY_ID, GRADE_RANK, OPERATION_RANK
 
 
+def _literal(value: str | int) -> str:
+    return str(value) if isinstance(value, int) else "'" + value.replace("'", "\\'") + "'"
+
+
 def lookup(mapping: Mapping, key: Column) -> Column:
     """Value of ``key`` in a small constant dictionary, null where it is missing."""
-    pairs = chain.from_iterable(mapping.items())
-    return F.create_map(*[F.lit(item) for item in pairs])[key]
+    items = ", ".join(_literal(item) for pair in mapping.items() for item in pair)
+    return F.expr(f"map({items})")[key]
 
 
 def grade_label(grade_id: Column) -> Column:

@@ -38,11 +38,26 @@ PART_OPERATION = {
     "STANDARD": "Division",
 }
 LEARNERS_PER_DEVICE = 8
+DRIVER_TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int,"
+    " p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+    " l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string,"
+    " l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double,"
+    " props string",
+}
 # ---------------------------------------------------------------------------
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; its layout is declared, so no job runs to infer it."""
+    return spark.read.schema(DRIVER_TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _events(spark: SparkSession, sf_dir: str, shared_devices: bool) -> DataFrame:
@@ -372,3 +387,26 @@ def result_tables(spark: SparkSession, sf_dir: str) -> Tables:
         ),
     }
     return Tables(made)
+
+
+def set_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of completed journeys, as the extract makes them from :func:`result_tables`."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_discount")
+    finished = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey")
+    sets = table(spark, sf_dir, "part").select(
+        "p_partkey",
+        "p_name",
+        lookup(PART_OPERATION, F.col("p_type")).alias("operation"),
+        lookup(GRADE_BY_ID, _part_grade()).alias("qset_grade"),
+    )
+    return (
+        lines.join(finished, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(sets, F.col("l_partkey") == F.col("p_partkey"), "left")
+        .select(
+            "operation",
+            "qset_grade",
+            F.col("l_partkey").cast("string").alias("question_set_id"),
+            F.col("p_name").alias("qset_name"),
+            (F.col("l_discount") * 10).alias("score"),
+        )
+    )

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -97,9 +98,15 @@ class SnapshotStore:
     # -- writing ------------------------------------------------------------------------------------
 
     def refresh_dimensions(self, tables: extracts.Tables, sync: int) -> None:
-        for name, extract in DIMENSIONS.items():
+        """Write the small tables; the writes do not depend on each other and run side by side."""
+
+        def write(item: tuple[str, Callable[[extracts.Tables], DataFrame]]) -> None:
+            name, extract = item
             extract(tables).write.mode("overwrite").parquet(f"{self.root}/dims/sync={sync}/{name}")
 
+        with ThreadPoolExecutor(len(DIMENSIONS)) as pool:
+            list(pool.map(write, DIMENSIONS.items()))
+
     def refresh(self, tables: extracts.Tables, now: dt.datetime, load: Load = extracts.attempts) -> Row:
         """One sync: replace the small tables, add the attempts updated since the last sync.
 
