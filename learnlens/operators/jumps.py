@@ -31,21 +31,24 @@ def adjust_daily(days: DataFrame, tie_break: list[str], cap_seconds: int = DAY_C
     the time before it and the first task keeps its uncapped time; other days keep the capped times. Tasks
     are ordered by first attempt, equal ones by ``tie_break``.
     """
-    day = Window.partitionBy("learner_id", "activity_date")
-    ordered = day.orderBy("first_at", *tie_break)
+    ordered = Window.partitionBy("learner_id", "activity_date").orderBy("first_at", *tie_break)
+    # The sum needs no order, but sharing it lets one sort serve both windows.
+    whole_day = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
         days.withColumn("_capped", F.least("seconds", F.lit(float(cap_seconds))))
-        .withColumn("_total", F.sum(F.col("_capped").cast("decimal(18,6)")).over(day))
+        .select(
+            "*",
+            F.sum(F.col("_capped").cast("decimal(18,6)")).over(whole_day).alias("_total"),
+            F.lag("_capped").over(ordered).alias("_before"),
+        )
         .withColumn(
             "time_spent",
             F.when(
                 F.col("_total") > cap_seconds,
-                F.coalesce(
-                    F.abs(F.col("_capped") - F.lag("_capped").over(ordered)), F.col("seconds")
-                ),
+                F.coalesce(F.abs(F.col("_capped") - F.col("_before")), F.col("seconds")),
             ).otherwise(F.col("_capped")),
         )
-        .drop("_capped", "_total")
+        .drop("_capped", "_total", "_before")
     )
 
 
@@ -82,8 +85,11 @@ def _jumps(totals: DataFrame, within: list[str], order: list[str], step: str) ->
     """Steps that follow another one of the same learner, with the time the previous step took."""
     before = Window.partitionBy(*within).orderBy(*order)
     return (
-        totals.withColumn("step", F.lag(step).over(before))
-        .withColumn("_previous", F.lag("total_time").over(before))
+        totals.select(
+            "*",
+            F.lag(step).over(before).alias("step"),
+            F.lag("total_time").over(before).alias("_previous"),
+        )
         .where(F.col("_previous").isNotNull())
         .select(
             "learner_id",

@@ -7,13 +7,14 @@ the tables used is kept. Customers in debt have no school and no tenant, which s
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from learnlens.functions.values import json_text, lookup
 from learnlens.schema import COMPLETED, DIAGNOSTIC, GRADE_BY_ID, LOGIN_EVENT, NO_SCHOOL
 from learnlens.sources.readers import Tables
+from learnlens.sources.scratch import written
 
 # ---------------------------------------------------------------------------
 # How names in the driver tables map to the model.
@@ -64,16 +65,17 @@ def _events(spark: SparkSession, sf_dir: str, shared_devices: bool) -> DataFrame
     """Events with the item number ``k``, its set number ``b`` and the learner.
 
     On shared devices eight neighbouring users count as one learner, which makes busy learner-days; the number
-    of learners still grows with the number of users.
+    of learners still grows with the number of users. Every attempt has a question, so a missing item number or
+    type becomes one of its own.
     """
     user = F.col("user_id")
     if shared_devices:
         user = F.floor(user / LEARNERS_PER_DEVICE).cast("bigint")
-    k = json_text("props", "k").cast("int")
+    k = F.coalesce(json_text("props", "k").cast("int"), F.lit(-1))
     return table(spark, sf_dir, "events").select(
         "event_id",
         "ts",
-        "event_type",
+        F.coalesce("event_type", F.lit("unknown")).alias("event_type"),
         "value",
         user.alias("learner"),
         k.alias("k"),
@@ -182,8 +184,19 @@ def _named(text: Column | str) -> Column:
 def source_tables(
     spark: SparkSession, sf_dir: str, shared_devices: bool = False
 ) -> Tables:
-    """The normalised source tables, JSON documents included, for attempts, logins and journeys."""
+    """The normalised source tables, JSON documents included, for attempts, logins and journeys.
+
+    The catalogue of questions is taken from the events once and stored; sets, skills and so on derive from it.
+    """
     events = _events(spark, sf_dir, shared_devices)
+
+    @cache
+    def questions() -> DataFrame:
+        return written(events.select("event_type", "k", "b").distinct(), "catalogue")
+
+    def sets() -> DataFrame:
+        return questions().select("event_type", "b").distinct()
+
     customer = table(spark, sf_dir, "customer")
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
@@ -208,8 +221,6 @@ def source_tables(
         F.array(F.struct(F.concat(F.lit("l3-"), F.col("b").cast("string")).alias("identifier"))),
     ).alias("l3_skill")
 
-    sets = events.select("event_type", "b").distinct()
-    questions = events.select("event_type", "b", "k").distinct()
     segments = customer.select(
         lookup(SEGMENT_GRADE, F.col("c_mktsegment")).alias("grade_number")
     ).distinct()
@@ -218,17 +229,17 @@ def source_tables(
     def skills() -> DataFrame:
         n, m = F.floor(F.col("b") / 5).cast("string"), F.col("b").cast("string")
         levels = [
-            sets.select(
+            sets().select(
                 F.concat(F.lit("l1-"), "event_type").alias("identifier"),
                 operation.alias("skill"),
                 F.lit("l1_skill").alias("type"),
             ).where("skill is not null"),
-            sets.select(
+            sets().select(
                 F.concat(F.lit("l2-"), n).alias("identifier"),
                 F.concat(F.lit("L2-"), n).alias("skill"),
                 F.lit("l2_skill").alias("type"),
             ),
-            sets.where("b < 24").select(
+            sets().where("b < 24").select(
                 F.concat(F.lit("l3-"), m).alias("identifier"),
                 F.concat(F.lit("L3-"), m).alias("skill"),
                 F.lit("l3_skill").alias("type"),
@@ -246,7 +257,7 @@ def source_tables(
             _score().alias("score"),
             F.to_json(F.struct(class_doc, l1_doc)).alias("taxonomy"),
         ),
-        "question_set": lambda: sets.select(
+        "question_set": lambda: sets().select(
             _set_id().alias("identifier"),
             _named(F.concat(F.lit("Set "), "event_type", F.lit(" "), F.col("b").cast("string"))).alias(
                 "title"
@@ -261,12 +272,12 @@ def source_tables(
             F.to_json(F.struct(class_doc, l1_doc, l2_doc, l3_doc)).alias("taxonomy"),
             (F.col("b") % 5 + 1).alias("sequence"),
         ),
-        "question_set_question_mapping": lambda: questions.select(
+        "question_set_question_mapping": lambda: questions().select(
             _question_id().alias("question_id"),
             _set_id().alias("question_set_id"),
             (F.col("k") % 4 + 1).alias("sequence"),
         ),
-        "question": lambda: questions.select(
+        "question": lambda: questions().select(
             _question_id().alias("identifier"),
             F.concat(F.lit("QU-"), "event_type", F.lit("-"), F.col("k").cast("string")).alias("x_id"),
         ),
@@ -305,7 +316,7 @@ def source_tables(
             F.col("r_regionkey").alias("id"),
             _named("r_name").alias("name"),
         ),
-        "repository": lambda: sets.select((F.col("b") % 3).cast("string").alias("n")).distinct().select(
+        "repository": lambda: sets().select((F.col("b") % 3).cast("string").alias("n")).distinct().select(
             F.concat(F.lit("repo-"), "n").alias("identifier"),
             _named(F.concat(F.lit("Repo-"), "n")).alias("name"),
         ),
