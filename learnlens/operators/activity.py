@@ -10,7 +10,7 @@ put rows into buckets under the date rule that belongs to each; the result has o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from learnlens.functions.calendar import seconds_between, week_label, week_start
 from learnlens.functions.spread import spread
@@ -157,25 +157,27 @@ def new_learners(
     counts once for each operation they worked on in their first week (an unknown operation is one more);
     ``distinct_learners=True`` counts each once.
     """
-    in_period = selected.where(period.open_ended(F.col(DAY))).where(F.col("learner_id").isNotNull())
-    weeks = in_period.groupBy("learner_id", week_start(F.col(DAY)).alias("week")).agg(
-        (
-            F.count_distinct("operation")
-            + F.max(F.col("operation").isNull().cast("int"))
-        ).alias("operations")
-    )
-    firsts = weeks.groupBy("learner_id").agg(
-        F.min("week").alias("week"), F.min_by("operations", "week").alias("operations")
+    weeks = (
+        selected.where(period.open_ended(F.col(DAY)))
+        .where(F.col("learner_id").isNotNull())
+        .groupBy("learner_id", week_start(F.col(DAY)).alias("week"))
+        .agg(
+            (F.count_distinct("operation") + F.max(F.col("operation").isNull().cast("int"))).alias(
+                "operations"
+            )
+        )
     )
+    # A learner has one row per week, so this window stays small however many attempts they made.
+    first = F.min("week").over(Window.partitionBy("learner_id"))
+    flagged = weeks.withColumn("new", F.col("week") == first)
     if period.start:
-        firsts = firsts.join(learners_before(everything, period), "learner_id", "left_anti")
-    counted = F.count(F.lit(1)) if distinct_learners else F.sum("operations")
-    new = firsts.groupBy("week").agg(counted.cast("bigint").alias("learners"))
-    # Weeks of the period without a new learner show 0.
-    active = weeks.select("week").distinct()
-    return active.join(new, "week", "left").select(
-        week_label(F.col("week")).alias("bucket"),
-        F.coalesce("learners", F.lit(0).cast("bigint")).alias("learners"),
+        known = learners_before(everything, period).withColumn("known", F.lit(True))
+        flagged = flagged.join(known, "learner_id", "left").withColumn(
+            "new", F.col("new") & F.col("known").isNull()
+        )
+    counted = F.lit(1) if distinct_learners else F.col("operations")
+    return flagged.groupBy(week_label(F.col("week")).alias("bucket")).agg(
+        F.sum(F.when(F.col("new"), counted).otherwise(0)).cast("bigint").alias("learners")
     )
 
 

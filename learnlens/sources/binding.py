@@ -71,15 +71,19 @@ def _events(spark: SparkSession, sf_dir: str, shared_devices: bool) -> DataFrame
     user = F.col("user_id")
     if shared_devices:
         user = F.floor(user / LEARNERS_PER_DEVICE).cast("bigint")
-    k = F.coalesce(json_text("props", "k").cast("int"), F.lit(-1))
-    return table(spark, sf_dir, "events").select(
-        "event_id",
-        "ts",
-        F.coalesce("event_type", F.lit("unknown")).alias("event_type"),
-        "value",
-        user.alias("learner"),
-        k.alias("k"),
-        F.floor(k / 4).cast("int").alias("b"),
+    item = F.expr("coalesce(cast(get_json_object(props, '$.k') as int), -1)")
+    # Inlining the item keeps filters on what derives from it above the parse, which then runs once a row.
+    return (
+        table(spark, sf_dir, "events")
+        .select(
+            "event_id",
+            "ts",
+            F.expr("coalesce(event_type, 'unknown') as event_type"),
+            "value",
+            user.alias("learner"),
+            F.inline(F.array(F.struct(item.alias("k")))),
+        )
+        .withColumn("b", F.expr("cast(floor(k / 4) as int)"))
     )
 
 
