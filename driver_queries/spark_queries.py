@@ -20,7 +20,7 @@ from learnlens.operators.joins import decode_lookup
 from learnlens.plans import master_report, reports
 from learnlens.schema import OPERATIONS
 from learnlens.sources import binding, extracts, snapshots
-from learnlens.sources.scratch import new_path
+from learnlens.sources.scratch import new_path, written
 from learnlens.streaming.refresh import refresh_on_arrival
 
 AS_OF = dt.date(2024, 1, 30)
@@ -153,10 +153,12 @@ def unadjusted_and_adjusted(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def last_questions(spark: SparkSession, sf: str) -> DataFrame:
+    return written(extracts.last_questions(tables(spark, sf)), "last-questions")
+
+
 def ladder(spark: SparkSession, sf: str) -> DataFrame:
-    return progression.grade_ladder(
-        attempts(spark, sf), extracts.last_questions(tables(spark, sf))
-    )
+    return progression.grade_ladder(attempts(spark, sf), last_questions(spark, sf))
 
 
 def current(spark: SparkSession, sf: str) -> DataFrame:
@@ -304,7 +306,7 @@ QUERIES: dict[str, Query] = {
         "l3_skill",
     ),
     "last_question_reached": lambda spark, sf: progression.mark_last_question(
-        core(spark, sf), extracts.last_questions(tables(spark, sf))
+        core(spark, sf), last_questions(spark, sf)
     ).select("learner_id", "question_id", "question_set_id", "updated_at", "is_found"),
     "pivot_weekly": lambda spark, sf: reshape.pivot_buckets(
         act.unique_learners(act.weekly(core_rows(spark, sf))), WEEKS, "learners"

@@ -200,21 +200,32 @@ def question_times(question_level: DataFrame) -> DataFrame:
 def question_performance(timed: DataFrame) -> DataFrame:
     """Learners, median and mean score and mean time of each question.
 
-    Scores are 0 or 1, so the median of a question looks at two distinct values at most.
+    Attempts are reduced to counts per learner and score, then per score. A score is a small whole number, so
+    the median of a question looks at a handful of distinct values however many learners answered it.
     """
-    learners = without_null_keys(timed, QUESTION)
-    per_learner = learners.groupBy(*QUESTION, "learner_id", "score").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum(F.col("question_time_taken").cast("decimal(18,6)")).alias("_seconds"),
+    per_learner = (
+        without_null_keys(timed, QUESTION)
+        .groupBy(*QUESTION, "learner_id", "score")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(F.col("question_time_taken").cast("decimal(18,6)")).alias("seconds"),
+        )
+    )
+    once = Window.partitionBy(*QUESTION, "learner_id").orderBy("score")
+    counted = (F.row_number().over(once) == 1) & F.col("learner_id").isNotNull()
+    per_score = (
+        per_learner.withColumn("learners", counted.cast("bigint"))
+        .groupBy(*QUESTION, "score")
+        .agg(*[F.sum(c).alias(c) for c in ("n", "seconds", "learners")])
     )
-    return per_learner.groupBy(*QUESTION).agg(
-        F.count_distinct("learner_id").alias("learners_count"),
-        F.percentile("score", 0.5, F.col("_n")).alias("median_accuracy"),
+    scored = F.when(F.col("score").isNotNull(), F.col("n"))
+    return per_score.groupBy(*QUESTION).agg(
+        F.sum("learners").alias("learners_count"),
+        F.percentile("score", 0.5, F.col("n")).alias("median_accuracy"),
         F.try_divide(
-            F.sum(F.col("score") * F.col("_n")).cast("double"),
-            F.sum(F.when(F.col("score").isNotNull(), F.col("_n"))).cast("double"),
+            F.sum(F.col("score") * F.col("n")).cast("double"), F.sum(scored).cast("double")
         ).alias("average_accuracy"),
-        round_even(F.sum("_seconds").cast("double") / F.sum("_n").cast("double"), 3).alias(
+        round_even(F.sum("seconds").cast("double") / F.sum("n").cast("double"), 3).alias(
             "average_time_taken"
         ),
     )

@@ -16,7 +16,8 @@ CURRENT_GRADES = [*GRADES, TARGET_ACHIEVED]
 def mark_last_question(attempts: DataFrame, last_questions: DataFrame) -> DataFrame:
     """Attempts with ``is_found``: whether the question is the last one of its operation and grade.
 
-    The last questions number at most operations times grades, so the join does not grow with the data.
+    There is one last question per operation and grade. Pass them stored, so that Spark knows how small they are
+    and leaves the attempts where they lie.
     """
     last = last_questions.select(*LAST_QUESTION_KEYS).distinct().withColumn("_found", F.lit(True))
     return attempts.join(last, LAST_QUESTION_KEYS, "left").withColumn(

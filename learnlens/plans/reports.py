@@ -32,7 +32,9 @@ def grade_performance_report(
 def learner_progress_report(
     attempts: DataFrame, last_questions: DataFrame, school: str | None = None
 ) -> DataFrame:
-    ladder = progression.grade_ladder(attempts, last_questions, school)
+    """Where learners stand, by operation, starting and target grade."""
+    stored = written(last_questions, "last-questions")
+    ladder = progression.grade_ladder(attempts, stored, school)
     return progression.progress_report(
         progression.progress_matrix(progression.current_grades(ladder))
     )

@@ -16,6 +16,7 @@ from learnlens.functions.calendar import instant
 from learnlens.functions.values import grade_label, json_text
 from learnlens.operators.joins import decode_lookup
 from learnlens.schema import ATTEMPTS, COMPLETED, LOGIN_EVENT, NO_SCHOOL
+from learnlens.sources.scratch import written
 
 Tables = Mapping[str, DataFrame]
 
@@ -344,7 +345,9 @@ def enrich(flat: DataFrame, tables: Tables) -> DataFrame:
 def attempts(tables: Tables, since: dt.datetime | None = None) -> DataFrame:
     """The attempt fact all metrics read: the rows of ``enrich(attempts_flat(tables))``.
 
-    Names are decoded on the question sets, which are few, so that the fact is joined five times and not nine.
+    Names are decoded on the question sets, so that the fact is joined five times and not nine. The decoded sets
+    and the learner profiles are stored first: Spark then knows their true size and broadcasts one that is small,
+    instead of shuffling the fact because the size of a chain of joins is unknown.
     """
     facts = tables["question_attempts"]
     if since is not None:
@@ -357,6 +360,8 @@ def attempts(tables: Tables, since: dt.datetime | None = None) -> DataFrame:
     sets = decode_lookup(
         sets, repositories(tables), "repo_name_identifier", "identifier", "repo_name", "repo_name"
     )
+    sets = written(sets, "question-sets")
+    profiles = written(learner_profiles(tables), "learner-profiles")
     operations = skill.where("type = 'l1_skill'")
     decoded = decode_lookup(
         _with_codes(facts), operations, "operation_identifier", "identifier", "skill", "operation"
@@ -366,7 +371,7 @@ def attempts(tables: Tables, since: dt.datetime | None = None) -> DataFrame:
     )
     return (
         decoded.join(sets, "question_set_id", "left")
-        .join(learner_profiles(tables), "learner_id", "left")
+        .join(profiles, "learner_id", "left")
         .join(tables["learner_journey"], ["question_set_id", "learner_id"], "left")
         .withColumns(
             {
