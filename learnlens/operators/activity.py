@@ -87,16 +87,20 @@ def overall_and_weekly(
     return df.withColumn("bucket", F.explode(F.array_compact(buckets)))
 
 
-def at_least_overall(metric: DataFrame, default: Column | float | int | None = 0) -> DataFrame:
-    """Make sure the overall bucket is there, with ``default`` where no row fell into it."""
-    wanted = metric.sparkSession.range(1).select(F.lit(OVERALL).alias("bucket"))
-    values = [c for c in metric.columns if c != "bucket"]
-    filled = wanted.join(metric, "bucket", "left")
-    if default is None:
-        return filled
-    return filled.select(
-        "bucket",
-        *[F.coalesce(F.col(c), F.lit(default).cast(metric.schema[c].dataType)).alias(c) for c in values],
+def at_least_overall(metric: DataFrame, default: float | int | None = 0) -> DataFrame:
+    """Make sure the overall bucket is there, with ``default`` where no row fell into it or none counted."""
+    values = [f for f in metric.schema.fields if f.name != "bucket"]
+    blank = metric.sparkSession.range(1).select(
+        F.lit(OVERALL).alias("bucket"),
+        *[F.lit(default).cast(f.dataType).alias(f.name) for f in values],
+        F.lit(0).alias("_found"),
+    )
+    filled = metric.withColumn("_found", F.lit(1)).unionByName(blank)
+    return filled.groupBy("bucket").agg(
+        *[
+            F.coalesce(F.max_by(f.name, "_found"), F.lit(default).cast(f.dataType)).alias(f.name)
+            for f in values
+        ]
     )
 
 

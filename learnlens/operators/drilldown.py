@@ -47,14 +47,23 @@ def learner_list(
     ).apply(rows)
     rows = in_list(rows, "purpose", purposes)
 
+    # The first step reduces the attempts and only counts and adds, which Spark does without sorting them.
+    group = ["learner_id", "learner_username", "grade", "qset_grade"]
     per_grade = (
-        without_null_keys(rows, ["learner_id", "learner_username", "grade", "qset_grade"])
-        .groupBy("learner_id", "learner_username", "grade", "qset_grade")
+        without_null_keys(rows, group)
+        .groupBy(*group, "learner_name")
         .agg(
             F.count("attempts_count").alias("attempted"),
-            percentage(F.sum("score"), F.count("score")).alias("accuracy"),
+            F.sum("score").alias("score"),
+            F.count("score").alias("scored"),
             F.max("updated_at").alias("latest_at"),
-            F.max_by("learner_name", "updated_at").alias("learner_name"),
+        )
+        .groupBy(*group)
+        .agg(
+            F.sum("attempted").alias("attempted"),
+            percentage(F.sum("score"), F.sum("scored")).alias("accuracy"),
+            F.max_by("learner_name", "latest_at").alias("learner_name"),
+            F.max("latest_at").alias("latest_at"),
         )
     )
 
@@ -105,12 +114,20 @@ def learner_detail(
         ["question_id", "question_set_id"],
         "left",
     )
-    wrong = F.array_sort(F.collect_set(F.when(F.col("score") == 0, F.col("sequence"))))
-    days = placed.groupBy(*keys, F.to_date("updated_at").alias("day")).agg(
+    # Counted per position first, so that only positions, and not attempts, are gathered into lists.
+    by_position = placed.groupBy(*keys, F.to_date("updated_at").alias("day"), "sequence").agg(
         F.count("attempts_count").alias("attempted"),
         F.sum("score").alias("score"),
         F.min("updated_at").alias("first_at"),
         F.max("updated_at").alias("last_at"),
+        F.max((F.col("score") == 0).cast("int")).alias("missed"),
+    )
+    wrong = F.array_sort(F.collect_list(F.when(F.col("missed") == 1, F.col("sequence"))))
+    days = by_position.groupBy(*keys, "day").agg(
+        F.sum("attempted").alias("attempted"),
+        F.sum("score").alias("score"),
+        F.min("first_at").alias("first_at"),
+        F.max("last_at").alias("last_at"),
         F.array_join(wrong.cast("array<string>"), ",").alias("wrong"),
     )
     seconds = F.least(
