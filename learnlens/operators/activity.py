@@ -5,11 +5,15 @@ or one row per learner, day and attribute combination (:func:`activity_daily`, a
 report of many metrics shares). Counts, sums, minima and maxima combine, so both give the same figures.
 
 A metric is defined once per *bucket*. :func:`overall`, :func:`weekly` and :func:`overall_and_weekly`
-put rows into buckets under the date rule that belongs to each; the result has one row per bucket.
+put rows into buckets under the date rule that belongs to each; the result has one row per bucket. Until the
+result, a bucket is the Monday of its week (a fixed early date for the overall one): days group far faster
+than texts, and only the few result rows get their name.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from learnlens.functions.calendar import seconds_between, week_label, week_start
@@ -26,6 +30,7 @@ from learnlens.schema import (
 )
 
 OVERALL = "overall"
+OVERALL_DATE = dt.date(1900, 1, 1)
 ATTRIBUTES = ["learner_id", "tenant_name", "school", "grade", "operation", "qset_grade"]
 DAY = "activity_date"
 
@@ -68,25 +73,30 @@ def activity_daily(attempts: DataFrame) -> DataFrame:
 
 
 def overall(df: DataFrame, period: Period = Period(), day: str = DAY) -> DataFrame:
-    return df.where(period.closed(F.col(day))).withColumn("bucket", F.lit(OVERALL))
+    return df.where(period.closed(F.col(day))).withColumn("bucket", F.lit(OVERALL_DATE))
 
 
 def weekly(df: DataFrame, period: Period = Period(), day: str = DAY) -> DataFrame:
-    return df.where(period.open_ended(F.col(day))).withColumn("bucket", week_label(F.col(day)))
+    return df.where(period.open_ended(F.col(day))).withColumn("bucket", week_start(F.col(day)))
 
 
-def overall_and_weekly(
-    df: DataFrame, period: Period = Period(), day: str = DAY
-) -> DataFrame:
+def overall_and_weekly(df: DataFrame, period: Period = Period(), day: str = DAY) -> DataFrame:
     """Each row once for the overall bucket and once for its week, as far as the two rules admit it."""
     date = F.col(day)
     buckets = F.array(
-        F.when(period.closed(date), F.lit(OVERALL)),
-        F.when(period.open_ended(date), week_label(date)),
+        F.when(period.closed(date), F.lit(OVERALL_DATE)),
+        F.when(period.open_ended(date), week_start(date)),
     )
     return df.withColumn("bucket", F.explode(F.array_compact(buckets)))
 
 
+def named_buckets(metric: DataFrame) -> DataFrame:
+    """Replace the date of each bucket by its name."""
+    bucket = F.col("bucket")
+    name = F.when(bucket == F.lit(OVERALL_DATE), F.lit(OVERALL)).otherwise(week_label(bucket))
+    return metric.withColumn("bucket", name)
+
+
 def at_least_overall(metric: DataFrame, default: float | int | None = 0) -> DataFrame:
     """Make sure the overall bucket is there, with ``default`` where no row fell into it or none counted."""
     values = [f for f in metric.schema.fields if f.name != "bucket"]
@@ -108,11 +118,13 @@ def at_least_overall(metric: DataFrame, default: float | int | None = 0) -> Data
 
 
 def unique_learners(bucketed: DataFrame) -> DataFrame:
-    return bucketed.groupBy("bucket").agg(F.count_distinct("learner_id").alias("learners"))
+    return named_buckets(
+        bucketed.groupBy("bucket").agg(F.count_distinct("learner_id").alias("learners"))
+    )
 
 
 def unique_learners_by_operation(bucketed: DataFrame) -> DataFrame:
-    return (
+    return named_buckets(
         without_null_keys(bucketed, ["operation"])
         .groupBy("bucket", "operation")
         .agg(F.count_distinct("learner_id").alias("learners"))
@@ -128,7 +140,7 @@ def unique_learners_with_operations(bucketed: DataFrame) -> DataFrame:
             "operation"
         ),
     )
-    return (
+    return named_buckets(
         rollup.groupBy("bucket", "operation")
         .agg(F.count_distinct("learner_id").alias("learners"))
         .withColumn("operation", F.nullif("operation", F.lit("*")))
@@ -180,8 +192,10 @@ def new_learners(
             "new", F.col("new") & F.col("known").isNull()
         )
     counted = F.lit(1) if distinct_learners else F.col("operations")
-    return flagged.groupBy(week_label(F.col("week")).alias("bucket")).agg(
-        F.sum(F.when(F.col("new"), counted).otherwise(0)).cast("bigint").alias("learners")
+    return named_buckets(
+        flagged.groupBy(F.col("week").alias("bucket")).agg(
+            F.sum(F.when(F.col("new"), counted).otherwise(0)).cast("bigint").alias("learners")
+        )
     )
 
 
@@ -201,7 +215,7 @@ def login_days(logins: DataFrame) -> DataFrame:
 
 def logged_in(bucketed: DataFrame) -> DataFrame:
     """Learner-days with a login: a learner counts once per day, not once per bucket."""
-    return (
+    return named_buckets(
         bucketed.select("bucket", "learner_id", "activity_date")
         .distinct()
         .groupBy("bucket")
@@ -216,8 +230,10 @@ def sessions(bucketed: DataFrame, min_learners: int = SESSION_MIN_LEARNERS) -> D
         .groupBy("bucket", "activity_date", "school", "grade")
         .agg(F.count_distinct("learner_id").alias("learners"))
     )
-    return class_days.groupBy("bucket").agg(
-        F.sum((F.col("learners") >= min_learners).cast("bigint")).alias("sessions")
+    return named_buckets(
+        class_days.groupBy("bucket").agg(
+            F.sum((F.col("learners") >= min_learners).cast("bigint")).alias("sessions")
+        )
     )
 
 
@@ -229,19 +245,21 @@ def work_summary(bucketed: DataFrame) -> DataFrame:
 
     Work is the number of attempt records overall, and of those with an attempts count per week.
     """
-    counted = F.when(F.col("bucket") == OVERALL, F.col("rows")).otherwise(F.col("work"))
+    counted = F.when(F.col("bucket") == F.lit(OVERALL_DATE), F.col("rows")).otherwise(F.col("work"))
     per_learner = bucketed.groupBy("bucket", "learner_id").agg(F.sum(counted).alias("work"))
     learners = F.count("learner_id").cast("double")
-    return per_learner.groupBy("bucket").agg(
-        F.sum("work").alias("work_done"),
-        F.floor(F.try_divide(F.sum("work").cast("double"), learners)).alias("work_per_learner"),
+    return named_buckets(
+        per_learner.groupBy("bucket").agg(
+            F.sum("work").alias("work_done"),
+            F.floor(F.try_divide(F.sum("work").cast("double"), learners)).alias("work_per_learner"),
+        )
     )
 
 
 def work_done(bucketed: DataFrame) -> DataFrame:
     """Attempt records overall; per week the records that have an attempts count."""
-    counted = F.when(F.col("bucket") == OVERALL, F.col("rows")).otherwise(F.col("work"))
-    return bucketed.groupBy("bucket").agg(F.sum(counted).alias("work_done"))
+    counted = F.when(F.col("bucket") == F.lit(OVERALL_DATE), F.col("rows")).otherwise(F.col("work"))
+    return named_buckets(bucketed.groupBy("bucket").agg(F.sum(counted).alias("work_done")))
 
 
 def work_per_learner(bucketed: DataFrame) -> DataFrame:
@@ -259,9 +277,8 @@ def learner_work(bucketed: DataFrame) -> DataFrame:
 
 def median_work(bucketed: DataFrame) -> DataFrame:
     """Median over learners of the number of counted attempts."""
-    return spread(learner_work(bucketed), ["bucket"], {"work": 10.0}).select(
-        "bucket", F.col("work_median").alias("median_work")
-    )
+    medians = spread(learner_work(bucketed), ["bucket"], {"work": 10.0})
+    return named_buckets(medians.select("bucket", F.col("work_median").alias("median_work")))
 
 
 # --- time ------------------------------------------------------------------------------------------
@@ -291,9 +308,8 @@ def _minutes(seconds: Column) -> Column:
 
 def time_spent(bucketed: DataFrame) -> DataFrame:
     """Minutes spent by all learners."""
-    return learner_days(bucketed).groupBy("bucket").agg(
-        _minutes(F.col("seconds")).alias("minutes")
-    )
+    minutes = _minutes(F.col("seconds")).alias("minutes")
+    return named_buckets(learner_days(bucketed).groupBy("bucket").agg(minutes))
 
 
 def time_summary(bucketed: DataFrame) -> DataFrame:
@@ -304,9 +320,11 @@ def time_summary(bucketed: DataFrame) -> DataFrame:
         .agg(F.sum(F.col("seconds").cast("decimal(18,6)")).alias("seconds"))
     )
     minutes = _minutes(F.col("seconds"))
-    return per_learner.groupBy("bucket").agg(
-        minutes.alias("minutes"),
-        round_even(minutes / F.count(F.lit(1)).cast("double"), 2).alias("minutes_per_learner"),
+    return named_buckets(
+        per_learner.groupBy("bucket").agg(
+            minutes.alias("minutes"),
+            round_even(minutes / F.count(F.lit(1)).cast("double"), 2).alias("minutes_per_learner"),
+        )
     )
 
 
@@ -335,6 +353,5 @@ def median_accuracy(bucketed: DataFrame) -> DataFrame:
 
     Percentages have two decimals, so a group has at most 10,001 distinct ones.
     """
-    return learner_accuracy(bucketed).groupBy("bucket").agg(
-        round_even(F.median("accuracy"), 2).alias("median_accuracy")
-    )
+    median = round_even(F.median("accuracy"), 2).alias("median_accuracy")
+    return named_buckets(learner_accuracy(bucketed).groupBy("bucket").agg(median))

@@ -11,10 +11,10 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from learnlens.functions.calendar import seconds_between, week_label
+from learnlens.functions.calendar import seconds_between, week_start
 from learnlens.functions.spread import spread
 from learnlens.functions.values import grade_rank, operation_rank, round_even
-from learnlens.operators.activity import OVERALL
+from learnlens.operators.activity import OVERALL_DATE, named_buckets
 from learnlens.operators.filters import Period, Selection, without_null_keys
 from learnlens.schema import DAY_CAP_SECONDS, GRADE_STEPS, OPERATION_STEPS
 
@@ -147,10 +147,10 @@ def place_jumps(
     day = F.to_date("first_at")
     buckets = []
     if overall:
-        buckets.append(F.lit(OVERALL))
+        buckets.append(F.lit(OVERALL_DATE))
     if weekly:
         in_weeks = period.or_lookback(as_of) if as_of else period
-        buckets.append(F.when(in_weeks.open_ended(day), week_label(day)))
+        buckets.append(F.when(in_weeks.open_ended(day), week_start(day)))
     placed = (
         jumps.where(period.closed(day))
         .withColumn("bucket", F.explode(F.array_compact(F.array(*buckets))))
@@ -167,11 +167,14 @@ def place_jumps(
 
 def jump_medians(placed: DataFrame) -> DataFrame:
     """Median minutes and number of learners per bucket, for all steps together and for each step."""
-    return spread(placed, ["bucket", "step"], {"minutes": 10.0}, ["learners"]).select(
-        "bucket",
-        "step",
-        round_even(F.col("minutes_median"), 2).alias("median_minutes"),
-        "learners",
+    medians = spread(placed, ["bucket", "step"], {"minutes": 10.0}, ["learners"])
+    return named_buckets(
+        medians.select(
+            "bucket",
+            "step",
+            round_even(F.col("minutes_median"), 2).alias("median_minutes"),
+            "learners",
+        )
     )
 
 

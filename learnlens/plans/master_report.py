@@ -92,7 +92,9 @@ def _cells(df: DataFrame, metric: str, value: Column, sub: Column | None = None)
 
 def _median_cells(daily: DataFrame, chosen: DataFrame, selection: Selection, period: Period, as_of):
     """All medians of the report, ranked together."""
-    of_weeks = chosen.where(period.open_ended(F.col(act.DAY))).withColumn("bucket", F.lit(act.OVERALL))
+    of_weeks = chosen.where(period.open_ended(F.col(act.DAY))).withColumn(
+        "bucket", F.lit(act.OVERALL_DATE)
+    )
     work = act.learner_work(act.weekly(chosen, period).unionByName(of_weeks))
     accuracy = act.learner_accuracy(act.overall_and_weekly(chosen, period))
 
@@ -131,7 +133,7 @@ def _median_cells(daily: DataFrame, chosen: DataFrame, selection: Selection, per
     text = F.when(F.col("learners").isNull(), number_text(median)).otherwise(
         median_count_text(median, F.col("learners"))
     )
-    return medians.select("metrics", "sub_metrics", "bucket", text.alias("value"))
+    return act.named_buckets(medians.select("metrics", "sub_metrics", "bucket", text.alias("value")))
 
 
 def _stacked(df: DataFrame, values: dict[str, Column]) -> DataFrame:
