@@ -2,28 +2,54 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
+_scope: ContextVar[str] = ContextVar("scope", default="")
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local session without one gets a temporary folder."""
+    """The shared folder the session names; without one there is an error, whatever the master is."""
     folder = spark.conf.get(CHECKPOINT_KEY, None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="learnlens-")
-    spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder
+    return folder.rstrip("/")
+
+
+def use_warehouse_where_unset(spark: SparkSession) -> None:
+    """Names a folder in the session's warehouse, which executors share, where no shared folder is named."""
+    if not spark.conf.get(CHECKPOINT_KEY, None):
+        spark.conf.set(CHECKPOINT_KEY, f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate")
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[str]:
+    """What is written within goes to a folder of its own, which is deleted in the end.
+
+    A result that reads intermediates has to be read or written before the scope closes.
+    """
+    folder = f"{shared_folder(spark)}/scope-{uuid.uuid4().hex}"
+    token = _scope.set(folder)
+    try:
+        yield folder
+    finally:
+        _scope.reset(token)
+        delete(spark, folder)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{_scope.get() or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

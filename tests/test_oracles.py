@@ -7,10 +7,10 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as driver
+from driver_queries import duckdb_sql, spark_queries
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
-QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
+QUERIES, ORACLES = spark_queries.registered(), dict(duckdb_sql.ORACLES)
 
 
 @pytest.fixture(scope="module")
