@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from learnlens.llm.byte_bpe import op2_byte_bpe
 from learnlens.llm.language_id import op9_language_id
 from learnlens.llm.line_dedup import OP7_SQL, op7_line_dedup
+from learnlens.llm.near_dedup import OP6_SQL, op6_minhash_bayes
 from learnlens.llm.stream_dedup import OP10_SQL, op10_stream_dedup
 from learnlens.llm.token_planes import op5_token_planes
 
 QUERIES = {
+    "op2_byte_bpe": op2_byte_bpe,
     "op5_token_planes": op5_token_planes,
+    "op6_minhash_bayes": op6_minhash_bayes,
     "op7_line_dedup": op7_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_stream_dedup": op10_stream_dedup,
 }
 
 ORACLES = {
+    "op6_minhash_bayes": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
     "op10_stream_dedup": OP10_SQL,
 }
