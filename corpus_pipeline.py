@@ -6,10 +6,11 @@ one's documents. All stages but the last return the columns of documents; a stag
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from learnlens.llm import language_id, line_dedup
-from learnlens.llm.base import documents
+from learnlens.llm import byte_bpe, decontaminate, language_id, line_dedup, near_dedup
+from learnlens.llm.base import documents, table
 from learnlens.sources.scratch import use_warehouse_where_unset, written
 
 
@@ -23,9 +24,27 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return line_dedup.deduplicated(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    return near_dedup.one_of_each(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, also with other numbers, names or units, go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, and the sha256 of the ids and of the text they decode to."""
+    return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 STAGES = [
     ("language_id", identify_language),
     ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("byte_bpe", encode),
 ]
 
 #: language identification, near-dedup by signatures and byte-pair encoding have no SQL form

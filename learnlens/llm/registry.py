@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from learnlens.llm.byte_bpe import op2_byte_bpe
+from learnlens.llm.decontaminate import op3_decontamination
 from learnlens.llm.language_id import op9_language_id
 from learnlens.llm.line_dedup import OP7_SQL, op7_line_dedup
 from learnlens.llm.near_dedup import OP6_SQL, op6_minhash_bayes
@@ -11,6 +12,7 @@ from learnlens.llm.token_planes import op5_token_planes
 
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_decontamination": op3_decontamination,
     "op5_token_planes": op5_token_planes,
     "op6_minhash_bayes": op6_minhash_bayes,
     "op7_line_dedup": op7_line_dedup,
