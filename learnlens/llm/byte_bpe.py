@@ -5,7 +5,7 @@ adjacent pair with the lowest rank, the first of equals, until no pair has a ran
 array of small maps, in which a pair's hash names the map, so that a look-up takes the same time in a vocabulary of
 any size. Only the two ranks next to a merge are looked up anew.
 
-Only distinct words are folded. Rows of a file are taken in blocks of ``BLOCK_ROWS``, the distinct words of the blocks are
+Only distinct words are folded. Rows of a file are taken in blocks of ``blocks.BLOCK_ROWS``, the distinct words of the blocks are
 shuffled by word, each word is folded once, and its ids go back to the blocks that hold it, as one small
 dictionary file per block in the shared folder. A second pass over the documents splits them again and puts the ids
 together, block by block. Texts are never shuffled, no task holds more than a block's words, and no word is in more rows
@@ -29,17 +29,13 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.dataset as pads
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from learnlens.llm.base import documents, offsets
-from learnlens.llm.token_planes import open_folder
-from learnlens.sources.scratch import new_path, written
+from learnlens.llm.blocks import block, in_files, read_block, write_blocks
 
 BUCKETS = 1 << 16
-BLOCK_ROWS = 4096
 SLICE_WORDS = 1 << 20
 NO_RANK = 2147483647
 
@@ -134,20 +130,10 @@ class Fold:
         return F.struct(pieces.alias("pieces"), kept.alias("ranks"))
 
 
-def _in_files(docs: DataFrame) -> DataFrame:
-    """The documents as rows of files, written to the shared folder if they are anything else."""
-    try:
-        docs.select("_metadata.row_index")
-        return docs
-    except AnalysisException:
-        return written(docs, "documents")
-
-
 def _blocks(docs: DataFrame, pattern: str) -> DataFrame:
     """doc_id, block and the words of each row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    block = F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / BLOCK_ROWS))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), block.alias("block"), F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0)).alias("words"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), block().alias("block"), F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0)).alias("words"))
 
 
 def dictionaries(rows: DataFrame, ranks: list[tuple[bytes, int]]) -> str:
@@ -158,17 +144,14 @@ def dictionaries(rows: DataFrame, ranks: list[tuple[bytes, int]]) -> str:
     pairs = rows.select("block", F.explode("words").alias("word")).distinct().repartition(spread, "word")
     table = literal(_buckets((token.hex().upper(), rank) for token, rank in ranks), "array<map<string,int>>")
     folded = pairs.select("word").distinct().select("word", bound(table, lambda held: Fold(held)(F.col("word"))).alias("ids"))
-    folder = new_path(spark, "dictionaries")
-    pairs.join(folded, "word").repartition("block").write.partitionBy("block").parquet(folder)
-    return folder
+    return write_blocks(pairs.join(folded, "word"), "dictionaries")
 
 
 class Dictionary:
     """The words of one block with their ids."""
 
-    def __init__(self, folder: str, block: int):
-        system, root = open_folder(folder)
-        found = pads.dataset(f"{root}/block={block}", filesystem=system, format="parquet").to_table(columns=["word", "ids"]).combine_chunks()
+    def __init__(self, folder: str, name: int):
+        found = read_block(folder, name, ["word", "ids"])
         self.words = found.column("word").combine_chunks()
         ids = found.column("ids").combine_chunks()
         self.ids = np.asarray(ids.flatten()).astype("<u4")
@@ -210,11 +193,11 @@ class Decoder:
 def encoded(docs: DataFrame, path: str, pattern: str, finish: Callable[[pa.Array, list[np.ndarray]], pa.RecordBatch], schema: str) -> DataFrame:
     """``finish`` of the doc_ids and ids of each slice of rows, for every row of ``docs`` (doc_id and text)."""
     ranks = ranks_of(path)
-    rows = _blocks(_in_files(docs), pattern)
+    rows = _blocks(in_files(docs), pattern)
     folder = dictionaries(rows, ranks)
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, dictionary = None, None
+        held, dictionary = None, None
         for batch in batches:
             names, sizes = batch.column("block").to_pylist(), offsets(batch.column("words"))
             start = 0
@@ -227,8 +210,8 @@ def encoded(docs: DataFrame, path: str, pattern: str, finish: Callable[[pa.Array
                 if not len(flat):
                     ids = [np.zeros(0, "<u4")] * len(words)
                 else:
-                    if names[start] != block:
-                        block, dictionary = names[start], Dictionary(folder, names[start])
+                    if names[start] != held:
+                        held, dictionary = names[start], Dictionary(folder, names[start])
                     flat_ids, per_word = dictionary(flat)
                     ends = np.concatenate([[0], np.cumsum(per_word)])[np.concatenate([[0], np.cumsum(each)])]
                     ids = [flat_ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]

@@ -7,6 +7,7 @@ from learnlens.llm.decontaminate import op3_decontamination
 from learnlens.llm.language_id import op9_language_id
 from learnlens.llm.line_dedup import OP7_SQL, op7_line_dedup
 from learnlens.llm.near_dedup import OP6_SQL, op6_minhash_bayes
+from learnlens.llm.quality_kn import op8_quality_kn
 from learnlens.llm.stream_dedup import OP10_SQL, op10_stream_dedup
 from learnlens.llm.token_planes import op5_token_planes
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_token_planes": op5_token_planes,
     "op6_minhash_bayes": op6_minhash_bayes,
     "op7_line_dedup": op7_line_dedup,
+    "op8_quality_kn": op8_quality_kn,
     "op9_language_id": op9_language_id,
     "op10_stream_dedup": op10_stream_dedup,
 }
