@@ -15,8 +15,8 @@ Files have names of their own per task attempt, and the manifest lists those of
 executor or a task run twice leaves a stray file but never a wrong one. Only the manifest (a row per file) comes to the
 driver, which adds up where each file's ids start.
 
-Text is cut at blanks, tabs and line ends before tokenising, which changes no id: the tokenizer drops white space
-and nothing in its normalisation or pattern reaches across it. Chunks met before come from a cache of bounded size.
+Text is cut into units before tokenising, which changes no id: the tokenizer drops white space, and nothing in its
+normalisation or pattern reaches across it. Units met before come from a cache of bounded size.
 
 Defined results: a null or empty text has the end id alone. Rows without an id come first. Rows with one id are ordered by
 a hash of their text; repeated rows are written each. An empty table writes no file. Other columns are not read.
@@ -24,6 +24,8 @@ a hash of their text; repeated rows are written each. An empty table writes no f
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -42,7 +44,14 @@ MAGIC = b"BITPLN01"
 FOOTER = struct.Struct("<6q")
 BLOCK_IDS = 1 << 16
 END_ID = 1
-CACHE_WORDS = 300_000
+CACHE_UNITS = 600_000
+
+# The tokenizer's pattern for lower-case ASCII and Latin-1 letters, and the texts it serves.
+_LATIN = "\u00df-\u00f6\u00f8-\u00ff"
+UNIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^ \\t\\n\\ra-z0-9{_LATIN}]+")
+PLAIN = re.compile("[ \\t\\n\\r\\x21-\\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+CHUNK = re.compile("[^ \\t\\n\\r]+")
+WORD_END = "</w>"
 PARTITION_BYTES = 64 << 20
 MANIFEST = "part int, path string, n_docs long, n_ids long"
 
@@ -170,26 +179,60 @@ class Reader:
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file, with a cache of chunks between white space."""
+    """Ids of texts by a tokenizer file, with a cache of the units that the tokenizer's pattern finds.
+
+    Texts of ASCII and Latin-1 letters are split here, in lower case, by the pattern as it reads for these characters, in which
+    nothing is left for the normaliser to compose. Others are cut at white space only, and the tokenizer splits the chunks.
+    Units and chunks met for the first time go to the tokenizer.
+    """
 
     def __init__(self, path: str, end_id: int = END_ID):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are the tasks'
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.end = np.array([end_id], "<u4").tobytes()
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
 
     def __call__(self, text: str) -> np.ndarray:
-        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        new = [c for c in set(chunks) if c not in self.known]
-        if new:
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known = {"": b""}
-                new = list(set(chunks) - {""})
-            for chunk, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(found.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([*map(self.known.__getitem__, chunks), self.end]), "<u4")
+        plain = PLAIN.fullmatch(text) is not None
+        units = UNIT.findall(text.lower()) if plain else CHUNK.findall(text)
+        try:
+            found = [*map(self.known.__getitem__, units)]
+        except KeyError:
+            self._learn(units, plain)
+            found = [*map(self.known.__getitem__, units)]
+        found.append(self.end)
+        return np.frombuffer(b"".join(found), "<u4")
+
+    def _learn(self, units: list[str], plain: bool) -> None:
+        if len(self.known) > CACHE_UNITS:
+            self.known = {}
+        new = [u for u in set(units) if u not in self.known]
+        if not plain:
+            for unit, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+                self.known[unit] = struct.pack(f"<{len(found.ids)}I", *found.ids)
+            return
+        # as one text: each unit is one word, which closes with a token of its own kind
+        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        cuts = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+        data = ids.tobytes()
+        for unit, start, stop in zip(new, [0, *cuts[:-1]], cuts, strict=True):
+            self.known[unit] = data[start:stop]
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, end_id: int = END_ID) -> Encoder:
+    """The encoder of this Python worker, which serves one task after the other."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str, kind: str = "byte", block_ids: int = BLOCK_IDS, end_id: int = END_ID) -> list[tuple[str, int]]:
@@ -198,7 +241,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, kind: str = "byte", bloc
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = Encoder(tokenizer, end_id)
+        encode = encoder(tokenizer, end_id)
         part = TaskContext.get().partitionId()
         writer, path, system, stream = None, "", None, None
         for batch in batches:
