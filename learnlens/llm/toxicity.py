@@ -1,14 +1,14 @@
 """Toxicity by a bidirectional gated recurrent network with attention, over words and their characters.
 
-A word's input is the sum of two learned vectors: one of the word (hashed) and the mean of those of its character trigrams
-(hashed). Two recurrent layers read a window of ``WINDOW`` words from both ends, attention pools their states, and a
+A word's input is the sum of two learned vectors: one of the word (hashed) and the mean of those of its 3 to 5
+adjacent characters (hashed). Two recurrent layers read a window of ``WINDOW`` words from both ends, attention pools their states, and a
 logistic unit scores the window. Windows begin every ``STRIDE`` words and the last one ends with the text, so every word
 is in a window, a third of them in two, and a document's score is that of its worst window.
 
 The network is trained in numpy on the driver, on about ``PER_CLASS`` toxic and twice as many clean labelled documents of at most
 ``TRAIN_CHARS`` characters, chosen by a hash of the id: the bound of what is collected. Labels are of documents; of a toxic
 one the windows that score highest count as toxic, at first by how much more often their words occur in toxic documents. The model
-(under 2 MB, of fixed size) is broadcast, and all texts are scored whole.
+(under 4 MB, of fixed size) is broadcast, and all texts are scored whole.
 
 Defined results: a text that is null, empty or without words gets the score of a window of no words. Without labels of both
 classes every score is the share of toxic labels, or 0 without any. Rows without an id are held out. A doc_id labelled
@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from learnlens.llm.base import crc_of_id, documents, slices, table
 
 WINDOW, STRIDE = 32, 24
-WORD_ROWS, CHAR_ROWS, INPUT, HIDDEN, ATTENTION = 1 << 15, 1 << 12, 8, 8, 8
+WORD_ROWS, CHAR_ROWS, INPUT, HIDDEN, ATTENTION = 1 << 15, 1 << 16, 8, 8, 8
 PER_CLASS, TRAIN_CHARS, EPOCHS, BATCH = 1200, 12_000, 5, 128
+CHARS, LONG_WORD = (3, 4, 5), 64
 SLICE_BYTES = 1 << 20
 CACHE_WORDS = 200_000
 SCORED_AT_ONCE = 1024
@@ -42,9 +43,10 @@ def words_of(text: str) -> list[str]:
 
 
 def features(word: str) -> tuple[int, list[int]]:
-    """Row of the word and rows of its trigrams."""
-    data = f"<{word}>".encode()
-    return zlib.crc32(data) % WORD_ROWS, [zlib.crc32(data[k : k + 3], 7) % CHAR_ROWS for k in range(max(1, len(data) - 2))]
+    """Row of the word and rows of its runs of 3 to 5 characters, of which the word's ends count as one each."""
+    data = f"<{word}>"[:LONG_WORD].encode()
+    grams = [zlib.crc32(data[k : k + n], 7) % CHAR_ROWS for n in CHARS for k in range(len(data) - n + 1)]
+    return zlib.crc32(data) % WORD_ROWS, grams
 
 
 def window_starts(n: int) -> range | list[int]:
@@ -169,6 +171,11 @@ class Corpus:
                 owner.append(i)
         self.windows, self.lengths, self.owner = np.array(windows, np.int32).reshape(-1, WINDOW), np.array(lengths, np.int32), np.array(owner, np.int32)
 
+    def rows(self) -> list[np.ndarray]:
+        """The distinct word rows of each document."""
+        row = np.array([w for w, _ in self.features])
+        return [np.unique(row[mine]) for mine in np.split(self.windows, np.flatnonzero(np.diff(self.owner)) + 1)]
+
     def best(self, values: np.ndarray, each: int) -> np.ndarray:
         """The ``each`` windows of every document with the highest values."""
         order = np.lexsort((-values, self.owner))
@@ -176,21 +183,24 @@ class Corpus:
         return order[rank < each]
 
 
+def odds_of_rows(found: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """Logarithm of how many times as often a word's row occurs in toxic documents; 0 for rows never seen."""
+    seen = np.zeros((2, WORD_ROWS))
+    for mine, kind in zip(found, toxic.astype(int), strict=True):
+        seen[kind, mine] += 1
+    rate = (seen + 5) / (np.array([(~toxic).sum(), toxic.sum()]) + 10)[:, None]
+    unseen = np.log(toxic.sum() + 10) - np.log((~toxic).sum() + 10)
+    return np.clip(np.log(rate[1] / rate[0]) + unseen, -3, 3).astype(np.float32)
+
+
 def train(texts: list[str], labels: np.ndarray, share: float | None = None, epochs: int = EPOCHS, seed: int = 0) -> Network:
     """The network for texts of which ``share`` are toxic, learned from a sample in which another share may be."""
     net, corpus, rng = Network(seed), Corpus(texts), np.random.default_rng(seed)
     toxic = labels.astype(bool)
     # how much more often a word's row occurs in toxic documents, as the first value of its vector
-    row = np.array([w for w, _ in corpus.features])
-    seen = np.zeros((2, WORD_ROWS))
-    for kind in (0, 1):
-        mine = toxic[corpus.owner] == kind
-        pairs = np.unique(np.stack([np.repeat(corpus.owner[mine], WINDOW), row[corpus.windows[mine]].ravel()]), axis=1)
-        seen[kind] = np.bincount(pairs[1], minlength=WORD_ROWS)
-    odds = np.log((seen[1] + 5) / (toxic.sum() + 10)) - np.log((seen[0] + 5) / ((~toxic).sum() + 10))
-    odds = np.clip(odds - np.log(5 / (toxic.sum() + 10)) + np.log(5 / ((~toxic).sum() + 10)), -3, 3).astype(np.float32)
+    odds = odds_of_rows(corpus.rows(), toxic)
     net.p["words"][:, 0] += odds
-    value = odds[row][corpus.windows].max(axis=1)
+    value = odds[[w for w, _ in corpus.features]][corpus.windows].max(axis=1)
 
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
@@ -198,9 +208,13 @@ def train(texts: list[str], labels: np.ndarray, share: float | None = None, epoc
         if epoch:
             gates = net.projected(net.inputs(corpus.features))
             value = np.concatenate([net.forward(gates, corpus.windows[k : k + SCORED_AT_ONCE], corpus.lengths[k : k + SCORED_AT_ONCE]) for k in range(0, len(corpus.windows), SCORED_AT_ONCE)])
-        worst = corpus.best(value, 2)
-        some = corpus.best(rng.random(len(value)), 2)
-        chosen = rng.permutation(np.concatenate([worst, some[~toxic[corpus.owner[some]]]]))
+        best = corpus.best(value, 1)
+        best = best[toxic[corpus.owner[best]]]
+        clean = np.concatenate([corpus.best(value, 2), corpus.best(rng.random(len(value)), 2)])
+        clean = clean[~toxic[corpus.owner[clean]]]
+        # toxic windows come as often as every fourth
+        best = np.resize(best, max(len(best), len(clean) // 3))
+        chosen = rng.permutation(np.concatenate([best, clean]))
         for k in range(0, len(chosen), BATCH):
             at = chosen[k : k + BATCH]
             distinct, index = np.unique(corpus.windows[at], return_inverse=True)
@@ -218,7 +232,7 @@ def train(texts: list[str], labels: np.ndarray, share: float | None = None, epoc
                 net.p[name] -= (0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
     if share:
         odds_of = lambda q: np.log(q / (1 - q))
-        net.p["bo"] = (net.p["bo"] + odds_of(min(share, 0.999)) - odds_of(toxic.mean())).astype(np.float32)
+        net.p["bo"] = (net.p["bo"] + odds_of(min(share, 0.999)) - odds_of(0.25)).astype(np.float32)
     return net
 
 
