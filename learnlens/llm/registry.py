@@ -10,9 +10,11 @@ from learnlens.llm.near_dedup import OP6_SQL, op6_minhash_bayes
 from learnlens.llm.quality_kn import op8_quality_kn
 from learnlens.llm.stream_dedup import OP10_SQL, op10_stream_dedup
 from learnlens.llm.token_planes import op5_token_planes
+from learnlens.llm.suffix_dedup import op1_suffix_dedup
 from learnlens.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
