@@ -248,11 +248,12 @@ t1 AS (SELECT *, coalesce({seconds('''lag(updated_at) OVER (PARTITION BY questio
 QUESTION_MEASURES = f"""{QUESTION_KEYS}, count(DISTINCT learner_id) AS learners_count, {{}} AS median_accuracy,
   {{}} AS average_accuracy, {even(exact('question_time_taken') + ' / count(*)', 3)} AS average_time_taken"""
 
+LISTED_GRADES = [f"class-{n}" for n in "one two three four five six seven eight nine ten".split()]
 LEARNER_LIST = ", ".join(
     [
         f"avg(CASE WHEN qset_grade = '{g}' THEN CAST(n AS DOUBLE) END) AS \"{g}\","
         f" avg(CASE WHEN qset_grade = '{g}' THEN acc END) AS \"{g}-avg\""
-        for g in CURRENT_GRADES[:5]
+        for g in LISTED_GRADES
     ]
 )
 

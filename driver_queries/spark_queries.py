@@ -28,7 +28,6 @@ NOW = dt.datetime(2024, 1, 30, 12, 0, 0)
 FIRST_LOAD_UNTIL = dt.datetime(2024, 1, 20)
 SOME_DAYS = Period(dt.date(2024, 1, 10), dt.date(2024, 1, 23))
 LATER_WEEKS = Period(dt.date(2024, 1, 8))
-WEEKS = cal.week_ids(dt.date(2024, 1, 1), AS_OF)
 LOW, HIGH = 0.4, 0.6
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +45,13 @@ def as_text(df: DataFrame) -> DataFrame:
     return df.select(*[shown(f) for f in df.schema.fields])
 
 
+def weeks(spark: SparkSession, sf: str) -> list[str]:
+    """All weeks from the first to the last event, newest first."""
+    days = F.to_date("updated_at")
+    first, last = core(spark, sf).agg(F.min(days), F.max(days)).first()
+    return cal.week_ids(first, last) if first else []
+
+
 # --- inputs ----------------------------------------------------------------------------------------
 
 
@@ -309,11 +315,11 @@ QUERIES: dict[str, Query] = {
         core(spark, sf), last_questions(spark, sf)
     ).select("learner_id", "question_id", "question_set_id", "updated_at", "is_found"),
     "pivot_weekly": lambda spark, sf: reshape.pivot_buckets(
-        act.unique_learners(act.weekly(core_rows(spark, sf))), WEEKS, "learners"
+        act.unique_learners(act.weekly(core_rows(spark, sf))), weeks(spark, sf), "learners"
     ),
     "pivot_operation_week": lambda spark, sf: reshape.pivot_buckets(
         act.unique_learners_by_operation(act.weekly(core_rows(spark, sf))),
-        WEEKS,
+        weeks(spark, sf),
         "learners",
         ["operation"],
     ),

@@ -1,8 +1,8 @@
 """Exact medians and means of groups that may be far larger than one task can hold.
 
 ``F.median`` keeps every distinct value of a group in the memory of one task. Here a group is first
-reduced to counts per distinct value, spread over all tasks. Bins of the value range are then ranked,
-and only the one or two bins that hold the middle ranks are looked at value by value.
+reduced to counts per distinct value, spread over all tasks. Bins of the value range are then ranked, parts of the
+one or two bins that hold the middle ranks likewise, and only the parts with those ranks are looked at value by value.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+PARTS = 4096
+
 
 def _same(left: str, right: str, columns: Sequence[str]) -> Column:
     pairs = (F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns)
@@ -22,6 +24,20 @@ def _quoted(columns: Sequence[str]) -> list[str]:
     return [f"`{c}`" for c in columns]
 
 
+def _middle_parts(binned: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The values of those parts of the bins that hold the middle ranks, with the number of smaller values."""
+    upto_part = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    parts = (
+        binned.groupBy(*keys, "_part")
+        .agg(F.sum("_valid").alias("_in"), *[F.max(c).alias(c) for c in ("_before", "_low", "_high")])
+        .withColumn("_upto", F.col("_before") + F.sum("_in").over(upto_part))
+        .where("_upto >= _low and _upto - _in < _high")
+        .select(*keys, "_part", (F.col("_upto") - F.col("_in")).alias("_smaller"))
+    )
+    joined = binned.alias("v").join(parts.alias("p"), _same("v", "p", [*keys, "_part"]))
+    return joined.select(*[f"v.{c}" for c in binned.columns if c != "_before"], F.col("p._smaller").alias("_before"))
+
+
 def spread(
     df: DataFrame,
     keys: Sequence[str],
@@ -33,7 +49,8 @@ def spread(
 
     ``measures`` maps a numeric column to the bin width its values are ranked with; the width affects
     speed only. Nulls in a measure are left out of its count, mean and median. Null keys form a group. A
-    ``weight`` column makes a row stand for that many equal ones.
+    ``weight`` column makes a row stand for that many equal ones. Means are of values times weights rounded to ten
+    decimal places, which makes them the same in any order of the rows; products may have up to 28 digits before the point.
     The output columns of measure ``m`` are ``m_count``, ``m_mean`` and ``m_median``.
     """
     group = [*keys, "_measure"]
@@ -51,16 +68,14 @@ def spread(
         .agg(
             F.expr("sum(_w) as _n"),
             F.expr("sum(if(_value is null, 0L, _w)) as _valid"),
-            F.expr("sum(cast(_value * _w as decimal(20, 10))) as _sum"),
+            F.expr("sum(cast(_value * _w as decimal(38, 10))) as _sum"),
             *[F.expr(f"sum(_t_{t}) as _t_{t}") for t in tallies],
         )
         .withColumn("_bin", F.expr("floor(_value / _width)"))
     )
     # Both uses of the counts below need all their columns, whatever the caller reads of the result, so that
-    # Spark runs them as one shuffle and what lies before it once. The condition names every column and holds.
-    whole = ["_n >= _valid", "(_sum is not null or _valid = 0)"]
-    whole += [f"(_t_{t} is null or _t_{t} >= 0)" for t in tallies]
-    counts = counts.where(" and ".join(whole))
+    # Spark runs them as one shuffle and what lies before it once. The condition names every column and holds for any hash.
+    counts = counts.where(F.xxhash64(*summed) >= F.lit(-(1 << 63)))
 
     by_group = Window.partitionBy(*group)
     upto_bin = by_group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
@@ -83,8 +98,8 @@ def spread(
         .drop("_upto", *summed)
     )
 
-    within_bin = (
-        Window.partitionBy(*group, "_bin")
+    within_part = (
+        Window.partitionBy(*group, "_bin", "_part")
         .orderBy("_value")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -93,7 +108,11 @@ def spread(
         counts.alias("c")
         .join(middle_bins.alias("b"), _same("c", "b", [*group, "_bin"]))
         .select("c.*", "b._before", "b._low", "b._high", *[f"b.{t}" for t in totals])
-        .withColumn("_upto", F.col("_before") + F.sum("_valid").over(within_bin))
+        .withColumn("_part", F.expr(f"floor((_value / _width - _bin) * {PARTS})"))
+    )
+    summary = (
+        _middle_parts(summary, [*group, "_bin"])
+        .withColumn("_upto", F.col("_before") + F.sum("_valid").over(within_part))
         .where(middle)
         .groupBy(*group)
         .agg(

@@ -65,13 +65,3 @@ def median_count_text(median: Column, learners: Column) -> Column:
     """``median (learners)``, or blank when there is no median."""
     text = F.concat(number_text(median), F.lit(" ("), learners.cast("string"), F.lit(")"))
     return F.coalesce(text, F.lit(""))
-
-
-def exact_sum(value: Column) -> Column:
-    """Sum of doubles that does not depend on row order: added as decimals."""
-    return F.sum(value.cast("decimal(20,10)"))
-
-
-def exact_mean(value: Column) -> Column:
-    """Mean of doubles that does not depend on row order."""
-    return F.try_divide(exact_sum(value).cast("double"), F.count(value).cast("double"))

@@ -77,7 +77,8 @@ def overall(df: DataFrame, period: Period = Period(), day: str = DAY) -> DataFra
 
 
 def weekly(df: DataFrame, period: Period = Period(), day: str = DAY) -> DataFrame:
-    return df.where(period.open_ended(F.col(day))).withColumn("bucket", week_start(F.col(day)))
+    dated = df.where(F.col(day).isNotNull()).where(period.open_ended(F.col(day)))
+    return dated.withColumn("bucket", week_start(F.col(day)))
 
 
 def overall_and_weekly(df: DataFrame, period: Period = Period(), day: str = DAY) -> DataFrame:
@@ -226,7 +227,7 @@ def logged_in(bucketed: DataFrame) -> DataFrame:
 def sessions(bucketed: DataFrame, min_learners: int = SESSION_MIN_LEARNERS) -> DataFrame:
     """Class days (date, school, grade) on which at least ``min_learners`` learners worked."""
     class_days = (
-        without_null_keys(bucketed, ["school", "grade"])
+        without_null_keys(bucketed, ["school", "grade", "activity_date"])
         .groupBy("bucket", "activity_date", "school", "grade")
         .agg(F.count_distinct("learner_id").alias("learners"))
     )
@@ -285,9 +286,12 @@ def median_work(bucketed: DataFrame) -> DataFrame:
 
 
 def learner_days(bucketed: DataFrame, cap_seconds: int = DAY_CAP_SECONDS) -> DataFrame:
-    """Seconds between a learner's first and last attempt of a day, at most ``cap_seconds``."""
+    """Seconds between a learner's first and last attempt of a day, at most ``cap_seconds``.
+
+    Attempts without a time belong to no day.
+    """
     return (
-        without_null_keys(bucketed, ["learner_id"])
+        without_null_keys(bucketed, ["learner_id", "activity_date"])
         .groupBy("bucket", "learner_id", "activity_date")
         .agg(F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
         .select(

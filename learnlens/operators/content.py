@@ -47,10 +47,10 @@ def qset_scores(results: DataFrame) -> DataFrame:
 
     ``results`` has one row per result, or those of :func:`result_counts`.
     """
-    score = F.col("score").cast("decimal(20,10)")
+    score = F.col("score").cast("double").cast("decimal(38,10)")
     if "journeys" in results.columns:
         weight = F.when(F.col("score").isNotNull(), F.col("journeys"))
-        score = (F.col("score") * F.col("journeys")).cast("decimal(20,10)")
+        score = (F.col("score").cast("double") * F.col("journeys")).cast("decimal(38,10)")
         number = F.sum(weight)
     else:
         number = F.count("score")
@@ -130,11 +130,11 @@ def qset_learners(completed_attempts: DataFrame) -> DataFrame:
     """Time, score and accuracy of each learner on each question set.
 
     Time is the uncapped span of each day, summed over days. Attempts that lack an attribute of the question
-    set, such as a skill, belong to no group and are left out.
+    set, such as a skill, belong to no group and are left out, and so are those without a time.
     """
     keys = [*QSET, "learner_id"]
     days = (
-        without_null_keys(completed_attempts, keys)
+        without_null_keys(completed_attempts, [*keys, "updated_at"])
         .groupBy(*keys, F.to_date("updated_at").alias("updated_date"))
         .agg(
             F.min("updated_at").alias("first_at"),

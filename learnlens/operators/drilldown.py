@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from learnlens.functions.calendar import seconds_between
 from learnlens.functions.values import percentage, round_even
 from learnlens.operators.filters import Period, Selection, in_list, without_null_keys
-from learnlens.schema import DAY_CAP_SECONDS, GRADE_STEPS
+from learnlens.schema import DAY_CAP_SECONDS, GRADES
 
 IN_PROGRESS = "in progress"
 
@@ -29,7 +29,7 @@ def learner_list(
     parent: Selection = Selection(),
     child: Selection = Selection(),
     purposes: Sequence[str] | None = None,
-    grades: Sequence[str] = GRADE_STEPS,
+    grades: Sequence[str] = GRADES,
 ) -> DataFrame:
     """Per learner the attempts and accuracy in each question-set grade, one column pair per grade.
 
@@ -92,8 +92,8 @@ def learner_detail(
     """Per learner and question set: questions attempted, accuracy, time, last date and wrong answers.
 
     A username replaces the learner id; with neither, every learner is listed. Time is capped per day. Wrong
-    answers are listed by position within each day, days in order. The question set a learner touched last
-    is shown as in progress.
+    answers are listed by position within each day, days in order. Attempts without a time belong to no day and are left
+    out. The question set a learner id touched last is shown as in progress, once for each id of a username.
     """
     rows = attempts
     if username:
@@ -107,7 +107,7 @@ def learner_detail(
     rows = in_list(rows, "purpose", purposes)
 
     keys = ["learner_id", "question_set_id", "qset_name"]
-    placed = without_null_keys(rows, keys).select(
+    placed = without_null_keys(rows, [*keys, "updated_at"]).select(
         *keys, "question_id", "attempts_count", "score", "updated_at"
     ).join(
         positions.select("question_id", "question_set_id", "sequence"),

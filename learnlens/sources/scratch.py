@@ -12,20 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 _scope: ContextVar[str] = ContextVar("scope", default="")
+_instead: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder the session names; without one there is an error, whatever the master is."""
-    folder = spark.conf.get(CHECKPOINT_KEY, None)
+    folder = spark.conf.get(CHECKPOINT_KEY, None) or _instead.get(spark.sparkContext.applicationId)
     if not folder:
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
     return folder.rstrip("/")
 
 
 def use_warehouse_where_unset(spark: SparkSession) -> None:
-    """Names a folder in the session's warehouse, which executors share, where no shared folder is named."""
+    """From now on a folder in the warehouse, which executors share, serves a session that names no shared folder."""
     if not spark.conf.get(CHECKPOINT_KEY, None):
-        spark.conf.set(CHECKPOINT_KEY, f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        _instead[spark.sparkContext.applicationId] = f"{warehouse}/_intermediate"
 
 
 @contextmanager

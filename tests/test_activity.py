@@ -192,3 +192,20 @@ def test_low_time_flag(spark):
         (WEEK_2, 40.0, False),
         (WEEK_3, 20.0, True),
     ]
+
+
+TIMELESS = [{"learner_id": str(i), "updated_at": None} for i in range(1, 8)]
+
+
+def test_attempts_without_a_time_spend_no_time_and_make_no_session(spark):
+    for frame in both_grains(spark, *TIMELESS):
+        assert rows_of(act.time_spent(act.overall(frame))) == []
+        assert rows_of(act.sessions(act.overall(frame), 1)) == []
+        assert rows_of(act.time_per_learner(act.overall_and_weekly(frame))) == []
+
+
+def test_attempts_without_a_time_make_no_week(spark):
+    for frame in both_grains(spark, *TIMELESS, {"learner_id": "9", "updated_at": at(8)}):
+        for metric in (act.unique_learners, act.work_done, act.work_per_learner, act.median_accuracy):
+            assert [bucket for bucket, *_ in rows_of(metric(act.weekly(frame)))] == [WEEK_2]
+        assert rows_of(act.time_spent(act.weekly(frame))) == [(WEEK_2, 0.0)]

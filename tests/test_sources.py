@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -314,3 +315,44 @@ def test_scratch_tables_go_to_the_shared_folder(spark):
     assert scratch.shared_folder(spark) == folder
     assert scratch.new_path(spark, "x").startswith(folder)
     assert rows_of(scratch.written(spark.range(3).toDF("n"), "three")) == [(0,), (1,), (2,)]
+
+
+def test_a_scope_leaves_nothing_behind(spark):
+    with scratch.scope(spark) as folder:
+        assert scratch.written(spark.range(3), "three").count() == 3
+        assert os.listdir(folder)
+    assert not os.path.exists(folder)
+
+
+class _Session:
+    """A session that names no shared folder."""
+
+    class conf:  # noqa: N801
+        get = staticmethod(lambda key, default=None: "/warehouse" if key.endswith("warehouse.dir") else default)
+
+    class sparkContext:  # noqa: N801
+        applicationId, master = "some-application", "local[2]"
+
+
+def test_intermediates_need_a_named_folder_whatever_the_master():
+    with pytest.raises(ValueError):
+        scratch.shared_folder(_Session)
+    scratch.use_warehouse_where_unset(_Session)
+    assert scratch.shared_folder(_Session) == "/warehouse/_intermediate"
+    scratch._instead.clear()
+
+
+def test_weeks_of_the_data_are_all_pivoted(spark, tmp_path):
+    from driver_queries import spark_queries
+    from learnlens.sources.binding import DRIVER_TABLES
+
+    rows = [(1, dt.datetime(2023, 12, 20, 9), 8, "view", '{"k" : 5}'), (2, dt.datetime(2024, 2, 8, 9), 16, "view", '{"k": "5"}')]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, props string")
+    plain = events.withColumn("value", F.lit(1.0))
+    declared = spark.createDataFrame([], DRIVER_TABLES["events"]).schema
+    plain.select(*[plain[f.name].cast(f.dataType).alias(f.name) for f in declared]).write.parquet(str(tmp_path / "events.parquet"))
+    pivot = spark_queries.registered()["pivot_weekly"](spark, str(tmp_path))
+    weeks = pivot.columns
+    assert len(weeks) == 8 and weeks[-1] == "2023-12-18,2023-12-24" and weeks[0] == "2024-02-05,2024-02-11"
+    (row,) = pivot.collect()
+    assert (row[weeks[0]], row[weeks[-1]]) == (1, 1)
