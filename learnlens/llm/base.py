@@ -31,6 +31,14 @@ def id_and_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
 
 
+def without(docs: DataFrame, gone: DataFrame, on: Column) -> DataFrame:
+    """The documents with no match in ``gone``, all columns. In ``on`` a document's columns are fields of ``row``, so that
+    no name of theirs clashes with one of ``gone``.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(gone, on, "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else. Texts without other letters take the fast way, which gives the same."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from learnlens.llm.base import documents, joined_bytes, slices, table
+from learnlens.llm.base import documents, joined_bytes, slices, table, without
 from learnlens.llm.near_dedup import MIX, TAIL, mixed, powers
 from learnlens.sources.scratch import written
 
@@ -250,8 +250,9 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without leaked items; all columns stay."""
-    gone = leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("body").alias("_body")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_body")), "left_anti")
+    gone = leaks(docs, benchmark).select("doc_id", "body").distinct()
+    text = F.xxhash64(F.col("row.text").cast("string"))
+    return without(docs, gone, F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (text == F.col("body")))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,34 +71,36 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, slots: int = SLOTS
 
 
 def apply(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """The documents with the lines that stay in ``text``, and _n_lines and _n_dropped.
-
-    ``docs`` has doc_id and text; its other columns stay.
-    """
-    marks = bitmaps.select(F.col("doc_id").alias("_mark_id"), F.col("body").alias("_mark_body"), F.col("n_dropped").alias("_n_dropped"), F.col("keep").alias("_keep"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.join(marks, (F.col("doc_id").cast("long") == F.col("_mark_id")) & (F.xxhash64(text) == F.col("_mark_body")), "left")
-    word = lambda i: F.coalesce(F.try_element_at(F.col("_keep"), F.shiftright(i, 6)), F.lit(-1).cast("long"))
-    kept = F.array_join(F.filter(lines_of(F.col("text")), lambda line, i: F.getbit(word(i), i.bitwiseAND(F.lit(63))) == 1), "\n")
+    """Per document, which has doc_id and text: ``row`` (all its columns), ``text`` of the lines that stay, n_lines, n_dropped."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    marks = bitmaps.select("doc_id", "body", "n_dropped", "keep")
+    joined = rows.join(marks, (F.col("row.doc_id").cast("long") == F.col("doc_id")) & (F.xxhash64(text) == F.col("body")), "left")
+    word = lambda i: F.coalesce(F.try_element_at("keep", F.shiftright(i, 6)), F.lit(-1).cast("long"))
+    lines = lines_of(F.col("row.text"))
+    kept = F.array_join(F.filter(lines, lambda line, i: F.getbit(word(i), i.bitwiseAND(F.lit(63))) == 1), "\n")
     return joined.select(
-        *[F.when(F.col("_keep").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.size(lines_of(F.col("text"))).cast("long").alias("_n_lines"),
-        F.coalesce("_n_dropped", F.lit(0).cast("long")).alias("_n_dropped"),
+        "row",
+        F.when(F.col("keep").isNull(), F.col("row.text").cast("string")).otherwise(kept).alias("text"),
+        F.size(lines).cast("long").alias("n_lines"),
+        F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"),
     )
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = apply(docs.select("doc_id", "text"), keep_bitmaps(docs))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents without repeated lines; ``n_chars``, where there is one, counts the new text."""
-    out = apply(docs, keep_bitmaps(docs)).drop("_n_lines", "_n_dropped")
-    if "n_chars" in out.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+    """The documents without repeated lines, all columns; ``n_chars``, where there is one, counts the new text."""
+    out = apply(docs, keep_bitmaps(docs))
+    of = lambda c: F.col(f"row.`{c}`")
+    changed = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("text").isNull(), of("n_chars")).otherwise(F.char_length("text").cast("long"))
+    return out.select(*[changed.get(c, of(c)).alias(c) for c in docs.columns])
 
 
 OP7_SQL = r"""

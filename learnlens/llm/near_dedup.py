@@ -10,8 +10,9 @@
 5. Survivors are verified on the full sets of shingles: first the best pair of each class, then those that still lie between
    different components.
 6. Buckets whose classes all lie in one component need no more pairs. In the others the classes of different components
-   are compared chunk against chunk within tasks, which give out only what survives step 4, and those are verified. So
-   no link is lost, no matter how large a bucket is, and no task holds more than two chunks.
+   are compared chunk against chunk within tasks, by step 4 and then on the full sets; a task joins components as it
+   goes and gives out only the links that join two, which are verified on the texts. So no link between components is lost, no
+   matter how large a bucket is, and no task holds more than a few chunks.
 
 A centre's text is spread over as many copies as its pairs need. Only counts come to the driver.
 
@@ -190,25 +191,57 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "equal": pa.array(equal)}).filter(pa.array(stays))
 
 
-def _compared_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of a bucket against each other: only classes of different components, one class of the left at a time."""
+def _linked_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two chunks against each other: links that join components, found by bands, signatures and whole sets in turn."""
     fewest = least_matches()
     for batch in batches:
-        for row in batch.to_pylist():
-            left, right = row["left"], row["right"]
-            ids = [np.array([x["rep"] for x in side], np.int64) for side in (left, right)]
-            comps = [np.array([x["component"] for x in side], np.int64) for side in (left, right)]
-            sizes = [np.array([x["n"] for x in side], np.int64) for side in (left, right)]
-            sigs = [np.frombuffer(b"".join(x["signature"] for x in side), np.uint16).reshape(-1, HASHES) for side in (left, right)]
-            for i in range(len(left)):
-                other = (comps[1] != comps[0][i]) & ((ids[1] > ids[0][i]) if row["same"] else True)
-                other &= 100 * np.minimum(sizes[1], sizes[0][i]) >= PERCENT * np.maximum(sizes[1], sizes[0][i])
+        for k in range(batch.num_rows):
+            sides = [_Side(batch.column(name)[k].values) for name in ("left", "right")]
+            left, right = sides
+            same = batch.column("same")[k].as_py()
+            for i in range(len(left.ids)):
+                other = right.components != left.components[i]
+                if same:
+                    other &= right.ids > left.ids[i]
+                other &= 100 * np.minimum(right.sizes, left.sizes[i]) >= PERCENT * np.maximum(right.sizes, left.sizes[i])
                 at = np.flatnonzero(other)
-                if len(at):
-                    equal = agreement(np.broadcast_to(sigs[0][i], (len(at), HASHES)), sigs[1][at], fewest)
-                    found = at[equal >= 0]
-                    if len(found):
-                        yield pa.record_batch({"a": pa.array(np.full(len(found), ids[0][i])), "b": pa.array(ids[1][found]), "equal": pa.array(equal[equal >= 0])})
+                at = at[(right.bands[at] == left.bands[i]).any(axis=1)]
+                if not len(at):
+                    continue
+                equal = agreement(np.broadcast_to(left.signatures[i], (len(at), HASHES)), right.signatures[at], fewest)
+                found = []
+                for j in at[np.argsort(-equal, kind="stable")][: int((equal >= 0).sum())]:
+                    if left.components[i] != right.components[j]:
+                        both = len(np.intersect1d(left.sets[i], right.sets[j], assume_unique=True))
+                        if 100 * both >= PERCENT * (left.sizes[i] + right.sizes[j] - both):
+                            found.append(j)
+                            into, gone = left.components[i], right.components[j]
+                            for side in sides:
+                                side.components[side.components == gone] = into
+                if found:
+                    yield pa.record_batch({"a": pa.array(np.full(len(found), left.ids[i])), "b": pa.array(right.ids[found])})
+
+
+class _Side:
+    """The classes of a chunk."""
+
+    def __init__(self, rows: pa.StructArray):
+        field = lambda name: rows.field(name)
+        self.ids, self.sizes = np.asarray(field("rep")), np.asarray(field("n"))
+        self.components = np.array(field("component"))
+        self.signatures = unpacked(field("signature"))
+        self.bands = np.asarray(field("bands").flatten()).reshape(-1, BANDS)
+        cuts = np.concatenate([[0], np.cumsum(self.sizes)])
+        flat = np.asarray(field("shingles").flatten())
+        self.sets = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for piece in slices(batch, "text", SLICE_BYTES):
+            words, at = words_of(piece.column("text"))
+            sets = [shingle_hashes(words[a:b]).view(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.record_batch({"rep": piece.column("doc_id"), "shingles": pa.array(sets, pa.list_(pa.int64()))})
 
 
 def shingle_set(text: str) -> set[tuple[str, ...]]:
@@ -284,6 +317,30 @@ def _settled(pairs: DataFrame, texts: DataFrame, comps: DataFrame | None, by: li
     return comps if rest.isEmpty() else _joined(comps, verify(rest, texts))
 
 
+def _late_links(members: DataFrame, near: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Links between classes of different components that share a bucket; enough of them to join what belongs together.
+
+    Buckets that still hold several components are gathered into groups of classes, so that a pair is compared once, however
+    many buckets it shares. Chunks of a group meet in a join and are compared within tasks.
+    """
+    named = members.join(near.select("rep", "component"), "rep")
+    open_ = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("rep").alias("least")).where("low <> high").select("bucket", "least")
+    apart = written(members.select("bucket", "rep").join(open_, "bucket").select("rep", "least").distinct(), "apart")
+    if apart.isEmpty():
+        return None
+    groups = components(apart, "rep", "least").withColumnRenamed("node", "rep").withColumnRenamed("component", "grouped")
+    sizes = groups.groupBy("grouped").agg(F.count(F.lit(1)).alias("members"))
+    sets = texts.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets, "rep long, shingles array<long>")
+    rows = groups.join(sizes, "grouped").join(near, "rep").join(sets, "rep")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.floor(F.col("members") / CHUNK) + 1).cast("int"))
+    chunks = written(rows.groupBy("grouped", "chunk").agg(F.collect_list(F.struct("rep", "component", "n", "signature", "bands", "shingles")).alias("rows")), "chunks")
+    left = chunks.select("grouped", F.col("chunk").alias("one"), F.col("rows").alias("left"))
+    right = chunks.select("grouped", F.col("chunk").alias("two"), F.col("rows").alias("right"))
+    facing = left.join(right, "grouped").where("one <= two").select("left", "right", (F.col("one") == F.col("two")).alias("same"))
+    with small_batches(members.sparkSession, 2):
+        return written(facing.mapInArrow(_linked_chunks, "a long, b long").distinct(), "late-links")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     rows = written(signatures(docs), "signatures")
@@ -299,7 +356,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comps = None
     if not involved.isEmpty():
         texts = written(id_and_text(docs).join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-        near = written(reps.drop("bands").join(involved.withColumnRenamed("doc_id", "rep"), "rep", "left_semi"), "near")
+        near = written(reps.join(involved.withColumnRenamed("doc_id", "rep"), "rep", "left_semi"), "near")
         a = near.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("sig_a"))
         b = near.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("sig_b"))
         stars = members.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
@@ -307,17 +364,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         pairs = written(like.select("a", "b", "sig_a", "sig_b").mapInArrow(_compared, "a long, b long, equal int"), "pairs")
         comps = _settled(pairs, texts, None, ["a"])
 
-        named = members.join(_named(near, comps), "rep")
-        open_ = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-        chunked = named.join(written(open_, "open"), "bucket").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.floor(F.col("size") / CHUNK) + 1).cast("int"))
-        chunks = written(chunked.groupBy("bucket", "chunk").agg(F.collect_list(F.struct("rep", "component", "n", "signature")).alias("rows")), "chunks")
-        left = chunks.select("bucket", F.col("chunk").alias("one"), F.col("rows").alias("left"))
-        right = chunks.select("bucket", F.col("chunk").alias("two"), F.col("rows").alias("right"))
-        facing = left.join(right, "bucket").where("one <= two").select("left", "right", (F.col("one") == F.col("two")).alias("same"))
-        with small_batches(docs.sparkSession, 16):
-            late = written(facing.mapInArrow(_compared_chunks, "a long, b long, equal int").distinct(), "late-pairs")
-        if not late.isEmpty():
-            comps = _settled(late, texts, comps, ["comp_a", "comp_b"])
+        late = _late_links(members, _named(near, comps), texts)
+        if late is not None:
+            comps = _joined(comps, verify(late, texts))
 
     out = rows.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
     rep = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id"))
