@@ -192,18 +192,20 @@ def refreshed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def streamed(spark: SparkSession, sf: str) -> DataFrame:
-    """The same end state reached by streaming the attempt records from files."""
+    """The same end state reached by streaming the attempt records from files, several batches, one late and one sent twice."""
     source = tables(spark, sf)
     facts = source["question_attempts"]
+    late = F.col("updated_at") <= cal.instant(FIRST_LOAD_UNTIL)
     landing = new_path(spark, "landing")
-    facts.write.parquet(landing)
-    arriving = spark.readStream.schema(facts.schema).parquet(landing)
+    for part in (facts.where(~late | F.col("updated_at").isNull()), facts.where(late), facts.where(late)):
+        part.repartition(2).write.mode("append").parquet(landing)
+    arriving = spark.readStream.schema(facts.schema).option("maxFilesPerTrigger", 2).parquet(landing)
     store = snapshots.SnapshotStore(spark, new_path(spark, "snapshots"))
     query = refresh_on_arrival(
         arriving, source, store, new_path(spark, "stream-state"), lambda: NOW
     )
     query.awaitTermination()
-    return store.attempts().distinct()
+    return store.attempts()
 
 
 def report_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, dt.date]:

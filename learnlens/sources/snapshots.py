@@ -1,9 +1,10 @@
 """Snapshot tables and the incremental refresh of the attempt fact.
 
 Layout under a root folder: ``dims/sync=<n>/<name>`` for the small tables, each replaced whole by a sync,
-``attempts/sync=<n>`` for the fact rows a sync added, and ``log`` with one row per finished sync. A
+``attempts/sync=<n>/day=<date>`` for the fact rows a sync added, ``layout`` for their columns, and ``log`` with one row per finished sync. A
 sync is visible once its log row is written, which happens last, so a job that dies half-way leaves the
-previous state in place and is simply run again under the next number.
+previous state in place and is simply run again under the next number. What the last two states do not need is
+then removed; the one before the last stays for readers that are at work.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from learnlens.functions.calendar import display_time, instant
-from learnlens.sources import extracts
+from learnlens.sources import extracts, scratch
 
 LOG_SCHEMA = (
     "sync bigint, first_sync bigint, deduplicated boolean, min_updated_at timestamp_ntz,"
@@ -40,6 +41,21 @@ DIMENSIONS: Mapping[str, Callable[[extracts.Tables], DataFrame]] = {
 }
 
 
+def not_stored(new: DataFrame, stored: DataFrame) -> DataFrame:
+    """The rows of ``new``, each once, that ``stored`` does not have; a missing value equals a missing value.
+
+    Rows are placed by one hash; their columns are compared only where hashes meet.
+    """
+    columns = new.columns
+    digest = F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in columns])
+    mine = new.distinct().withColumn("_row", digest).alias("n")
+    held = stored.select(*[f"`{c}`" for c in columns]).withColumn("_row", digest).alias("s")
+    same = F.col("n._row") == F.col("s._row")
+    for c in columns:
+        same = same & F.col(f"n.`{c}`").eqNullSafe(F.col(f"s.`{c}`"))
+    return mine.join(held, same, "left_anti").drop("_row")
+
+
 def data_bounds(attempts: DataFrame) -> DataFrame:
     """Earliest and latest record, and the latest as it is shown to readers."""
     return attempts.agg(
@@ -80,8 +96,12 @@ class SnapshotStore:
         return self._attempts(self._state())
 
     def _attempts(self, state: Row) -> DataFrame:
+        return self._dated(state).drop("day")
+
+    def _dated(self, state: Row) -> DataFrame:
         live = F.col("sync").between(state["first_sync"], state["sync"])
-        return self.spark.read.parquet(f"{self.root}/attempts").where(live).drop("sync")
+        layout = self.spark.read.parquet(f"{self.root}/layout").schema.add("sync", "long").add("day", "date")
+        return self.spark.read.schema(layout).parquet(f"{self.root}/attempts").where(live).drop("sync")
 
     def dimension(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/dims/sync={self._state()['sync']}/{name}")
@@ -104,6 +124,8 @@ class SnapshotStore:
             name, extract = item
             extract(tables).write.mode("overwrite").parquet(f"{self.root}/dims/sync={sync}/{name}")
 
+        for name in tables:  # tables are made once and not by two threads
+            tables[name]
         with ThreadPoolExecutor(len(DIMENSIONS)) as pool:
             list(pool.map(write, DIMENSIONS.items()))
 
@@ -113,46 +135,44 @@ class SnapshotStore:
         Records are read from the newest stored ``updated_at`` on, so the rows at that instant arrive again;
         exact duplicates are dropped. A changed record has a new ``updated_at`` and is kept besides its old
         version. The first load is stored as it is; the first sync after it drops its duplicates once, and
-        every later one compares new rows only with the stored rows they could repeat.
+        every later one compares new rows only with the stored rows of the same days.
         """
         state = self.last_sync()
         latest = state["max_updated_at"] if state else None
-        return self._sync(tables, now, state, load(tables, latest), since=latest)
+        return self._sync(tables, now, state, load(tables, latest), exact=False)
 
     def absorb(self, tables: extracts.Tables, now: dt.datetime, load: Load = extracts.attempts) -> Row:
-        """One sync with all the attempts of ``tables``, also those older than the newest stored one."""
-        state = self.last_sync()
-        since = None
-        if state:
-            since = tables["question_attempts"].agg(F.min("updated_at")).first()[0]
-        return self._sync(tables, now, state, load(tables, None), since)
+        """One sync with all the attempts of ``tables``, in any order of time, each record once."""
+        return self._sync(tables, now, self.last_sync(), load(tables, None), exact=True)
 
     def _sync(
-        self,
-        tables: extracts.Tables,
-        now: dt.datetime,
-        state: Row | None,
-        new: DataFrame,
-        since: dt.datetime | None,
+        self, tables: extracts.Tables, now: dt.datetime, state: Row | None, new: DataFrame, exact: bool
     ) -> Row:
         sync = state["sync"] + 1 if state else 0
         first_sync = sync
         self.refresh_dimensions(tables, sync)
-        if state:
+        if state and state["deduplicated"]:
+            first_sync = state["first_sync"]
+            stored = self._dated(state)
+            new = new.select(*[c for c in stored.columns if c != "day"])
+            # days, of which a batch has few; rows without a time have a day of their own, a missing one
+            days = [r[0] for r in new.select(F.to_date("updated_at")).distinct().collect()]
+            held = F.col("day").isin([d for d in days if d is not None])
+            stored = stored.where(held | F.col("day").isNull() if None in days else held)
+            new = not_stored(new, stored.drop("day"))
+        elif state:
             stored = self._attempts(state)
-            new = new.select(*stored.columns)
-            if state["deduplicated"]:
-                first_sync = state["first_sync"]
-                if since is not None:
-                    stored = stored.where(F.col("updated_at") >= instant(since))
-                new = new.subtract(stored)
-            else:
-                new = stored.unionByName(new).distinct()
+            new = stored.unionByName(new.select(*stored.columns)).distinct()
+        elif exact:
+            new = new.distinct()
         path = f"{self.root}/attempts/sync={sync}"
-        # Sorted files have narrow time ranges per row group, so date filters skip most of a file.
-        new.sortWithinPartitions("updated_at").write.mode("overwrite").parquet(path)
+        if not state:  # an empty file that holds the columns, also when there are no rows yet
+            new.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/layout")
+        # A day is a folder, so that a batch is compared with its own days only; sorted files have narrow time ranges.
+        dated = new.withColumn("day", F.to_date("updated_at"))
+        dated.sortWithinPartitions("day", "updated_at").write.partitionBy("day").mode("overwrite").parquet(path)
 
-        added = self.spark.read.schema(new.schema).parquet(path).agg(
+        added = self.spark.read.schema(dated.schema).parquet(path).agg(
             F.count(F.lit(1)).alias("added"),
             F.min("updated_at").alias("low"),
             F.max("updated_at").alias("high"),
@@ -164,11 +184,21 @@ class SnapshotStore:
         entry = added.select(
             F.lit(sync).cast("bigint").alias("sync"),
             F.lit(first_sync).cast("bigint").alias("first_sync"),
-            F.lit(state is not None).alias("deduplicated"),
+            F.lit(state is not None or exact).alias("deduplicated"),
             F.least("low", low).alias("min_updated_at"),
             F.greatest("high", high).alias("max_updated_at"),
             "added",
             F.lit(now).cast("timestamp").alias("synced_at"),
         )
         entry.write.mode("append").parquet(f"{self.root}/log")
+        if state:
+            self._remove_superseded(state)
         return self._state()
+
+    def _remove_superseded(self, before: Row) -> None:
+        """Removes what the state ``before`` the newest no longer needs, as far as the log goes back by one more."""
+        if before["sync"] > 0:
+            scratch.delete(self.spark, f"{self.root}/dims/sync={before['sync'] - 1}")
+        if before["first_sync"] == before["sync"]:
+            for sync in range(before["first_sync"]):
+                scratch.delete(self.spark, f"{self.root}/attempts/sync={sync}")

@@ -263,7 +263,8 @@ def test_empty_first_load(spark, tables, store):
 def test_unfinished_sync_is_invisible_and_repeated(spark, tables, store):
     store.refresh(having(spark, tables, fact("l1", 1)), NOW)
     # A job that died before its log row: rows under the next number.
-    store.attempts().withColumn("learner_id", F.lit("ghost")).write.parquet(f"{store.root}/attempts/sync=1")
+    ghost = store.attempts().withColumn("learner_id", F.lit("ghost")).withColumn("day", F.to_date("updated_at"))
+    ghost.write.partitionBy("day").parquet(f"{store.root}/attempts/sync=1")
     assert days(store) == [("l1", 1, 1)]
     store.refresh(having(spark, tables, fact("l1", 1), fact("l1", 3)), NOW)
     assert days(store) == [("l1", 1, 1), ("l1", 3, 1)]
@@ -310,6 +311,28 @@ def test_stream_of_files_ends_in_the_same_state(spark, tables, store, tmp_path):
     assert days(store) == [("l1", 2, 1), ("l1", 5, 1), ("l1", 6, 1), ("l1", 7, 1)]
 
 
+def test_records_without_a_time_are_stored_once(spark, tables, store):
+    timeless = ("l1", "q1", "s1", None, 1, 1, RAW["question_attempts"][0][6])
+    for facts in ([fact("l1", 1), timeless], [timeless, fact("l1", 1)], [timeless, timeless, fact("l1", 3)], [timeless]):
+        store.absorb(having(spark, tables, *facts), NOW)
+    assert sorted(str(r["updated_at"]) for r in store.attempts().collect()) == [str(at(1)), str(at(3)), "None"]
+
+
+def test_only_the_days_of_a_batch_are_compared(spark, tables, store):
+    store.absorb(having(spark, tables, *[fact("l1", d) for d in range(1, 9)]), NOW)
+    store.absorb(having(spark, tables, fact("l1", 2), fact("l2", 2)), NOW)
+    assert store.last_sync()["added"] == 1 and len(days(store)) == 9
+    assert sorted(p for p in os.listdir(f"{store.root}/attempts/sync=1") if p.startswith("day=")) == [f"day={at(2).date()}"]
+
+
+def test_superseded_tables_are_removed(spark, tables, store):
+    for day in range(1, 5):
+        store.refresh(having(spark, tables, fact("l1", 1), *[fact("l1", d) for d in range(1, day + 1)]), NOW)
+    assert sorted(os.listdir(f"{store.root}/dims")) == ["sync=2", "sync=3"]
+    assert "sync=0" not in os.listdir(f"{store.root}/attempts")
+    assert days(store) == [("l1", d, 1) for d in range(1, 5)]
+
+
 def test_scratch_tables_go_to_the_shared_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     assert scratch.shared_folder(spark) == folder
