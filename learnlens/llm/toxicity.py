@@ -42,11 +42,11 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def features(word: str) -> tuple[int, list[int]]:
+def features(word: str) -> tuple[int, np.ndarray]:
     """Row of the word and rows of its runs of 3 to 5 characters, of which the word's ends count as one each."""
     data = f"<{word}>"[:LONG_WORD].encode()
     grams = [zlib.crc32(data[k : k + n], 7) % CHAR_ROWS for n in CHARS for k in range(len(data) - n + 1)]
-    return zlib.crc32(data) % WORD_ROWS, grams
+    return zlib.crc32(data) % WORD_ROWS, np.array(grams, np.int32)
 
 
 def window_starts(n: int) -> range | list[int]:
@@ -59,6 +59,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.float32(0.5) * (np.tanh(np.float32(0.5) * x) + np.float32(1))
 
 
+def summed_rows(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """A table of ``size`` rows in which each of ``rows`` holds the sum of its values."""
+    out = np.zeros((size, values.shape[1]), values.dtype)
+    if len(rows):
+        order = np.argsort(rows, kind="stable")
+        held = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+        out[held[first]] = np.add.reduceat(values[order], first, axis=0)
+    return out
+
+
 class Network:
     def __init__(self, seed: int = 0):
         rng = np.random.default_rng(seed)
@@ -68,7 +79,7 @@ class Network:
         for d in "fb":
             self.p |= {f"Wx{d}": w(INPUT, 3 * HIDDEN), f"bx{d}": np.zeros(3 * HIDDEN, np.float32), f"Wh{d}": w(HIDDEN, 3 * HIDDEN), f"bh{d}": np.zeros(3 * HIDDEN, np.float32)}
 
-    def inputs(self, found: list[tuple[int, list[int]]]) -> np.ndarray:
+    def inputs(self, found: list[tuple[int, np.ndarray]]) -> np.ndarray:
         """Input vectors of words, by their features."""
         if not found:
             return np.zeros((0, INPUT), np.float32)
@@ -128,7 +139,7 @@ class Network:
         dinner = de[:, :, None] * p["ua"] * (1 - inner**2)
         out["Wa"], out["ba"] = np.einsum("tnh,tna->ha", states, dinner), dinner.sum(axis=(0, 1))
         dstates += dinner @ p["Wa"].T
-        dx = np.zeros_like(x)
+        places, parts = [], []
         for d, part in (("f", 0), ("b", 1)):
             dh = np.zeros((n, HIDDEN), np.float32)
             for t, h, z, r, c, an in reversed(trace[d]):
@@ -145,9 +156,10 @@ class Network:
                 xt = x[windows[:, t]]
                 out[f"Wx{d}"] += xt.T @ dg
                 out[f"bx{d}"] += dg.sum(axis=0)
-                np.add.at(dx, windows[:, t], dg @ p[f"Wx{d}"].T)
+                places.append(windows[:, t])
+                parts.append(dg @ p[f"Wx{d}"].T)
                 dh = np.where(alive, 0, dh) + dnew * z + da @ p[f"Wh{d}"].T
-        return out, dx
+        return out, summed_rows(np.concatenate(places), np.concatenate(parts), len(x)).astype(x.dtype)
 
 
 class Corpus:
@@ -155,7 +167,7 @@ class Corpus:
 
     def __init__(self, texts: list[str]):
         self.number: dict[str, int] = {}
-        self.features: list[tuple[int, list[int]]] = []
+        self.features: list[tuple[int, np.ndarray]] = []
         windows, lengths, owner = [], [], []
         for i, text in enumerate(texts):
             ids = []
@@ -220,10 +232,10 @@ def train(texts: list[str], labels: np.ndarray, share: float | None = None, epoc
             distinct, index = np.unique(corpus.windows[at], return_inverse=True)
             found = [corpus.features[i] for i in distinct]
             grads, dx = net.gradients(net.inputs(found), index.reshape(-1, WINDOW), corpus.lengths[at], toxic[corpus.owner[at]].astype(np.float32))
-            grads |= {"words": np.zeros_like(net.p["words"]), "chars": np.zeros_like(net.p["chars"])}
-            np.add.at(grads["words"], [w for w, _ in found], dx)
             sizes = np.array([len(c) for _, c in found])
-            np.add.at(grads["chars"], np.concatenate([c for _, c in found]), np.repeat(dx / sizes[:, None], sizes, axis=0).astype(np.float32))
+            shares = np.repeat(dx / sizes[:, None], sizes, axis=0).astype(np.float32)
+            grads["words"] = summed_rows(np.array([w for w, _ in found]), dx, WORD_ROWS)
+            grads["chars"] = summed_rows(np.concatenate([c for _, c in found]), shares, CHAR_ROWS)
             step += 1
             for name, g in grads.items():
                 m, v = moments[name]
