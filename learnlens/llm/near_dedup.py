@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from learnlens.llm.base import LOWER, UPPER, documents, id_and_text, joined_bytes, slices
+from learnlens.llm.base import LOWER, UPPER, documents, id_and_text, joined_bytes, slices, without
 from learnlens.llm.components import components
 from learnlens.sources.scratch import written
 
@@ -380,8 +380,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without those whose component has a smaller id; all columns stay."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return without(docs, gone, F.col("row.doc_id").cast("long") == F.col("doc_id"))
 
 
 def op6_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
