@@ -31,7 +31,7 @@ def reference():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=dict(byte_bpe.ranks_of(RANKS)), special_tokens={})
 
 
-STRANGE = ["'s don't WE'LL  x y\x85z", "\r\n \n\n  a", "½²٣৪Ⅷ", "áë", "​zero‍", "😀👍🏽🇫🇷", "x" * 300, "<|endoftext|>", "ǅǈ ﬁ ß", "\x1c\x1d a\x1fb", "0x1F 1,234.5e-6"]
+STRANGE = ["'s don't WE'LL  x y\x85z", "\r\n \n\n  a", "½²٣৪Ⅷ", "áë", "​zero‍", "😀👍🏽🇫🇷", "x" * 300, "<|endoftext|>", "ǅǈ ﬁ ß", "\x1c\x1d a\x1fb", "0x1F 1,234.5e-6", "ab\u0870cd \U0001e4f2\U0001e4f3x \U0002ebf1 \ua7d3's \U00016a71 1\U0001ccf5"]
 
 
 def test_encoding_equals_the_reference_library(make, reference):
