@@ -1,21 +1,25 @@
 """Benchmark decontamination by templates, which also catches questions with other numbers, names and units.
 
-A text becomes tokens: runs of letters, and numbers. Numbers, units of measure and names (capitalised words inside a
+A text becomes tokens: runs of letters, single letters of scripts written without spaces, and numbers. Numbers, units of measure and names (capitalised words inside a
 sentence) become typed placeholders, other words are lower-cased; punctuation and white space go. Every window of
 ``WINDOW`` template tokens with at least ``LEAST_WORDS`` real words is hashed; a benchmark item shorter than a window is
 one window of its own length.
 
+An item of which less than half of the windows have that many words, or of fewer than ``LEAST_TOKENS`` tokens, also has exact
+windows: of its tokens without placeholders, lower-cased, whatever words they hold.
+
 Documents keep only windows that a bitmap of the benchmark's windows may hold; its size is fixed whatever the size of the
 benchmark. Those windows are joined with the benchmark's by hash. Matches of a document and an item on one diagonal
 (distance between the two places) are an alignment. In an alignment each slot of the item has a value in the
-document; the values are consistent if equal slots of the item got equal values in nearly all places. An item is leaked in
-a document if the consistent alignments cover at least ``COVERAGE`` of its windows.
+document; the values are consistent if equal slots of the item got equal values in nearly all places; a window with the item's own
+values counts in any alignment. An item is leaked in a document if what is consistent covers at least ``COVERAGE`` of its windows, or
+has ``RUN`` tokens in a row, each in a matching window and none of the item's windows between them missed.
 
 Documents are scanned whole, and no text is shuffled. A passage that very many documents hold is a hot key of the join on
 the documents' side alone, which adaptive skew handling splits; what comes after is grouped by document and item.
 
-Defined results: null and empty texts match nothing, and neither do items of fewer than ``LEAST_TOKENS`` tokens. An
-empty benchmark leaves all documents clean. Rows that share a doc_id are judged each by its own text, repeated rows alike,
+Defined results: null and empty texts match nothing, and neither do items without tokens; an item of a single word is leaked
+wherever that word stands. An empty benchmark leaves all documents clean. Rows that share a doc_id are judged each by its own text, repeated rows alike,
 and rows without an id like all others. Rows of one item_id are judged each by its own text. Other columns are not read.
 """
 
@@ -26,14 +30,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from learnlens.llm.base import documents, joined_bytes, slices, table, without
 from learnlens.llm.near_dedup import MIX, TAIL, mixed, powers
 from learnlens.sources.scratch import written
 
 WINDOW, LEAST_TOKENS, LEAST_WORDS = 6, 5, 3
-COVERAGE, CONSISTENT = 0.5, 0.8
+COVERAGE, CONSISTENT, RUN = 0.5, 0.8, 13
 FILTER_BITS = 1 << 24
 SLICE_BYTES = 2 << 20
 
@@ -45,17 +49,21 @@ month months year years dollar dollars cent cents euro euros usd eur percent deg
 watts volt volts joule joules newton newtons meter meters metre metres centimeter centimeters kilometer kilometers kmh mph
 """.split()
 
+# Scripts written without spaces between words, as ranges of code points.
+UNSEGMENTED = [(0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x3005, 0x3007), (0x3021, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA980, 0xA9DF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x323AF)]
+
 WORD, NUMBER, NAME, UNIT = range(4)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _PLACEHOLDER = np.array([0, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93], np.uint64)
 _STARTS_SENTENCE = frozenset(".!?:;\n\r\"“”«»()[]")
 _tables: list[tuple[np.ndarray, ...]] = []
+_EXACT = np.uint64(0xC2B2AE3D27D4EB4F)
 _WINDOW_MIX = np.concatenate([MIX, MIX * TAIL[0] + TAIL[1]])
 
 
 def _characters() -> tuple[np.ndarray, ...]:
-    """For each code point: kind (0 other, 1 letter, 2 digit), lower case, whether upper, whether it ends a sentence."""
+    """For each code point: kind (0 other, 1 letter, 2 digit, 3 a word by itself), lower case, whether upper, whether it ends a sentence."""
     if not _tables:
         size = 0x110000
         kind, lower, upper, stop = np.zeros(size, np.uint8), np.arange(size, dtype=np.uint32), np.zeros(size, bool), np.zeros(size, bool)
@@ -69,6 +77,9 @@ def _characters() -> tuple[np.ndarray, ...]:
             elif char.isdecimal():
                 kind[i] = 2
             stop[i] = char in _STARTS_SENTENCE
+        for low, high in UNSEGMENTED:
+            part = kind[low : high + 1]
+            part[part == 1] = 3
         _tables.append((kind, lower, upper, stop))
     return _tables[0]
 
@@ -97,7 +108,7 @@ class Tokens:
         edge[starts] = True
         begins, closes = kind > 0, kind > 0
         if len(points):
-            changes = np.concatenate([[True], kind[1:] != kind[:-1]]) | edge[:-1]
+            changes = np.concatenate([[True], kind[1:] != kind[:-1]]) | edge[:-1] | (kind == 3)
             begins = begins & changes
             closes = closes & np.concatenate([changes[1:], [True]])
         first, last = np.flatnonzero(begins), np.flatnonzero(closes) + 1
@@ -121,27 +132,30 @@ class Tokens:
         unit = units[np.minimum(np.searchsorted(units, hashes), len(units) - 1)] == hashes
         self.kind = np.select([number, unit, title & ~opening], [NUMBER, UNIT, NAME], WORD)
         self.value = np.where(self.kind == WORD, hashes, _PLACEHOLDER[self.kind])
-        self.first, self.last = first, last
+        self.first, self.last, self.raw = first, last, hashes
         self.bounds = np.searchsorted(self.text, np.arange(len(texts) + 1))
 
-    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens at which a window of the length begins, and the windows' hashes."""
+    def windows(self, length: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens at which a window of the length begins, and the windows' hashes; exact ones are without placeholders."""
         n = len(self.first) - length + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        words = np.concatenate([[0], np.cumsum(self.kind == WORD)])
-        inside = (self.text[:n] == self.text[length - 1 :]) & (words[length:] - words[:n] >= LEAST_WORDS)
+        inside = self.text[:n] == self.text[length - 1 :]
+        if not exact:
+            words = np.concatenate([[0], np.cumsum(self.kind == WORD)])
+            inside &= words[length:] - words[:n] >= LEAST_WORDS
         at = np.flatnonzero(inside)
-        total = np.full(len(at), length, np.uint64) * TAIL[1]
+        values = self.raw if exact else self.value
+        total = np.full(len(at), length, np.uint64) * TAIL[1] + _EXACT * np.uint64(exact)
         for k in range(length):
-            total += self.value[at + k] * _WINDOW_MIX[k]
+            total += values[at + k] * _WINDOW_MIX[k]
         return at, mixed(total)
 
-    def slots(self, at: int, length: int) -> list[dict]:
+    def slots(self, at: int, length: int, exact: bool = False) -> list[dict]:
         """The placeholders of a window: offset, kind and text of each."""
         found = []
         for k in range(at, at + length):
-            if self.kind[k] != WORD:
+            if not exact and self.kind[k] != WORD:
                 text = self.points[self.first[k] : self.last[k]].tobytes().decode("utf-32-le").lower()
                 found.append({"offset": k - at, "kind": int(self.kind[k]), "value": text})
         return found
@@ -151,26 +165,34 @@ SLOTS = "array<struct<offset:int,kind:int,value:string>>"
 _SLOT_TYPE = pa.list_(pa.struct([("offset", pa.int32()), ("kind", pa.int32()), ("value", pa.string())]))
 
 
+def _between(at: np.ndarray, hashes: np.ndarray, first: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    mine = (at >= first) & (at < end)
+    return at[mine], hashes[mine]
+
+
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         tokens, out = Tokens(batch.column("text")), []
         for i, (a, b) in enumerate(zip(tokens.bounds[:-1], tokens.bounds[1:], strict=True)):
-            length = min(WINDOW, int(b - a))
-            if length < LEAST_TOKENS:
-                continue
-            at, hashes = tokens.windows(length)
-            mine = (at >= a) & (at < b)
-            for place, value in zip(at[mine], hashes[mine].view(np.int64).tolist(), strict=True):
-                out.append((batch.column("item_id")[i].as_py(), batch.column("row")[i].as_py(), int(place - a), int(mine.sum()), length, value, tokens.slots(place, length)))
-        names = ("item_id", "row", "item_pos", "n_windows", "length", "hash", "slots")
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), _SLOT_TYPE)
+            n, length = int(b - a), min(WINDOW, int(b - a))
+            ways, usable = [], 0
+            if n >= LEAST_TOKENS:
+                ways.append((False, *_between(*tokens.windows(length), a, b)))
+                usable = len(ways[0][1])
+            if n and 2 * usable < n - length + 1:
+                ways.append((True, *_between(*tokens.windows(length, True), a, b)))
+            for exact, at, hashes in ways:
+                for rank, (place, value) in enumerate(zip(at, hashes.view(np.int64).tolist(), strict=True)):
+                    out.append((batch.column("item_id")[i].as_py(), batch.column("row")[i].as_py(), exact, int(place - a), rank, len(at), length, value, tokens.slots(place, length, exact)))
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), _SLOT_TYPE)
+        names = ("item_id", "row", "exact", "item_pos", "rank", "n_windows", "length", "hash", "slots")
         yield pa.record_batch({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(zip(names, kinds, strict=True))})
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.withColumn("row", F.xxhash64("item_id", "text")).distinct()
-    return written(items.mapInArrow(_item_windows, f"item_id long, row long, item_pos int, n_windows int, length int, hash long, slots {SLOTS}"), "benchmark")
+    return written(items.mapInArrow(_item_windows, f"item_id long, row long, exact boolean, item_pos int, rank int, n_windows int, length int, hash long, slots {SLOTS}"), "benchmark")
 
 
 def window_filter(windows: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -184,7 +206,7 @@ def window_filter(windows: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
 
 def candidates(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """Windows of documents that the benchmark may hold: doc_id, body (hash of the text), doc_pos, hash, slots."""
-    lengths = sorted(row[0] for row in windows.select("length").distinct().collect())
+    kinds = sorted((row["exact"], row["length"]) for row in windows.select("exact", "length").distinct().collect())
     held = docs.sparkSession.sparkContext.broadcast(window_filter(windows))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,8 +215,8 @@ def candidates(docs: DataFrame, windows: DataFrame) -> DataFrame:
         for batch in batches:
             for piece in slices(batch, "text", SLICE_BYTES):
                 tokens = Tokens(piece.column("text"))
-                for length in lengths:
-                    at, hashes = tokens.windows(length)
+                for exact, length in kinds:
+                    at, hashes = tokens.windows(length, exact)
                     hashes = hashes.view(np.int64)
                     bit = np.mod(hashes, bits)
                     hit = np.flatnonzero(words[bit >> 6] >> (bit & 63) & 1)
@@ -205,7 +227,7 @@ def candidates(docs: DataFrame, windows: DataFrame) -> DataFrame:
                             "body": piece.column("body").take(owner),
                             "doc_pos": pa.array((at - tokens.bounds[tokens.text[at]]).astype(np.int64)),
                             "hash": pa.array(hashes[hit]),
-                            "slots": pa.array([tokens.slots(k, length) for k in at], _SLOT_TYPE),
+                            "slots": pa.array([tokens.slots(k, length, exact) for k in at], _SLOT_TYPE),
                         })
 
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -215,13 +237,13 @@ def candidates(docs: DataFrame, windows: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, body, item_id, coverage: the items leaked in documents."""
     windows = benchmark_windows(benchmark)
-    theirs = windows.select("item_id", "row", "item_pos", "n_windows", "hash", F.col("slots").alias("item_slots"))
+    theirs = windows.select("item_id", "row", "exact", "item_pos", "rank", "n_windows", "length", "hash", F.col("slots").alias("item_slots"))
     matched = candidates(docs, windows).join(theirs, "hash")
     # the same slots in the same places, so that a collision of hashes or kinds is no match
     shape = lambda slots: F.transform(slots, lambda s: F.struct(s["offset"], s["kind"]))
     matched = matched.where(shape(F.col("slots")) == shape(F.col("item_slots")))
     pair = ["doc_id", "body", "item_id", "row"]
-    matched = written(matched.withColumn("diagonal", F.col("doc_pos") - F.col("item_pos")).drop("hash"), "matches")
+    matched = written(matched.withColumn("diagonal", F.col("doc_pos") - F.col("item_pos")).withColumn("own", F.col("slots") == F.col("item_slots")).drop("hash"), "matches")
 
     slots = matched.select(*pair, "diagonal", "item_pos", F.explode(F.arrays_zip("slots", "item_slots")).alias("s"))
     slots = slots.select(*pair, "diagonal", (F.col("item_pos") + F.col("s.slots.offset")).alias("place"), F.col("s.slots.kind").alias("kind"), F.col("s.item_slots.value").alias("item_value"), F.col("s.slots.value").alias("value")).distinct()
@@ -229,13 +251,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     values = values.groupBy(*pair, "diagonal", "kind", "item_value").agg(F.max("places").alias("same"), F.sum("places").alias("all"))
     torn = values.groupBy(*pair, "diagonal").agg(F.sum("same").alias("same"), F.sum("all").alias("all")).where(F.col("same") < CONSISTENT * F.col("all"))
 
-    on = F.lit(True)
+    on = ~F.col("own")
     torn = torn.select(*[F.col(c).alias(f"t_{c}") for c in [*pair, "diagonal"]])
     for c in [*pair, "diagonal"]:
         on = on & F.col(c).eqNullSafe(F.col(f"t_{c}"))
-    sound = matched.join(torn, on, "left_anti").select(*pair, "item_pos", "n_windows").distinct()
-    covered = sound.groupBy(*pair, "n_windows").agg((F.count(F.lit(1)) / F.col("n_windows")).alias("coverage"))
-    return covered.where(F.col("coverage") >= COVERAGE).groupBy("doc_id", "body", "item_id").agg(F.max("coverage").alias("coverage"))
+    sound = matched.join(torn, on, "left_anti").select(*pair, "exact", "diagonal", "item_pos", "rank", "n_windows", "length").distinct()
+    ordered = Window.partitionBy(*pair, "exact", "diagonal").orderBy("item_pos")
+    follows = (F.col("rank") == F.lag("rank").over(ordered) + 1) & (F.col("item_pos") - F.lag("item_pos").over(ordered) <= F.col("length"))
+    sound = sound.withColumn("begins", F.when(~F.coalesce(follows, F.lit(False)), F.col("item_pos")))
+    sound = sound.withColumn("run", F.col("item_pos") + F.col("length") - F.last("begins", ignorenulls=True).over(ordered))
+    covered = sound.groupBy(*pair, "exact", "n_windows").agg((F.size(F.collect_set("item_pos")) / F.col("n_windows")).alias("coverage"), F.max("run").alias("run"))
+    return covered.where((F.col("coverage") >= COVERAGE) | (F.col("run") >= RUN)).groupBy("doc_id", "body", "item_id").agg(F.max("coverage").alias("coverage"))
 
 
 def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

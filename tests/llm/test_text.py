@@ -293,6 +293,25 @@ def test_exact_leaks_as_by_brute_force(spark):
     assert leaked and all(item in found[doc]["item_ids"] for doc, item in leaked)
 
 
+def test_items_without_template_windows_leak_by_their_tokens(spark, make, prose):
+    short = ["Compute 12 + 7 * 5 - 8 / 4 = ?", "Blue whales", "小明有十二个苹果他又买了五个", "日本語 7 個"]
+    rows = [(k, f"{prose(30)} {t} {prose(30)}") for k, t in enumerate(short)]
+    rows += [(10, "Compute 12 + 7 * 5 - 9 / 4 = ?"), (11, "Whales are blue"), (12, f"前の{short[2]}後の"), (13, "小明有三个梨他又卖了"), (14, "12 7 5 8 4")]
+    found = {r["doc_id"]: r["item_ids"] for r in decontaminate.judged(make(rows), items(spark, *short)).collect()}
+    assert found == {0: [0], 1: [1], 2: [2], 3: [3], 10: [], 11: [], 12: [2], 13: [], 14: []}
+
+
+def test_long_runs_of_long_items_leak(spark, make, prose):
+    words = prose(55, 8).split()
+    names = "Then {} met {} and {} saw {} and {} told {} of it while {} and {} sat there"
+    torn, other = names.format(*["Tom", "Ann"] * 4), names.format("Bob", "Kim", "Kim", "Bob", "Lea", "Sue", "Sue", "Bob")
+    rows = [(n, " ".join([prose(20, 40 + n), *words[10 : 10 + n], prose(20, 80 + n)])) for n in (9, 12, 13, 29)]
+    # two pieces of nine words with another word between them are no run
+    rows += [(1, " ".join([*words[:9], "other", *words[10:19]])), (2, f"{other} {prose(20, 9)}"), (3, f"{other} {prose(25)}")]
+    found = {r["doc_id"]: r["kept"] for r in decontaminate.judged(make(rows), items(spark, " ".join(words), f"{torn} {prose(20, 9)}")).collect()}
+    assert found == {9: True, 12: True, 13: False, 29: False, 1: True, 2: False, 3: True}
+
+
 def test_an_empty_benchmark_leaves_all(spark, odd, none):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert all(r["kept"] for r in decontaminate.judged(odd, empty).collect())
