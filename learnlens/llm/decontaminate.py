@@ -3,7 +3,8 @@
 A text becomes tokens: runs of letters, single letters of scripts written without spaces, and numbers. Numbers, units of measure and names (capitalised words inside a
 sentence) become typed placeholders, other words are lower-cased; punctuation and white space go. Every window of
 ``WINDOW`` template tokens with at least ``LEAST_WORDS`` real words is hashed; a benchmark item shorter than a window is
-one window of its own length.
+one window of its own length. A window with capitalised words that begin sentences is hashed a second time with those as names too,
+as the same name may stand inside a sentence in the other text, or be another one there.
 
 An item of which less than half of the windows have that many words, or of fewer than ``LEAST_TOKENS`` tokens, also has exact
 windows: of its tokens without placeholders, lower-cased, whatever words they hold.
@@ -11,8 +12,9 @@ windows: of its tokens without placeholders, lower-cased, whatever words they ho
 Documents keep only windows that a bitmap of the benchmark's windows may hold; its size is fixed whatever the size of the
 benchmark. Those windows are joined with the benchmark's by hash. Matches of a document and an item on one diagonal
 (distance between the two places) are an alignment. In an alignment each slot of the item has a value in the
-document; the values are consistent if equal slots of the item got equal values in nearly all places; a window with the item's own
-values counts in any alignment. An item is leaked in a document if what is consistent covers at least ``COVERAGE`` of its windows, or
+document; the values are consistent if equal slots of the item got equal values in nearly all places. They are judged without the words
+that begin sentences and again with them, and one of the two is enough. A window with the item's own
+values counts anyway. An item is leaked in a document if what is consistent covers at least ``COVERAGE`` of its windows, or
 has ``RUN`` tokens in a row, each in a matching window and none of the item's windows between them missed.
 
 Documents are scanned whole, and no text is shuffled. A passage that very many documents hold is a hot key of the join on
@@ -58,6 +60,7 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _PLACEHOLDER = np.array([0, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93], np.uint64)
 _STARTS_SENTENCE = frozenset(".!?:;\n\r\"“”«»()[]")
 _tables: list[tuple[np.ndarray, ...]] = []
+TEMPLATE, OPENED, EXACT = range(3)
 _EXACT = np.uint64(0xC2B2AE3D27D4EB4F)
 _WINDOW_MIX = np.concatenate([MIX, MIX * TAIL[0] + TAIL[1]])
 
@@ -132,32 +135,39 @@ class Tokens:
         unit = units[np.minimum(np.searchsorted(units, hashes), len(units) - 1)] == hashes
         self.kind = np.select([number, unit, title & ~opening], [NUMBER, UNIT, NAME], WORD)
         self.value = np.where(self.kind == WORD, hashes, _PLACEHOLDER[self.kind])
-        self.first, self.last, self.raw = first, last, hashes
+        opener = title & opening & (self.kind == WORD)
+        self.openers = np.concatenate([[0], np.cumsum(opener)])
+        opened = np.where(opener, NAME, self.kind)
+        #: kind and value of each token by the way a window is hashed; an exact window has only words
+        self.kinds = {TEMPLATE: self.kind, OPENED: opened, EXACT: np.full(len(first), WORD)}
+        self.values = {TEMPLATE: self.value, OPENED: np.where(opener, _PLACEHOLDER[NAME], self.value), EXACT: hashes}
+        self.first, self.last = first, last
         self.bounds = np.searchsorted(self.text, np.arange(len(texts) + 1))
 
-    def windows(self, length: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens at which a window of the length begins, and the windows' hashes; exact ones are without placeholders."""
+    def windows(self, length: int, way: int = TEMPLATE) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens at which a window of the length begins, and the windows' hashes; of the way OPENED only where it differs."""
         n = len(self.first) - length + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         inside = self.text[:n] == self.text[length - 1 :]
-        if not exact:
-            words = np.concatenate([[0], np.cumsum(self.kind == WORD)])
+        if way == OPENED:
+            inside &= self.openers[length:] > self.openers[:n]
+        if way != EXACT:
+            words = np.concatenate([[0], np.cumsum(self.kinds[way] == WORD)])
             inside &= words[length:] - words[:n] >= LEAST_WORDS
         at = np.flatnonzero(inside)
-        values = self.raw if exact else self.value
-        total = np.full(len(at), length, np.uint64) * TAIL[1] + _EXACT * np.uint64(exact)
+        total = np.full(len(at), length, np.uint64) * TAIL[1] + _EXACT * np.uint64(way == EXACT)
         for k in range(length):
-            total += values[at + k] * _WINDOW_MIX[k]
+            total += self.values[way][at + k] * _WINDOW_MIX[k]
         return at, mixed(total)
 
-    def slots(self, at: int, length: int, exact: bool = False) -> list[dict]:
+    def slots(self, at: int, length: int, way: int = TEMPLATE) -> list[dict]:
         """The placeholders of a window: offset, kind and text of each."""
-        found = []
+        found, kinds = [], self.kinds[way]
         for k in range(at, at + length):
-            if not exact and self.kind[k] != WORD:
+            if kinds[k] != WORD:
                 text = self.points[self.first[k] : self.last[k]].tobytes().decode("utf-32-le").lower()
-                found.append({"offset": k - at, "kind": int(self.kind[k]), "value": text})
+                found.append({"offset": k - at, "kind": int(kinds[k]), "value": text})
         return found
 
 
@@ -177,22 +187,24 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             n, length = int(b - a), min(WINDOW, int(b - a))
             ways, usable = [], 0
             if n >= LEAST_TOKENS:
-                ways.append((False, *_between(*tokens.windows(length), a, b)))
+                ways = [(way, *_between(*tokens.windows(length, way), a, b)) for way in (TEMPLATE, OPENED)]
                 usable = len(ways[0][1])
             if n and 2 * usable < n - length + 1:
-                ways.append((True, *_between(*tokens.windows(length, True), a, b)))
-            for exact, at, hashes in ways:
-                for rank, (place, value) in enumerate(zip(at, hashes.view(np.int64).tolist(), strict=True)):
-                    out.append((batch.column("item_id")[i].as_py(), batch.column("row")[i].as_py(), exact, int(place - a), rank, len(at), length, value, tokens.slots(place, length, exact)))
-        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), _SLOT_TYPE)
-        names = ("item_id", "row", "exact", "item_pos", "rank", "n_windows", "length", "hash", "slots")
+                ways.append((EXACT, *_between(*tokens.windows(length, EXACT), a, b)))
+            for way, at, hashes in ways:
+                # what OPENED has is among the windows of TEMPLATE
+                whole = ways[0][1] if way == OPENED else at
+                for rank, place, value in zip(np.searchsorted(whole, at).tolist(), at, hashes.view(np.int64).tolist(), strict=True):
+                    out.append((batch.column("item_id")[i].as_py(), batch.column("row")[i].as_py(), way, int(place - a), rank, len(whole), length, value, tokens.slots(place, length, way)))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), _SLOT_TYPE)
+        names = ("item_id", "row", "way", "item_pos", "rank", "n_windows", "length", "hash", "slots")
         yield pa.record_batch({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(zip(names, kinds, strict=True))})
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.withColumn("row", F.xxhash64("item_id", "text")).distinct()
-    return written(items.mapInArrow(_item_windows, f"item_id long, row long, exact boolean, item_pos int, rank int, n_windows int, length int, hash long, slots {SLOTS}"), "benchmark")
+    return written(items.mapInArrow(_item_windows, f"item_id long, row long, way int, item_pos int, rank int, n_windows int, length int, hash long, slots {SLOTS}"), "benchmark")
 
 
 def window_filter(windows: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -205,8 +217,10 @@ def window_filter(windows: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
 
 
 def candidates(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """Windows of documents that the benchmark may hold: doc_id, body (hash of the text), doc_pos, hash, slots."""
-    kinds = sorted((row["exact"], row["length"]) for row in windows.select("exact", "length").distinct().collect())
+    """Windows of documents that the benchmark may hold: doc_id, body (hash of the text), doc_pos, hash, opened, slots."""
+    exact = F.col("way") == EXACT
+    kinds = sorted((row["exact"], row["length"]) for row in windows.select(exact.alias("exact"), "length").distinct().collect())
+    ways = [(way, length) for exact, length in kinds for way in ((EXACT,) if exact else (TEMPLATE, OPENED))]
     held = docs.sparkSession.sparkContext.broadcast(window_filter(windows))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,8 +229,8 @@ def candidates(docs: DataFrame, windows: DataFrame) -> DataFrame:
         for batch in batches:
             for piece in slices(batch, "text", SLICE_BYTES):
                 tokens = Tokens(piece.column("text"))
-                for exact, length in kinds:
-                    at, hashes = tokens.windows(length, exact)
+                for way, length in ways:
+                    at, hashes = tokens.windows(length, way)
                     hashes = hashes.view(np.int64)
                     bit = np.mod(hashes, bits)
                     hit = np.flatnonzero(words[bit >> 6] >> (bit & 63) & 1)
@@ -227,33 +241,38 @@ def candidates(docs: DataFrame, windows: DataFrame) -> DataFrame:
                             "body": piece.column("body").take(owner),
                             "doc_pos": pa.array((at - tokens.bounds[tokens.text[at]]).astype(np.int64)),
                             "hash": pa.array(hashes[hit]),
-                            "slots": pa.array([tokens.slots(k, length, exact) for k in at], _SLOT_TYPE),
+                            "opened": pa.array(np.full(len(hit), way == OPENED)),
+                            "slots": pa.array([tokens.slots(k, length, way) for k in at], _SLOT_TYPE),
                         })
 
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.withColumn("body", F.xxhash64("text")).mapInArrow(found, f"doc_id long, body long, doc_pos long, hash long, slots {SLOTS}")
+    return rows.withColumn("body", F.xxhash64("text")).mapInArrow(found, f"doc_id long, body long, doc_pos long, hash long, opened boolean, slots {SLOTS}")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, body, item_id, coverage: the items leaked in documents."""
     windows = benchmark_windows(benchmark)
-    theirs = windows.select("item_id", "row", "exact", "item_pos", "rank", "n_windows", "length", "hash", F.col("slots").alias("item_slots"))
+    theirs = windows.select("item_id", "row", "way", "item_pos", "rank", "n_windows", "length", "hash", F.col("slots").alias("item_slots"))
     matched = candidates(docs, windows).join(theirs, "hash")
     # the same slots in the same places, so that a collision of hashes or kinds is no match
     shape = lambda slots: F.transform(slots, lambda s: F.struct(s["offset"], s["kind"]))
     matched = matched.where(shape(F.col("slots")) == shape(F.col("item_slots")))
     pair = ["doc_id", "body", "item_id", "row"]
-    matched = written(matched.withColumn("diagonal", F.col("doc_pos") - F.col("item_pos")).withColumn("own", F.col("slots") == F.col("item_slots")).drop("hash"), "matches")
-
-    slots = matched.select(*pair, "diagonal", "item_pos", F.explode(F.arrays_zip("slots", "item_slots")).alias("s"))
-    slots = slots.select(*pair, "diagonal", (F.col("item_pos") + F.col("s.slots.offset")).alias("place"), F.col("s.slots.kind").alias("kind"), F.col("s.item_slots.value").alias("item_value"), F.col("s.slots.value").alias("value")).distinct()
-    values = slots.groupBy(*pair, "diagonal", "kind", "item_value", "value").agg(F.count(F.lit(1)).alias("places"))
-    values = values.groupBy(*pair, "diagonal", "kind", "item_value").agg(F.max("places").alias("same"), F.sum("places").alias("all"))
-    torn = values.groupBy(*pair, "diagonal").agg(F.sum("same").alias("same"), F.sum("all").alias("all")).where(F.col("same") < CONSISTENT * F.col("all"))
+    matched = matched.withColumns({"diagonal": F.col("doc_pos") - F.col("item_pos"), "own": F.col("slots") == F.col("item_slots"), "exact": F.col("way") == EXACT, "opened": F.col("opened") | (F.col("way") == OPENED)})
+    matched = written(matched.drop("hash", "way"), "matches")
+
+    # judged without (0) and with (1) the windows in which words that begin sentences are names
+    matched = matched.withColumn("view", F.explode(F.when(F.col("opened"), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    line = [*pair, "diagonal", "view"]
+    slots = matched.select(*line, "item_pos", F.explode(F.arrays_zip("slots", "item_slots")).alias("s"))
+    slots = slots.select(*line, (F.col("item_pos") + F.col("s.slots.offset")).alias("place"), F.col("s.slots.kind").alias("kind"), F.col("s.item_slots.value").alias("item_value"), F.col("s.slots.value").alias("value")).distinct()
+    values = slots.groupBy(*line, "kind", "item_value", "value").agg(F.count(F.lit(1)).alias("places"))
+    values = values.groupBy(*line, "kind", "item_value").agg(F.max("places").alias("same"), F.sum("places").alias("all"))
+    torn = values.groupBy(*line).agg(F.sum("same").alias("same"), F.sum("all").alias("all")).where(F.col("same") < CONSISTENT * F.col("all"))
 
     on = ~F.col("own")
-    torn = torn.select(*[F.col(c).alias(f"t_{c}") for c in [*pair, "diagonal"]])
-    for c in [*pair, "diagonal"]:
+    torn = torn.select(*[F.col(c).alias(f"t_{c}") for c in line])
+    for c in line:
         on = on & F.col(c).eqNullSafe(F.col(f"t_{c}"))
     sound = matched.join(torn, on, "left_anti").select(*pair, "exact", "diagonal", "item_pos", "rank", "n_windows", "length").distinct()
     ordered = Window.partitionBy(*pair, "exact", "diagonal").orderBy("item_pos")

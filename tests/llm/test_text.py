@@ -312,6 +312,19 @@ def test_long_runs_of_long_items_leak(spark, make, prose):
     assert found == {9: True, 12: True, 13: False, 29: False, 1: True, 2: False, 3: True}
 
 
+def test_names_that_begin_sentences_are_names(spark, make, prose):
+    said = "{} has {} apples. {} gives {} {} apples. {} walks {} km. How many apples has {}?"
+    rows = [
+        (1, f"{prose(30)}. {said.format('Bob', 7, 'Kim', 'Bob', 4, 'Ann', 9, 'Bob')} {prose(30)}"),
+        (2, said.format("Tom", 12, "Mary", "Tom", 5, "Sue", 3, "Tom")),
+        (5, prose(200)),
+        (6, "There Bob has 7 red apples and sees Kim, Kim has 9 red apples and sees Bob."),
+    ]
+    other = "Tom has 12 red apples and sees Ann. Ann has 5 red apples and sees Tom."
+    found = {r["doc_id"]: r["item_ids"] for r in decontaminate.judged(make(rows), items(spark, said.format("Tom", 12, "Mary", "Tom", 5, "Sue", 3, "Tom"), other)).collect()}
+    assert found == {1: [0], 2: [0], 5: [], 6: [1]}
+
+
 def test_an_empty_benchmark_leaves_all(spark, odd, none):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert all(r["kept"] for r in decontaminate.judged(odd, empty).collect())
