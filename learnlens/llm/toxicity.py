@@ -1,7 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention, over words and their characters.
 
 A word's input is the sum of two learned vectors: one of the word (hashed) and the mean of those of its 3 to 5
-adjacent characters (hashed). Two recurrent layers read a window of ``WINDOW`` words from both ends, attention pools their states, and a
+adjacent characters (hashed); a run of more than ``LONG_WORD`` letters is several words. Two recurrent layers read a window of ``WINDOW`` words from both ends, attention pools their states, and a
 logistic unit scores the window. Windows begin every ``STRIDE`` words and the last one ends with the text, so every word
 is in a window, a third of them in two, and a document's score is that of its worst window.
 
@@ -39,12 +39,17 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Runs of letters; longer ones as words of ``LONG_WORD`` letters, of which neighbours share all but the last of the longest run of characters."""
+    found = WORD.findall(text.lower())
+    if all(len(word) <= LONG_WORD for word in found):
+        return found
+    step = LONG_WORD - max(CHARS) + 1
+    return [word[k : k + LONG_WORD] for word in found for k in range(0, max(1, len(word) - LONG_WORD + step), step)]
 
 
 def features(word: str) -> tuple[int, np.ndarray]:
     """Row of the word and rows of its runs of 3 to 5 characters, of which the word's ends count as one each."""
-    data = f"<{word}>"[:LONG_WORD].encode()
+    data = f"<{word}>".encode()
     grams = [zlib.crc32(data[k : k + n], 7) % CHAR_ROWS for n in CHARS for k in range(len(data) - n + 1)]
     return zlib.crc32(data) % WORD_ROWS, np.array(grams, np.int32)
 

@@ -225,6 +225,17 @@ def test_windows_cover_every_word_and_overlap():
         assert all(b - a < toxicity.WINDOW for a, b in zip(starts, starts[1:], strict=False))
 
 
+def test_every_letter_of_a_long_run_counts():
+    long = "".join(chr(0x4E00 + k) for k in range(500))
+    for n in (62, 63, 64, 65, 72, 124, 125, 500):
+        run, words = long[:n], toxicity.words_of(f"a {long[:n]} b")
+        assert words[0] == "a" and words[-1] == "b" and max(map(len, words)) <= 64
+        assert all(any(run[k : k + 5] in w for w in words) for k in range(n - 4)) and all(w in run for w in words[1:-1])
+        assert len(words) == 3 or n > 64
+    gram_rows = lambda text: {int(c) for w in toxicity.words_of(text) for c in toxicity.features(w)[1]}
+    assert gram_rows(long[:72] + "scumbag") != gram_rows(long[:72] + "friend")
+
+
 def test_toxic_documents_are_told(spark, make, prose, monkeypatch):
     monkeypatch.setattr(toxicity, "EPOCHS", 4)
     rng, rows, marks = random.Random(0), [], []
