@@ -2,12 +2,12 @@
 
 A word's input is the sum of two learned vectors: one of the word (hashed) and the mean of those of its 3 to 5
 adjacent characters (hashed); a run of more than ``LONG_WORD`` letters is several words. Two recurrent layers read a window of ``WINDOW`` words from both ends, attention pools their states, and a
-logistic unit scores the window. Windows begin every ``STRIDE`` words and the last one ends with the text, so every word
-is in a window, a third of them in two, and a document's score is that of its worst window.
+logistic unit scores the window. A window begins at every word up to the last whole one, so that every phrase of up to
+``WINDOW`` words lies whole in a window, and a document's score is that of its worst window.
 
 The network is trained in numpy on the driver, on about ``PER_CLASS`` toxic and twice as many clean labelled documents of at most
 ``TRAIN_CHARS`` characters, chosen by a hash of the id: the bound of what is collected. Labels are of documents; of a toxic
-one the windows that score highest count as toxic, at first by how much more often their words occur in toxic documents. The model
+one the windows that score highest, of those that begin every ``TRAIN_STRIDE`` words, count as toxic, at first by how much more often their words occur in toxic documents. The model
 (under 4 MB, of fixed size) is broadcast, and all texts are scored whole.
 
 Defined results: a text that is null, empty or without words gets the score of a window of no words. Without labels of both
@@ -28,13 +28,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from learnlens.llm.base import crc_of_id, documents, slices, table
 
-WINDOW, STRIDE = 32, 24
+WINDOW, TRAIN_STRIDE = 32, 24
 WORD_ROWS, CHAR_ROWS, INPUT, HIDDEN, ATTENTION = 1 << 15, 1 << 16, 8, 8, 8
 PER_CLASS, TRAIN_CHARS, EPOCHS, BATCH = 1200, 12_000, 5, 128
 CHARS, LONG_WORD = (3, 4, 5), 64
 SLICE_BYTES = 1 << 20
 CACHE_WORDS = 200_000
 SCORED_AT_ONCE = 1024
+SLID_AT_ONCE = 1024
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -54,10 +55,10 @@ def features(word: str) -> tuple[int, np.ndarray]:
     return zlib.crc32(data) % WORD_ROWS, np.array(grams, np.int32)
 
 
-def window_starts(n: int) -> range | list[int]:
+def window_starts(n: int, stride: int = 1) -> range | list[int]:
     if n <= WINDOW:
         return [0]
-    return [*range(0, n - WINDOW, STRIDE), n - WINDOW]
+    return [*range(0, n - WINDOW, stride), n - WINDOW]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -129,6 +130,49 @@ class Network:
         score = _sigmoid(pooled @ p["wo"] + p["bo"])
         return (score, (states, inner, weight, pooled, trace)) if keep else score
 
+    def slid(self, gates: tuple[np.ndarray, np.ndarray], words: np.ndarray) -> np.ndarray:
+        """Scores of the windows that begin at each of ``words`` (rows of ``gates``) up to the last whole one, as by ``forward``.
+
+        A window is a column, so that a step of all windows reads a slice of the words and no gate is copied.
+        """
+        p, scores = self.p, np.zeros(max(0, len(words) - WINDOW + 1), np.float32)
+        half, two, most = np.float32(0.5), 2 * HIDDEN, min(SLID_AT_ONCE, len(scores))
+        weights = [(np.ascontiguousarray(half * p[f"Wh{d}"].T), half * p[f"bh{d}"][:, None]) for d in "fb"]
+        out = np.concatenate([p["Wa"].T, p["wo"][None]])
+        held = np.empty((3 * HIDDEN, most), np.float32), np.empty((WINDOW, two, most), np.float32), np.empty((WINDOW, ATTENTION + 1, most), np.float32)
+        for k in range(0, len(scores), SLID_AT_ONCE):
+            n = min(most, len(scores) - k)
+            a, states, pooled = held if n == most else [np.empty((*x.shape[:-1], n), np.float32) for x in held]
+            zr, z, r, c = a[:two], a[:HIDDEN], a[HIDDEN:two], a[two:]
+            for part, order in ((0, range(WINDOW)), (1, range(WINDOW - 1, -1, -1))):
+                w, b = weights[part]
+                g = np.ascontiguousarray(gates[part].take(words[k : k + n + WINDOW - 1], axis=0).T)
+                g[:two] *= half
+                g[:two] += b[:two]
+                h = np.zeros((HIDDEN, n), np.float32)
+                for t in order:
+                    # a sigmoid is half of one more than the tanh of half its input
+                    np.matmul(w, h, out=a)
+                    zr += g[:two, t : t + n]
+                    np.tanh(zr, out=zr)
+                    zr += 1
+                    c += b[two:]
+                    c *= r
+                    c += g[two:, t : t + n]
+                    np.tanh(c, out=c)
+                    z *= half
+                    new = np.subtract(h, c, out=states[t, part * HIDDEN : (part + 1) * HIDDEN])
+                    new *= z
+                    new += c
+                    h = new
+            np.matmul(out, states, out=pooled)
+            inner = pooled[:, :-1]
+            inner += p["ba"][:, None]
+            e = p["ua"] @ np.tanh(inner, out=inner)
+            e = np.exp(e - e.max(axis=0))
+            scores[k : k + n] = _sigmoid((e * pooled[:, -1]).sum(axis=0) / e.sum(axis=0) + p["bo"])
+        return scores
+
     def gradients(self, x: np.ndarray, windows: np.ndarray, lengths: np.ndarray, target: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Gradients of the mean log loss, for the weights and for the input vectors."""
         p, (n, steps) = self.p, windows.shape
@@ -181,7 +225,7 @@ class Corpus:
                     self.number[word] = len(self.features)
                     self.features.append(features(word))
                 ids.append(self.number[word])
-            for start in window_starts(len(ids)):
+            for start in window_starts(len(ids), TRAIN_STRIDE):
                 part = ids[start : start + WINDOW]
                 windows.append(part + [0] * (WINDOW - len(part)))
                 lengths.append(len(part))
@@ -275,20 +319,24 @@ class Scorer:
         lists = [words_of(t) for t in texts]
         self._numbers(lists)
         flat = np.fromiter((self.number[w] for words in lists for w in words), np.int32)
-        sizes = np.array([len(words) for words in lists])
+        sizes = np.array([len(words) for words in lists], np.int64)
         begins = np.cumsum(sizes) - sizes
-        starts = [window_starts(n) for n in sizes.tolist()]
-        owner = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
-        first = np.concatenate([np.asarray(s, np.int64) for s in starts]) if starts else np.zeros(0, np.int64)
-        lengths = np.minimum(sizes[owner] - first, WINDOW)
-        # places behind the end of a short text read some word, which the length leaves out
-        places = np.minimum((begins[owner] + first)[:, None] + np.arange(WINDOW), max(len(flat) - 1, 0))
         gates = self.gates if len(self.gates[0]) else (np.zeros((1, 3 * HIDDEN), np.float32),) * 2
-        windows = flat[places] if len(flat) else np.zeros_like(places)
         scores = np.zeros(len(texts))
-        for k in range(0, len(owner), SCORED_AT_ONCE):
+        short = np.flatnonzero(sizes < WINDOW)
+        # places behind the end of a short text read some word, which the length leaves out
+        places = np.minimum(begins[short, None] + np.arange(WINDOW), max(len(flat) - 1, 0))
+        windows = flat[places] if len(flat) else np.zeros_like(places)
+        for k in range(0, len(short), SCORED_AT_ONCE):
             part = slice(k, k + SCORED_AT_ONCE)
-            np.maximum.at(scores, owner[part], self.net.forward(gates, windows[part], lengths[part]))
+            scores[short[part]] = self.net.forward(gates, windows[part], sizes[short[part]])
+        long = np.flatnonzero(sizes >= WINDOW)
+        if len(long):
+            # the long texts one behind the other; windows across two of them are left out
+            words = flat[np.repeat(sizes >= WINDOW, sizes)]
+            first = np.cumsum(sizes[long]) - sizes[long]
+            bounds = np.stack([first, first + sizes[long] - WINDOW + 1], axis=1).ravel()
+            scores[long] = np.maximum.reduceat(np.append(self.net.slid(gates, words), 0), bounds)[::2]
         return scores
 
 

@@ -225,6 +225,24 @@ def test_windows_cover_every_word_and_overlap():
         assert all(b - a < toxicity.WINDOW for a, b in zip(starts, starts[1:], strict=False))
 
 
+def test_a_score_is_that_of_the_worst_of_all_windows(prose):
+    net = toxicity.Network(3)
+    for k in net.p:
+        net.p[k] = net.p[k] * 3 + np.float32(0.1)
+    texts = [prose(n) for n in (0, 1, 31, 32, 33, 5, 56, 57, 700, 32)]
+    found = toxicity.Scorer(net)(texts)
+    for text, score in zip(texts, found, strict=True):
+        words = toxicity.words_of(text)
+        parts = [words[k : k + toxicity.WINDOW] for k in range(max(1, len(words) - toxicity.WINDOW + 1))]
+        ids = np.array([[*range(k, k + len(part)), *[0] * (toxicity.WINDOW - len(part))] for k, part in enumerate(parts)])
+        gates = net.projected(net.inputs([toxicity.features(w) for w in words])) if words else (np.zeros((1, 3 * toxicity.HIDDEN), np.float32),) * 2
+        assert score == pytest.approx(net.forward(gates, ids, np.array([len(part) for part in parts])).max(), abs=1e-5)
+    assert len(set(found.round(4))) > 5
+    for n in (32, 57, 90):
+        starts = set(toxicity.window_starts(n))
+        assert all(any(s <= k and k + m <= s + toxicity.WINDOW for s in starts) for m in range(1, 33) for k in range(n - m + 1))
+
+
 def test_every_letter_of_a_long_run_counts():
     long = "".join(chr(0x4E00 + k) for k in range(500))
     for n in (62, 63, 64, 65, 72, 124, 125, 500):
