@@ -9,6 +9,9 @@ compressed bitmap of the block's documents in which bit k of the number of the p
 together are the documents that hold it, so their population count is the pair's number of documents in the block; plane k's count times 2^k, added
 up, is its number of links. A bitmap is a sorted list of 16-bit numbers or, from 256 documents on, 4096 bits.
 
+A space between two characters that are not blank opens a token of A and of B, so texts are cut there into units that are aligned one by one.
+A worker keeps the units it has met, up to a bound. A tokenizer for which this does not hold takes whole texts as units.
+
 ``postings`` encodes every text once and writes planes and a digest per document. ``pairs`` adds up the counts of all blocks, aggregated
 before they are shuffled, so a pair that every document holds costs a row per task. ``scores`` joins the counts to the
 postings and reads them block by block: each plane returns its pair's count, 2^k times, to the documents in it. A task holds the sums of
@@ -22,7 +25,9 @@ keeps its null. An empty table gives an empty result. Other columns are not read
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +39,11 @@ from learnlens.llm.blocks import BLOCK_ROWS, block, in_files, row_in_block
 from learnlens.llm.byte_bpe import gathered
 from learnlens.sources.scratch import written
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
+CACHE_UNITS = 400_000
+JOINED_UNITS = 4000
+CACHE_LINKS = 3_000_000
+UNIT_CUT = re.compile(r"(?<=\S) (?=\S)")
 DENSE = BLOCK_ROWS // 16  # from here on 4096 bits are the smaller form
 NO_TOKENS = ""
 
@@ -65,6 +74,8 @@ class Vocabulary:
 
 
 class Aligner:
+    """Aligns units; what it knows of them is in arrays by number of unit, links one after the other."""
+
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are the tasks'
         import sentencepiece
@@ -80,67 +91,109 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         entries_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.bytes_a, self.bytes_b = Vocabulary(entries_a), Vocabulary(entries_b)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The ids of A of all texts and how many each text has, and the same for B; texts that do not come back have none."""
-        ids_a = [found.ids if text else [] for text, found in zip(texts, self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False), strict=True)]
-        ids_b = self.b.encode(texts, num_threads=1)
-        wanted = [b" " + t.encode() if t else b"" for t in texts]
-        flat = self._flat(ids_a, ids_b)
-        bad = self._changed(wanted, *flat)
-        if not bad:
-            return flat
-        for k in bad:
-            ids_a[k] = ids_b[k] = []
-        return self._flat(ids_a, ids_b)
-
-    @staticmethod
-    def _flat(ids_a: list[list[int]], ids_b: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        n_a, n_b = (np.array([len(i) for i in ids], np.int64) for ids in (ids_a, ids_b))
-        return tuple(
-            x for ids, n in ((ids_a, n_a), (ids_b, n_b)) for x in (np.fromiter((i for found in ids for i in found), np.int64, int(n.sum())), n)
-        )
-
-    def _changed(self, wanted: list[bytes], a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> list[int]:
-        """Numbers of the texts whose tokens do not spell them."""
-        whole = np.frombuffer(b"".join(wanted), np.uint8)
-        sizes = np.array([len(w) for w in wanted], np.int64)
-        bad: set[int] = set()
-        for vocabulary, ids, n in ((self.bytes_a, a, n_a), (self.bytes_b, b, n_b)):
-            spelled = vocabulary.spelled(ids)
-            ends = np.concatenate([[0], np.cumsum(vocabulary.counts[ids])])[np.cumsum(n)]
-            found = np.diff(ends, prepend=0)
-            if np.array_equal(found, sizes) and np.array_equal(spelled, whole):
-                continue
-            data = spelled.tobytes()
-            bad |= {k for k, (end, size) in enumerate(zip(ends.tolist(), found.tolist(), strict=True)) if data[end - size : end] != wanted[k]}
-        return sorted(bad)
-
-    def align(self, texts: list[str]) -> tuple[dict[str, np.ndarray], list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Counts per text, digests of the groups, and for each link the text, the id of A and the id of B."""
-        a, n_a, b, n_b = self.encode(texts)
-        text_a = np.repeat(np.arange(len(texts)), n_a)
+        steps = json.loads(self.a.to_str())
+        opens_a = steps["normalizer"] is None and (steps["pre_tokenizer"] or {}).get("type") == "ByteLevel" and steps["pre_tokenizer"]["use_regex"]
+        self.cuts = opens_a and not any("▁" in p.lstrip("▁") for p in pieces)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.groups: list[bytes] = []
+        self.counts = np.zeros((0, 4), np.int64)  # tokens of A, of B, groups, links
+        self.spelled = np.zeros(0, bool)
+        self.links = np.zeros((0, 2), np.int64)
+
+    def units(self, text: str) -> list[str]:
+        return [] if not text else UNIT_CUT.split(text) if self.cuts else [text]
+
+    def align(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """Counts per text, digests of the groups, and for each link the text, and the ids of A and of B."""
+        if len(self.known) > CACHE_UNITS or len(self.links) > CACHE_LINKS:
+            self.forget()
+        units = [self.units(text) for text in texts]
+        if new := [*{u for found in units for u in found if u not in self.known}]:
+            self._learn(new)
+        numbers = [[*map(self.known.__getitem__, found)] for found in units]
+        sizes = np.array([len(found) for found in numbers], np.int64)
+        flat = np.fromiter((k for found in numbers for k in found), np.int64, int(sizes.sum()))
+        text = np.repeat(np.arange(len(texts)), sizes)
+        bad = np.zeros(len(texts), bool)  # these have no tokens
+        bad[text[~self.spelled[flat]]] = True
+        flat, text = flat[~bad[text]], text[~bad[text]]
+        sums = np.stack([np.bincount(text, self.counts[flat, k], len(texts)) for k in range(4)], axis=1).astype(np.int64)
+        digests = [
+            hashlib.sha256(b";".join([*map(self.groups.__getitem__, found)])).hexdigest() if found and not gone else NO_TOKENS
+            for found, gone in zip(numbers, bad.tolist(), strict=True)
+        ]
+        n_links = self.counts[:, 3]
+        starts = np.cumsum(n_links) - n_links
+        return sums, digests, np.repeat(text, n_links[flat]), gathered(self.links, starts[flat], n_links[flat])
+
+    def _learn(self, units: list[str]) -> None:
+        """Adds units. Those that neither end in a blank nor hold a word mark are encoded many in a text, which is cut at their ends."""
+        joins = [self.cuts and "▁" not in u and not u[0].isspace() and not u[-1].isspace() for u in units]
+        plain = [u for u, j in zip(units, joins, strict=True) if j]
+        parts = [(self.counts, self.spelled, self.links)]
+        for start in range(0, len(plain), JOINED_UNITS):
+            here = plain[start : start + JOINED_UNITS]
+            text = " ".join(here)
+            wanted = [b" " + u.encode() for u in here]
+            a, b = np.array(self.a.encode(" " + text, add_special_tokens=False).ids, np.int64), np.array(self.b.encode(text), np.int64)
+            n_a, n_b = _cut(wanted, a, self.bytes_a), _cut(wanted, b, self.bytes_b)
+            whole = n_a is not None and n_b is not None
+            parts.append(self._add(here, a, n_a, b, n_b, np.ones(len(here), bool)) if whole else self._learn_each(here))
+        parts.append(self._learn_each([u for u, j in zip(units, joins, strict=True) if not j]))
+        self.counts, self.spelled, self.links = (np.concatenate(column) for column in zip(*parts, strict=True))
+
+    def _learn_each(self, units: list[str]) -> tuple[np.ndarray, ...]:
+        ids_a = [found.ids for found in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
+        ids_b = self.b.encode(units, num_threads=1)
+        a, n_a = _flat(ids_a)
+        b, n_b = _flat(ids_b)
+        wanted = [b" " + u.encode() for u in units]
+        spelled = _spells(wanted, a, n_a, self.bytes_a) & _spells(wanted, b, n_b, self.bytes_b)
+        return self._add(units, a[np.repeat(spelled, n_a)], n_a * spelled, b[np.repeat(spelled, n_b)], n_b * spelled, spelled)
+
+    def _add(self, units: list[str], a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, spelled: np.ndarray) -> tuple[np.ndarray, ...]:
+        unit_a = np.repeat(np.arange(len(units)), n_a)
         end_a, end_b = np.cumsum(self.bytes_a.counts[a]), np.cumsum(self.bytes_b.counts[b])
         start_a, start_b = end_a - self.bytes_a.counts[a], end_b - self.bytes_b.counts[b]
         first = np.searchsorted(end_b, start_a, "right")
         n_each = np.searchsorted(start_b, end_a, "left") - first
-        b_of_link = gathered(b, first, n_each)
         closes_a = end_b[np.searchsorted(end_b, end_a)] == end_a if len(a) else np.zeros(0, bool)
         group_ends = end_a[closes_a]
-        counts = {
-            "n_a": n_a,
-            "n_b": n_b,
-            "n_groups": np.bincount(text_a[closes_a], minlength=len(texts)),
-            "n_links": np.bincount(text_a, weights=n_each, minlength=len(texts)).astype(np.int64),
-        }
-        digests = _digests(a, n_a, closes_a, b, n_b, np.searchsorted(group_ends, end_b), np.isin(end_b, group_ends))
-        return counts, digests, np.repeat(text_a, n_each), np.repeat(a, n_each), b_of_link
-
-
-def _digests(a: np.ndarray, n_a: np.ndarray, closes_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, group_b: np.ndarray, closes_b: np.ndarray) -> list[str]:
-    """sha256 of each text's groups in decimal: ``a1,a2|b1;a3|b2,b3``."""
+        counts = [n_a, n_b, np.bincount(unit_a[closes_a], minlength=len(units)), np.bincount(unit_a, n_each, len(units))]
+        self.groups += _written(a, n_a, closes_a, b, n_b, np.searchsorted(group_ends, end_b), np.isin(end_b, group_ends))
+        links = np.stack([np.repeat(a, n_each), gathered(b, first, n_each)], axis=1)
+        self.known |= {u: len(self.known) + k for k, u in enumerate(units)}
+        return np.stack(counts, axis=1).astype(np.int64), spelled, links
+
+
+def _spells(wanted: list[bytes], ids: np.ndarray, n: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+    """Which of the texts their tokens spell."""
+    data = vocabulary.spelled(ids).tobytes()
+    ends = np.concatenate([[0], np.cumsum(vocabulary.counts[ids])])[np.concatenate([[0], np.cumsum(n)])].tolist()
+    return np.array([data[x:y] == w for x, y, w in zip(ends[:-1], ends[1:], wanted, strict=True)], bool)
+
+
+def _cut(wanted: list[bytes], ids: np.ndarray, vocabulary: Vocabulary) -> np.ndarray | None:
+    """How many of the ids each of the texts has, if the ids spell them all and a token ends with each."""
+    if vocabulary.spelled(ids).tobytes() != b"".join(wanted):
+        return None
+    ends, stops = np.cumsum(vocabulary.counts[ids]), np.cumsum([len(w) for w in wanted])
+    last = np.searchsorted(ends, stops)
+    return np.diff(last, prepend=-1) if np.array_equal(ends[last], stops) else None
+
+
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    n = np.array([len(i) for i in ids], np.int64)
+    return np.fromiter((i for found in ids for i in found), np.int64, int(n.sum())), n
+
+
+def _written(a: np.ndarray, n_a: np.ndarray, closes_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, group_b: np.ndarray, closes_b: np.ndarray) -> list[bytes]:
+    """Each unit's groups in decimal: ``a1,a2|b1;a3|b2,b3``."""
     if not len(a):
-        return [NO_TOKENS] * len(n_a)
+        return [b""] * len(n_a)
     group_a = np.cumsum(closes_a) - closes_a
     before_a = np.concatenate([[0], np.cumsum(np.bincount(group_a))])  # tokens of A before each group
     before_b = np.concatenate([[0], np.cumsum(np.bincount(group_b))])
@@ -159,9 +212,9 @@ def _digests(a: np.ndarray, n_a: np.ndarray, closes_a: np.ndarray, b: np.ndarray
     for k in range(int(digits.max())):
         has = digits > k
         out[ends[has] - 2 - k] = ord("0") + ids[has] // 10**k % 10
-    data = memoryview(out)
+    data = out.tobytes()
     cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_a + n_b)])].tolist()
-    return [hashlib.sha256(data[x : y - 1]).hexdigest() if y > x else NO_TOKENS for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [data[x : max(x, y - 1)] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def pack(rows: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -244,14 +297,14 @@ def postings(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 names, rows = np.asarray(part.column("block")), np.asarray(part.column("row")).astype(np.int64)
-                counts, digests, text, a, b = aligner(path_a, path_b).align(part.column("text").to_pylist())
+                counts, digests, text, links = aligner(path_a, path_b).align(part.column("text").to_pylist())
                 yield filled(part.num_rows, {
                     "block": part.column("block"), "row": part.column("row"), "doc_id": part.column("doc_id"),
-                    "groups_sha256": pa.array(digests, pa.string()), **{k: pa.array(v.astype(np.int64)) for k, v in counts.items()},
+                    "groups_sha256": pa.array(digests, pa.string()), **{k: pa.array(counts[:, c]) for c, k in enumerate(("n_a", "n_b", "n_groups", "n_links"))},
                 })
                 for name in np.unique(names[text]).tolist():
                     of_block = names[text] == name
-                    for columns in _planes(rows[text[of_block]], a[of_block], b[of_block]):
+                    for columns in _planes(rows[text[of_block]], *links[of_block].T):
                         n = len(columns["a"])
                         yield filled(n, {"block": pa.array(np.full(n, name, np.int64)), **columns})
 
@@ -307,7 +360,8 @@ def scores(index: DataFrame, counted: DataFrame) -> DataFrame:
             yield closed()
 
     planes = index.where("a IS NOT NULL").select("block", "a", "b", "plane", "members")
-    joined = planes.join(counted.select("a", "b", "n_docs", "best"), ["a", "b"]).select("block", "plane", "members", "n_docs", "best")
+    # merged at every size: a plan that broadcasts small tables would shuffle more than in proportion when they grow
+    joined = planes.join(counted.select("a", "b", "n_docs", "best").hint("merge"), ["a", "b"]).select("block", "plane", "members", "n_docs", "best")
     by_block = joined.repartition("block").sortWithinPartitions("block")
     return by_block.mapInArrow(returned, "block long, row int, n_best long, count_sum long")
 
