@@ -608,3 +608,7 @@ SELECT learner_id, question_set_id, qset_name, total_questions_attempted, total_
     "median_count_format": f"""{A} SELECT bucket, {number(median('n'))} || ' (' || count(*) || ')' AS shown FROM
   (SELECT {week('d')} AS bucket, learner_id, count(attempts_count) AS n FROM a GROUP BY 1, 2) GROUP BY 1""",
 }
+
+# What a store holds after several syncs is what one extract of everything gives.
+ORACLES["refreshed_logins"] = ORACLES["login_events"]
+ORACLES["refreshed_new_learners"] = ORACLES["new_learners_weekly"]

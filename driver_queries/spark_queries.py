@@ -191,6 +191,20 @@ def refreshed(spark: SparkSession, sf: str) -> DataFrame:
     return store.attempts()
 
 
+def two_syncs(spark: SparkSession, sf: str) -> snapshots.SnapshotStore:
+    """A store that got the newer attempts and logins first and then all, the older ones late; it keeps first weeks."""
+    source = tables(spark, sf)
+    facts, events = source["question_attempts"], source["telemetry_data"]
+    late = cal.instant(FIRST_LOAD_UNTIL)
+    newer = source.replacing(
+        question_attempts=facts.where(F.col("updated_at") > late), telemetry_data=events.where(F.col("created_on") > late)
+    )
+    store = snapshots.SnapshotStore(spark, new_path(spark, "snapshots"), learner_weeks=True)
+    store.absorb(newer, NOW)
+    store.absorb(source, NOW)
+    return store
+
+
 def streamed(spark: SparkSession, sf: str) -> DataFrame:
     """The same end state reached by streaming the attempt records from files, several batches, one late and one sent twice."""
     source = tables(spark, sf)
@@ -264,6 +278,8 @@ QUERIES: dict[str, Query] = {
     "set_results": lambda spark, sf: extracts.set_results(binding.result_tables(spark, sf)),
     "incremental_refresh": refreshed,
     "streaming_refresh": streamed,
+    "refreshed_logins": lambda spark, sf: two_syncs(spark, sf).logins(),
+    "refreshed_new_learners": lambda spark, sf: two_syncs(spark, sf).new_learners(),
     "data_bounds": lambda spark, sf: snapshots.data_bounds(core(spark, sf)),
     "non_diagnostic": lambda spark, sf: flt.non_diagnostic(core(spark, sf)).select(
         "learner_id", "question_id", "updated_at", "purpose"

@@ -115,6 +115,61 @@ def at_least_overall(metric: DataFrame, default: float | int | None = 0) -> Data
     )
 
 
+# --- one aggregate for a report ----------------------------------------------------------------------
+
+
+def learner_buckets(bucketed: DataFrame, cap_seconds: int = DAY_CAP_SECONDS) -> DataFrame:
+    """One row per bucket and learner, from which learners, time, work and accuracy are all read.
+
+    Days are put together first, so that time is capped per day; both steps aggregate before they shuffle. ``seconds`` is null
+    for a missing learner and where no attempt has a time; ``operations`` are those worked on, ``unknown`` tells whether one
+    attempt had none. A missing learner is a row too: its work counts.
+    """
+    of_day = bucketed.groupBy("bucket", "learner_id", "activity_date").agg(
+        F.min("first_at").alias("first_at"),
+        F.max("last_at").alias("last_at"),
+        *[F.sum(c).alias(c) for c in ("rows", "work", "score", "scored")],
+        F.collect_set("operation").alias("operations"),
+        F.bool_or(F.col("operation").isNull()).alias("unknown"),
+    )
+    capped = F.least(seconds_between(F.col("first_at"), F.col("last_at")), F.lit(float(cap_seconds)))
+    timed = F.col("learner_id").isNotNull() & F.col("activity_date").isNotNull()
+    return (
+        of_day.withColumn("seconds", F.when(timed, capped).cast("decimal(18,6)"))
+        .groupBy("bucket", "learner_id")
+        .agg(
+            *[F.sum(c).alias(c) for c in ("seconds", "rows", "work", "score", "scored")],
+            F.array_distinct(F.flatten(F.collect_set("operations"))).alias("operations"),
+            F.bool_or("unknown").alias("unknown"),
+        )
+    )
+
+
+def bucket_summary(learners: DataFrame) -> DataFrame:
+    """Per bucket, in one pass over :func:`learner_buckets`: learners, time, work, and learners of each operation.
+
+    ``of_<operation>`` is null where nobody worked on the operation, and minutes are null where no attempt has a time.
+    """
+    known = F.col("learner_id").isNotNull()
+    counted = F.when(F.col("bucket") == F.lit(OVERALL_DATE), F.col("rows")).otherwise(F.col("work"))
+    minutes = _minutes(F.col("seconds"))
+    n = F.count("learner_id")
+
+    def of(operation: str) -> Column:
+        worked = F.array_contains("operations", operation)
+        return F.when(F.bool_or(worked), F.count_if(worked & known)).alias(f"of_{operation}")
+
+    summary = learners.groupBy("bucket").agg(
+        n.alias("learners"),
+        *[of(operation) for operation in OPERATIONS],
+        minutes.alias("minutes"),
+        round_even(F.try_divide(minutes, F.count("seconds").cast("double")), 2).alias("minutes_per_learner"),
+        F.sum(counted).alias("work_done"),
+        F.floor(F.try_divide(F.sum(counted).cast("double"), n.cast("double"))).alias("work_per_learner"),
+    )
+    return named_buckets(summary)
+
+
 # --- learners --------------------------------------------------------------------------------------
 
 
@@ -172,10 +227,11 @@ def new_learners(
 
     ``selected`` is the filtered activity, ``everything`` the unfiltered one. By default a new learner
     counts once for each operation they worked on in their first week (an unknown operation is one more);
-    ``distinct_learners=True`` counts each once.
+    ``distinct_learners=True`` counts each once. Attempts without a time belong to no week.
     """
     weeks = (
-        selected.where(period.open_ended(F.col(DAY)))
+        selected.where(F.col(DAY).isNotNull())
+        .where(period.open_ended(F.col(DAY)))
         .where(F.col("learner_id").isNotNull())
         .groupBy("learner_id", week_start(F.col(DAY)).alias("week"))
         .agg(
@@ -184,6 +240,17 @@ def new_learners(
             )
         )
     )
+    return _first_weeks(weeks, everything, period, F.lit(1) if distinct_learners else F.col("operations"))
+
+
+def new_learners_of(learners: DataFrame, everything: DataFrame, period: Period = Period()) -> DataFrame:
+    """New learners per week from :func:`learner_buckets`, counted once for each operation of their first week."""
+    weeks = learners.where(F.col("bucket") != F.lit(OVERALL_DATE)).where(F.col("learner_id").isNotNull())
+    operations = F.size("operations") + F.col("unknown").cast("int")
+    return _first_weeks(weeks.select("learner_id", F.col("bucket").alias("week"), operations.alias("operations")), everything, period, F.col("operations"))
+
+
+def _first_weeks(weeks: DataFrame, everything: DataFrame, period: Period, counted: Column) -> DataFrame:
     # A learner has one row per week, so this window stays small however many attempts they made.
     first = F.min("week").over(Window.partitionBy("learner_id"))
     flagged = weeks.withColumn("new", F.col("week") == first)
@@ -192,7 +259,6 @@ def new_learners(
         flagged = flagged.join(known, "learner_id", "left").withColumn(
             "new", F.col("new") & F.col("known").isNull()
         )
-    counted = F.lit(1) if distinct_learners else F.col("operations")
     return named_buckets(
         flagged.groupBy(F.col("week").alias("bucket")).agg(
             F.sum(F.when(F.col("new"), counted).otherwise(0)).cast("bigint").alias("learners")

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from learnlens.functions.calendar import default_start, week_ids
 from learnlens.functions.spread import spread
-from learnlens.functions.values import lookup, median_count_text, number_text, round_even
+from learnlens.functions.values import lookup, median_count_text, number_text, percentage, round_even
 from learnlens.operators import activity as act
 from learnlens.operators.filters import Period, Selection
 from learnlens.operators.jumps import ALL_STEPS, grade_steps, operation_steps
 from learnlens.operators.reshape import pivot_buckets
 from learnlens.schema import GRADE_STEPS, OPERATION_STEPS, OPERATIONS, PROMOTED_GRADE
-from learnlens.sources.scratch import written
+from learnlens.sources.scratch import written, written_together
 
 # ---------------------------------------------------------------------------
 # The rows of the report, in order.
@@ -90,45 +91,37 @@ def _cells(df: DataFrame, metric: str, value: Column, sub: Column | None = None)
     )
 
 
-def _median_cells(daily: DataFrame, chosen: DataFrame, selection: Selection, period: Period, as_of):
-    """All medians of the report, ranked together."""
-    of_weeks = chosen.where(period.open_ended(F.col(act.DAY))).withColumn(
-        "bucket", F.lit(act.OVERALL_DATE)
+def _ranked(df: DataFrame, metric: str, value: Column, step: Column, learners: Column) -> DataFrame:
+    """Values of learners of which the report shows the median."""
+    return df.select(
+        F.lit(metric).alias("metrics"),
+        step.cast("string").alias("sub_metrics"),
+        "bucket",
+        value.cast("double").alias("value"),
+        learners.cast("bigint").alias("learners"),
     )
-    work = act.learner_work(act.weekly(chosen, period).unionByName(of_weeks))
-    accuracy = act.learner_accuracy(act.overall_and_weekly(chosen, period))
 
-    def values(df: DataFrame, metric: str, value: str, step: Column, learners: Column) -> DataFrame:
-        return df.select(
-            F.lit(metric).alias("metrics"),
-            step.cast("string").alias("sub_metrics"),
-            "bucket",
-            F.col(value).cast("double").alias("value"),
-            learners.cast("bigint").alias("learners"),
-        )
 
-    def jump_values(df: DataFrame, metric: str, names: dict[str, str]) -> DataFrame:
+def _jump_values(daily: DataFrame, selection: Selection, period: Period, as_of: dt.date) -> DataFrame:
+    def of(steps, metric: str, names: dict[str, str]) -> DataFrame:
         step = F.when(F.col("step") != ALL_STEPS, lookup(names, F.col("step")))
-        return values(df, metric, "minutes", step, F.col("learners"))
-
-    ranked = [
-        jump_values(
-            grade_steps(daily, selection, period, as_of=as_of), GRADE_JUMP, GRADE_JUMP_NAMES
-        ),
-        jump_values(
-            operation_steps(daily, selection, period, as_of=as_of),
-            OPERATION_JUMP,
-            OPERATION_JUMP_NAMES,
-        ),
-        values(work, MEDIAN_WORK, "work", F.lit(None), F.lit(None)),
-        values(accuracy, MEDIAN_ACCURACY, "accuracy", F.lit(None), F.lit(None)),
-    ]
-    medians = spread(
-        reduce(DataFrame.unionByName, ranked),
-        ["metrics", "sub_metrics", "bucket"],
-        {"value": 10.0},
-        ["learners"],
+        return _ranked(steps(daily, selection, period, as_of=as_of), metric, F.col("minutes"), step, F.col("learners"))
+
+    return of(grade_steps, GRADE_JUMP, GRADE_JUMP_NAMES).unionByName(of(operation_steps, OPERATION_JUMP, OPERATION_JUMP_NAMES))
+
+
+def _median_cells(jumps: DataFrame, learners: DataFrame) -> DataFrame:
+    """All medians of the report, ranked together. Overall median work is of the weeks shown."""
+    worked = learners.where("learner_id IS NOT NULL")
+    of_weeks = worked.where(F.col("bucket") != F.lit(act.OVERALL_DATE)).select("learner_id", "bucket", "work")
+    overall = of_weeks.groupBy("learner_id").agg(F.sum("work").alias("work"))
+    work = of_weeks.unionByName(overall.withColumn("bucket", F.lit(act.OVERALL_DATE)))
+    accuracy = percentage(F.col("score"), F.col("scored"))
+    none = F.lit(None)
+    ranked = jumps.unionByName(_ranked(work, MEDIAN_WORK, F.col("work"), none, none)).unionByName(
+        _ranked(worked, MEDIAN_ACCURACY, accuracy, none, none)
     )
+    medians = spread(ranked, ["metrics", "sub_metrics", "bucket"], {"value": 10.0}, ["learners"])
     median = round_even(F.col("value_median"), 2)
     text = F.when(F.col("learners").isNull(), number_text(median)).otherwise(
         median_count_text(median, F.col("learners"))
@@ -136,15 +129,17 @@ def _median_cells(daily: DataFrame, chosen: DataFrame, selection: Selection, per
     return act.named_buckets(medians.select("metrics", "sub_metrics", "bucket", text.alias("value")))
 
 
-def _stacked(df: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """Several figures of one frame as report cells, without reading the frame again."""
+def _stacked(df: DataFrame, values: dict[tuple[str, str | None], Column], where_known: Sequence[str]) -> DataFrame:
+    """Several figures of one frame as report cells, without reading the frame again; figures of ``where_known`` only if there are any."""
     cells = [
-        F.struct(F.lit(metric).alias("metrics"), value.cast("string").alias("value"))
-        for metric, value in values.items()
+        F.struct(
+            F.lit(metric).alias("metrics"), F.lit(sub).cast("string").alias("sub_metrics"), value.cast("string").alias("value")
+        )
+        for (metric, sub), value in values.items()
     ]
-    return df.select("bucket", F.inline(F.array(*cells))).select(
-        "metrics", F.lit(None).cast("string").alias("sub_metrics"), "bucket", "value"
-    )
+    stacked = df.select("bucket", F.inline(F.array(*cells))).select("metrics", "sub_metrics", "bucket", "value")
+    optional = F.col("metrics").isin(list(where_known)) | F.col("sub_metrics").isNotNull()
+    return stacked.where(~optional | F.col("value").isNotNull())
 
 
 def shown_period(period: Period, as_of: dt.date) -> Period:
@@ -161,39 +156,40 @@ def master_report_long(
 ) -> DataFrame:
     """One row per report row and bucket that has a figure, and all overall figures.
 
-    The attempts are read once, into daily activity that is written to the shared folder; every metric reads
-    that. Logins, sessions and operation jumps take no operation filter. Overall figures cover all time unless
+    The attempts are read once, into daily activity that is written to the shared folder. One aggregate of it by bucket and
+    learner, written too, gives all figures of learners, time, work and accuracy; sessions and jumps, which need other keys,
+    read the daily activity, jumps at the same time. Logins, sessions and operation jumps take no operation filter. Overall figures cover all time unless
     both ends of the period are given, except median work, which covers the weeks shown.
     """
     period = shown_period(period, as_of)
     daily = written(act.activity_daily(attempts), "activity")
     chosen = selection.apply(daily)
     any_operation = selection.any_operation().apply(daily)
-    placed = act.overall_and_weekly(chosen, period)
-    learners = act.unique_learners_with_operations(placed)
+    stored = written_together(
+        learner_buckets=act.learner_buckets(act.overall_and_weekly(chosen, period)),
+        jump_values=_jump_values(daily, selection, period, as_of),
+    )
+    learners = stored["learner_buckets"]
     logged_in = act.logged_in(
         act.overall_and_weekly(
             selection.any_operation().apply(act.login_days(logins)), period
         )
     )
     sessions = act.sessions(act.overall_and_weekly(any_operation, period))
+    figures = {
+        (LEARNERS, None): F.col("learners"),
+        **{(LEARNERS, operation): F.col(f"of_{operation}") for operation in OPERATIONS},
+        (TIME, None): number_text(F.col("minutes")),
+        (TIME_PER_LEARNER, None): number_text(F.col("minutes_per_learner")),
+        (WORK, None): F.col("work_done"),
+        (WORK_PER_LEARNER, None): F.col("work_per_learner"),
+    }
     parts = [
-        _cells(learners, LEARNERS, F.col("learners"), F.col("operation")),
-        _cells(act.new_learners(chosen, daily, period), NEW_LEARNERS, F.col("learners")),
+        _stacked(act.bucket_summary(learners), figures, [TIME, TIME_PER_LEARNER]),
+        _cells(act.new_learners_of(learners, daily, period), NEW_LEARNERS, F.col("learners")),
         _cells(logged_in, LOGINS, F.col("logins")),
         _cells(sessions, SESSIONS, F.col("sessions")),
-        _stacked(
-            act.time_summary(placed),
-            {
-                TIME: number_text(F.col("minutes")),
-                TIME_PER_LEARNER: number_text(F.col("minutes_per_learner")),
-            },
-        ),
-        _median_cells(daily, chosen, selection, period, as_of),
-        _stacked(
-            act.work_summary(placed),
-            {WORK: F.col("work_done"), WORK_PER_LEARNER: F.col("work_per_learner")},
-        ),
+        _median_cells(stored["jump_values"], learners),
     ]
     cells = reduce(DataFrame.unionByName, parts)
 

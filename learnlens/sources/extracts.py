@@ -16,7 +16,7 @@ from learnlens.functions.calendar import instant
 from learnlens.functions.values import grade_label, json_text
 from learnlens.operators.joins import decode_lookup
 from learnlens.schema import ATTEMPTS, COMPLETED, LOGIN_EVENT, NO_SCHOOL
-from learnlens.sources.scratch import written
+from learnlens.sources.scratch import written_together
 
 Tables = Mapping[str, DataFrame]
 
@@ -201,24 +201,33 @@ def tenants(tables: Tables) -> DataFrame:
     return tables["tenant"].select("id", json_text("name", "en").alias("tenant_name")).distinct()
 
 
-def logins(tables: Tables) -> DataFrame:
-    """Login events with the learner's school, grade and tenant.
+def login_records(tables: Tables) -> DataFrame:
+    """Login events as they are recorded."""
+    events = tables["telemetry_data"].where(F.col("event_type") == LOGIN_EVENT)
+    return events.select("id", "level", "learner_id", "created_on")
+
+
+def login_profiles(tables: Tables) -> DataFrame:
+    """What a login event shows of its learner: school, grade and tenant.
 
     The grade is canonicalised (the raw class name is a number as text), so the same grade filter works
     here as on attempts.
     """
-    events = tables["telemetry_data"].where(F.col("event_type") == LOGIN_EVENT)
-    return events.join(learner_profiles(tables), "learner_id", "left").select(
-        "id",
-        "level",
+    return learner_profiles(tables).select(
         "learner_id",
-        "created_on",
         "school",
         grade_label(F.col("grade").try_cast("int")).alias("grade"),
         "tenant_name",
     )
 
 
+def logins(tables: Tables) -> DataFrame:
+    """Login events with the learner's school, grade and tenant."""
+    return login_records(tables).join(login_profiles(tables), "learner_id", "left").select(
+        "id", "level", "learner_id", "created_on", "school", "grade", "tenant_name"
+    )
+
+
 def question_positions(tables: Tables) -> DataFrame:
     return tables["question_set_question_mapping"].select(
         "question_id", "question_set_id", "sequence"
@@ -360,8 +369,8 @@ def attempts(tables: Tables, since: dt.datetime | None = None) -> DataFrame:
     sets = decode_lookup(
         sets, repositories(tables), "repo_name_identifier", "identifier", "repo_name", "repo_name"
     )
-    sets = written(sets, "question-sets")
-    profiles = written(learner_profiles(tables), "learner-profiles")
+    stored = written_together(question_sets=sets, learner_profiles=learner_profiles(tables))
+    sets, profiles = stored["question_sets"], stored["learner_profiles"]
     operations = skill.where("type = 'l1_skill'")
     decoded = decode_lookup(
         _with_codes(facts), operations, "operation_identifier", "identifier", "skill", "operation"

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
-from contextvars import ContextVar
+from contextvars import ContextVar, copy_context
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,3 +65,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written_together(**frames: DataFrame) -> dict[str, DataFrame]:
+    """Frames that do not need each other, written side by side and read back; each by its name."""
+    with ThreadPoolExecutor(len(frames)) as pool:
+        jobs = {name: pool.submit(copy_context().run, written, df, name.replace("_", "-")) for name, df in frames.items()}
+        return {name: job.result() for name, job in jobs.items()}

@@ -379,3 +379,159 @@ def test_weeks_of_the_data_are_all_pivoted(spark, tmp_path):
     assert len(weeks) == 8 and weeks[-1] == "2023-12-18,2023-12-24" and weeks[0] == "2024-02-05,2024-02-11"
     (row,) = pivot.collect()
     assert (row[weeks[0]], row[weeks[-1]]) == (1, 1)
+
+
+# --- folders of the store ---------------------------------------------------------------------------
+
+
+def parts(store, name):
+    """The live folders of a store's table, by day."""
+    found = {}
+    for folder in store.folders():
+        if folder.store == name:
+            found.setdefault(folder.day, []).append(folder)
+    return found
+
+
+def test_many_small_syncs_leave_few_folders(spark, tables, tmp_path):
+    store = snapshots.SnapshotStore(spark, str(tmp_path / "store"), most_folders=2)
+    for k in range(7):
+        store.absorb(having(spark, tables, fact(f"l{k}", 1), fact("l1", 1 + k)), NOW)
+        assert len(days(store)) == len({(f"l{j}", 1) for j in range(k + 1)} | {("l1", 1 + j) for j in range(k + 1)})
+    held = parts(store, "attempts")
+    assert max(map(len, held.values())) <= 3
+    assert {d: sum(f.rows for f in fs) for d, fs in held.items()}[at(1).date()] == 7
+    # two states are kept on disk, and no file of an older one
+    labels = {f.label for f in store.folders()} | {f.label for f in snapshots.read_manifest(spark, store.root, 5)}
+    assert {p.removeprefix("sync=") for p in os.listdir(f"{store.root}/attempts")} <= labels
+
+
+def test_a_reader_sees_one_state_while_files_are_swapped(spark, tables, store):
+    for k in range(3):
+        store.absorb(having(spark, tables, *[fact(f"l{k}", d) for d in (1, 2)]), NOW)
+    reader = store.attempts()
+    before = rows_of(reader)
+    state = store.compact(NOW)
+    assert rows_of(reader) == before == rows_of(store.attempts())
+    assert [len(fs) for fs in parts(store, "attempts").values()] == [1, 1] and state["added"] == 0
+    assert (state["min_updated_at"], state["max_updated_at"]) == (at(1), at(2))
+    for name, extract in snapshots.DIMENSIONS.items():
+        assert rows_of(store.dimension(name)) == rows_of(extract(tables))
+    store.absorb(having(spark, tables, fact("l0", 1), fact("l9", 3)), NOW)
+    assert store.last_sync()["added"] == 1
+
+
+def test_folders_are_merged_when_small_beside_each_other():
+    from learnlens.sources.folders import Folder, _alike
+
+    def of(*sizes):
+        return [Folder("attempts", None, str(k), n) for k, n in enumerate(sizes)]
+
+    assert [f.rows for f in _alike(of(1000, 3, 2, 1))] == [1, 2, 3]
+    assert _alike(of(1, 10, 100)) == []
+    assert [f.rows for f in _alike(of(5, 5, 5, 5))] == [5, 5, 5, 5]
+
+
+def test_a_period_opens_its_days_only(spark, tables, store):
+    store.absorb(having(spark, tables, *[fact("l1", d) for d in range(1, 9)]), NOW)
+    some = store.attempts(Period(dt.date(2024, 1, 3), dt.date(2024, 1, 4)))
+    assert sorted(r["updated_at"].day for r in some.collect()) == [3, 4]
+    assert len(some.inputFiles()) == 2
+
+
+def test_repeats_are_found_without_shuffling_rows(spark, tables, store):
+    store.refresh(having(spark, tables, *[fact("l1", d) for d in (1, 1, 2, 3, 3)]), NOW)
+    held = store._store("attempts").open([f for f in store.folders() if f.store == "attempts"])
+    found = snapshots.days_with_repeats(held)
+    assert sorted(r[0].day for r in found.collect()) == [1, 3]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    shuffled = found._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate [day" in plan and "Exchange" in shuffled
+    for line in shuffled.splitlines():
+        if "Exchange" in line:
+            assert "learner" not in line and "question" not in line
+    # a sync rewrites the days with repeats, each by itself, and leaves the others alone
+    store.refresh(having(spark, tables, fact("l1", 3)), NOW)
+    assert {d.day: [f.label for f in fs] for d, fs in parts(store, "attempts").items()} == {
+        1: [f"1-distinct-{at(1).date()}"],
+        2: ["0"],
+        3: [f"1-distinct-{at(3).date()}"],
+    }
+    assert days(store) == [("l1", 1, 1), ("l1", 2, 1), ("l1", 3, 1)]
+
+
+def login(k, learner, day):
+    return (f"e{k}", "info", learner, None if day is None else at(day), "learner_logged_in")
+
+
+def with_logins(spark, tables, *events, **more):
+    frame = spark.createDataFrame(list(events), SOURCE_SCHEMAS["telemetry_data"])
+    return tables.replacing(telemetry_data=frame, **more)
+
+
+def test_a_sync_writes_only_new_logins(spark, tables, store):
+    first = [login(1, "l1", 8), login(2, "l2", 8), login(3, None, 9), login(4, "l1", None)]
+    store.refresh(with_logins(spark, tables, *first), NOW)
+    labels = {d: [(f.label, f.rows) for f in fs] for d, fs in parts(store, "logins").items()}
+    more = [*first, login(5, "l2", 9), login(6, "l1", 10), login(6, "l1", 10)]
+    source = with_logins(spark, tables, *more)
+    store.refresh(source, NOW)
+    after = {d: [(f.label, f.rows) for f in fs] for d, fs in parts(store, "logins").items()}
+    assert after[at(8).date()] == labels[at(8).date()] and after[None] == labels[None]
+    assert sorted(after[at(9).date()]) == [("0", 1), ("1-more", 1)] and after[at(10).date()] == [("1", 2)]
+    assert rows_of(store.logins()) == rows_of(extracts.logins(source))
+    # nothing new: nothing is written
+    store.refresh(source, NOW)
+    assert {d: [(f.label, f.rows) for f in fs] for d, fs in parts(store, "logins").items()} == after
+
+
+def test_logins_that_go_or_change_in_the_source(spark, tables, store):
+    store.refresh(with_logins(spark, tables, login(1, "l1", 8), login(2, "l2", 8), login(3, "l2", 9)), NOW)
+    source = with_logins(spark, tables, login(1, "l1", 8), login(4, "l2", 8))
+    store.refresh(source, NOW)
+    assert rows_of(store.logins()) == rows_of(extracts.logins(source))
+    assert [f.label for f in parts(store, "logins")[at(8).date()]] == ["1-again"]
+
+
+def test_changed_names_appear_without_new_logins(spark, tables, tmp_path):
+    store = snapshots.SnapshotStore(spark, str(tmp_path / "store"), most_folders=2)
+    events = [login(1, "l1", 8), login(2, "l2", 8), login(3, "l3", 9)]
+    learners = [list(r) for r in RAW["learner"]]
+    for k, change in enumerate([lambda: None, lambda: learners[1].__setitem__(4, "sc1"), lambda: learners.append(["l3", "Cy", "cy", "c2", None, "t1"]), learners.pop, lambda: learners[0].__setitem__(3, "c2")]):
+        change()
+        frame = spark.createDataFrame([tuple(r) for r in learners], SOURCE_SCHEMAS["learner"])
+        source = with_logins(spark, tables, *events, learner=frame)
+        store.refresh(source, NOW)
+        assert rows_of(store.logins()) == rows_of(extracts.logins(source)), k
+    assert {f.label for f in store.folders() if f.store == "logins"} == {"0"}
+    assert len([f for f in store.folders() if f.store == "profiles"]) <= 3
+
+
+def test_first_weeks_follow_late_and_repeated_batches(spark, tables, tmp_path):
+    from learnlens.operators import activity
+
+    store = snapshots.SnapshotStore(spark, str(tmp_path / "store"), learner_weeks=True, most_folders=2)
+    unknown = ("l4", "q1", "s1", at(3), 1, 1, "{}")
+    batches = [
+        [fact("l1", 9), fact("l2", 16), fact("l1", 16)],
+        [fact("l2", 2), fact("l3", 23)],  # late: an earlier week than the known one
+        [("l1", "q2", "s1", at(10), 1, 1, "{}"), unknown, (None, "q1", "s1", at(30), 1, 1, "{}")],
+        [fact("l4", 4), fact("l4", 4), fact("l2", 2)],  # one more operation in the same week, and rows sent twice
+        [("l2", "q9", "s1", None, 1, 1, "{}")],
+    ]
+    for k, batch in enumerate(batches):
+        store.absorb(having(spark, tables, *batch), NOW)
+        everything = activity.activity_rows(store.attempts())
+        for distinct in (False, True):
+            want = activity.new_learners(everything, everything, distinct_learners=distinct)
+            assert rows_of(store.new_learners(distinct)) == rows_of(want), (k, distinct)
+    kept = sum(f.rows for f in store.folders() if f.store == "first_weeks")
+    store.absorb(having(spark, tables, *[fact("l1", d) for d in range(11, 31)]), NOW)
+    grown = sum(f.rows for f in store.folders() if f.store == "first_weeks")
+    assert grown == kept + 1  # twenty more attempts, and one week that nobody had worked in
+
+
+def test_a_store_without_learner_weeks_says_so(spark, tables, store):
+    store.refresh(tables, NOW)
+    with pytest.raises(ValueError):
+        store.new_learners()
