@@ -77,9 +77,9 @@ def split_words(text: Column, pattern: str) -> Column:
     return F.when(F.regexp_like(text, F.lit(f"[\\x{{{NEWER_LETTERS[0].split('-')[0]}}}-\\x{{10ffff}}]")), found[0]).otherwise(found[1])
 
 
-def literal(value: object, kind: str) -> Column:
+def literal(text: str, kind: str) -> Column:
     """One literal of a nested type: parsed from JSON once, when the plan is optimised."""
-    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False, separators=(",", ":"))), kind)
+    return F.from_json(F.lit(text), kind)
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -121,6 +121,16 @@ def rank_map(ranks: list[tuple[bytes, int]]) -> dict:
     return {"keys": keys, "values": values, "bytes": single, "whole": whole}
 
 
+def rank_text(spark: SparkSession, path: str) -> str:
+    """The rank map as the text of its literal. A task builds it, so that the driver holds the text and not the map."""
+
+    def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            yield pa.record_batch({"held": pa.array([json.dumps(rank_map(ranks_of(path)), separators=(",", ":"))])})
+
+    return spark.range(1, numPartitions=1).mapInArrow(built, "held string").first()["held"]
+
+
 def merged_ids(ids: list[int], by_pair: dict[tuple[int, int], int]) -> list[int]:
     """The fold in plain Python, for the few thousand entries of a vocabulary."""
     while len(ids) > 1:
@@ -207,14 +217,14 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out()
 
 
-def dictionaries(rows: DataFrame, ranks: list[tuple[bytes, int]]) -> str:
+def dictionaries(rows: DataFrame, path: str) -> str:
     """The folder of the blocks' dictionaries: word and ids, a partition per block."""
     # a given number of partitions: folding costs time, not bytes, so few bytes must not be put into few tasks
     spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = 1 + rows.count() // (BLOCK_ROWS * LISTED)
     pairs = rows.select("block", "words").mapInArrow(_distinct, "block long, word string").withColumn("part", F.pmod("block", F.lit(lists)))
     words = pairs.repartition(spread, "word", "part").groupBy("word", "part").agg(F.collect_list("block").alias("blocks"))
-    folded = words.select("word", "blocks", bound(literal(rank_map(ranks), KIND), lambda held: Fold(held)(F.col("word"))).alias("ids"))
+    folded = words.select("word", "blocks", bound(literal(rank_text(rows.sparkSession, path), KIND), lambda held: Fold(held)(F.col("word"))).alias("ids"))
     return write_blocks(folded.select(F.explode("blocks").alias("block"), "word", "ids"), "dictionaries")
 
 
@@ -263,9 +273,8 @@ class Decoder:
 
 def encoded(docs: DataFrame, path: str, pattern: str, finish: Callable[[pa.Array, list[np.ndarray]], pa.RecordBatch], schema: str) -> DataFrame:
     """``finish`` of the doc_ids and ids of each slice of rows, for every row of ``docs`` (doc_id and text)."""
-    ranks = ranks_of(path)
     rows = _blocks(in_files(docs), pattern)
-    folder = dictionaries(rows, ranks)
+    folder = dictionaries(rows, path)
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, dictionary = None, None
@@ -304,11 +313,10 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, and sha256 of the ids and of the bytes they decode to, of every row."""
     decoders: list[Decoder] = []
-    ranks = docs.sparkSession.sparkContext.broadcast(ranks_of(path))
 
     def finish(doc_ids: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
         if not decoders:
-            decoders.append(Decoder(ranks.value))
+            decoders.append(Decoder(ranks_of(path)))
         return pa.record_batch({
             "doc_id": doc_ids,
             "n_tokens": pa.array([len(i) for i in ids], pa.int64()),
