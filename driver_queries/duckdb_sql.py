@@ -612,3 +612,55 @@ SELECT learner_id, question_set_id, qset_name, total_questions_attempted, total_
 # What a store holds after several syncs is what one extract of everything gives.
 ORACLES["refreshed_logins"] = ORACLES["login_events"]
 ORACLES["refreshed_new_learners"] = ORACLES["new_learners_weekly"]
+
+
+# Filtered forms: the same SQL over the attempts that the filters leave.
+SCHOOL_CLASS = "school = 'NATION_7' AND grade = 'class-two' AND tenant_name = 'ASIA'"
+SOME_DAYS = "d BETWEEN DATE '2024-01-10' AND DATE '2024-01-23'"
+
+
+def narrowed(sql: str, where: str) -> str:
+    """``sql`` over the attempts for which ``where`` holds."""
+    for source in (A, S):
+        body = source.removeprefix("WITH ")
+        kept = _rename(body, "a", "every_a") + f", a AS (SELECT * FROM every_a WHERE {where})"
+        sql = sql.replace(body, kept)
+    return sql
+
+
+def _weekly_figure(figure: str, where: str) -> str:
+    return narrowed(f"{A} SELECT {week('d')} AS bucket, {figure} FROM a GROUP BY 1", where)
+
+
+ORACLES |= {
+    "completed_attempts_of_skill": f"""{A} SELECT learner_id, question_id, {ts('updated_at')} AS updated_at, qset_uid FROM a
+  WHERE status = 'completed' AND l2_skill = 'L2-1' AND l3_skill = 'L3-7'""",
+    "completed_attempts_of_sets": f"""{A} SELECT learner_id, question_id, {ts('updated_at')} AS updated_at, qset_uid FROM a
+  WHERE status = 'completed' AND qset_uid IN ('U-click-3', 'U-view-8', 'U-none-1')""",
+    "unique_learners_weekly_selected": _weekly_figure("count(DISTINCT learner_id) AS learners", f"{SCHOOL_CLASS} AND {SOME_DAYS}"),
+    "sessions_weekly_selected": narrowed(
+        f"""{A}, cd AS (SELECT d, grade, count(DISTINCT learner_id) AS n FROM a WHERE grade IS NOT NULL GROUP BY ALL)
+SELECT {week('d')} AS bucket, count(*) FILTER (WHERE n >= 2) AS sessions FROM cd GROUP BY 1""",
+        f"school = 'NATION_7' AND {SOME_DAYS}",
+    ),
+    "time_per_learner_overall_selected": narrowed(
+        f"""{A}, ld AS (SELECT learner_id, d, least({seconds('min(updated_at)', 'max(updated_at)')}, 2700.0::DOUBLE) AS sec FROM a GROUP BY ALL),
+m AS (SELECT {even(exact('sec') + ' / 60.0::DOUBLE', 2)} AS minutes, count(DISTINCT learner_id) AS n FROM ld)
+SELECT 'overall' AS bucket, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE {even('minutes / n', 2)} END AS minutes_per_learner FROM m""",
+        f"{SCHOOL_CLASS} AND {SOME_DAYS}",
+    ),
+    "qset_performance_report_selected": narrowed(
+        ORACLES["qset_performance_report"].replace("WHERE purpose = 'Practice'", ""),
+        "qset_uid IN ('U-click-3', 'U-click-6', 'U-view-8') AND repo_name = 'Repo-0' AND l2_skill = 'L2-0'",
+    ),
+    "learner_progress_report_of_school": narrowed(ORACLES["learner_progress_report"], "school = 'NATION_7'"),
+    "learner_list_selected": narrowed(
+        ORACLES["learner_list"].replace("operation = 'Addition'", "operation = 'Division'"),
+        "school = 'NATION_7' AND tenant_name = 'ASIA' AND purpose = 'Practice' AND d >= DATE '2024-01-08'",
+    ),
+    "learner_detail_of_learner": narrowed(ORACLES["learner_detail"], "learner_id = '5' AND purpose = 'Practice'"),
+    "learner_detail_of_username": narrowed(
+        ORACLES["learner_detail"], "learner_username = 'user7' AND qset_grade = 'class-two' AND operation = 'Addition'"
+    ),
+    "master_report_long_selected": narrowed(ORACLES["master_report_long"], "grade = 'class-two' AND tenant_name = 'ASIA'"),
+}

@@ -29,6 +29,7 @@ FIRST_LOAD_UNTIL = dt.datetime(2024, 1, 20)
 SOME_DAYS = Period(dt.date(2024, 1, 10), dt.date(2024, 1, 23))
 LATER_WEEKS = Period(dt.date(2024, 1, 8))
 LOW, HIGH = 0.4, 0.6
+SCHOOL_CLASS = Selection(school="NATION_7", grade="class-two", tenant="ASIA")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -227,6 +228,10 @@ def report_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, d
     return shared(spark, sf), extracts.logins(shared_tables), AS_OF
 
 
+def positions(spark: SparkSession, sf: str) -> DataFrame:
+    return extracts.question_positions(binding.source_tables(spark, sf, shared_devices=True))
+
+
 def count_format(spark: SparkSession, sf: str) -> DataFrame:
     placed = act.weekly(core_rows(spark, sf))
     learners = act.unique_learners(placed)
@@ -312,6 +317,12 @@ QUERIES: dict[str, Query] = {
     "completed_attempts": lambda spark, sf: flt.completed(
         core(spark, sf), repository="Repo-1", operation="Addition", purpose="Practice"
     ).select("learner_id", "question_id", "updated_at", "qset_uid"),
+    "completed_attempts_of_skill": lambda spark, sf: flt.completed(
+        core(spark, sf), l2_skill="L2-1", l3_skill="L3-7"
+    ).select("learner_id", "question_id", "updated_at", "qset_uid"),
+    "completed_attempts_of_sets": lambda spark, sf: flt.completed(
+        core(spark, sf), qsets=["U-click-3", "U-view-8", "U-none-1"]
+    ).select("learner_id", "question_id", "updated_at", "qset_uid"),
     "learner_labels": lambda spark, sf: reshape.learner_labels(
         extracts.all_learners(tables(spark, sf))
     ),
@@ -361,6 +372,15 @@ QUERIES: dict[str, Query] = {
         act.overall(core_rows(spark, sf), SOME_DAYS)
     ),
     "unique_learners_weekly": weekly(act.unique_learners),
+    "unique_learners_weekly_selected": lambda spark, sf: act.unique_learners(
+        act.weekly(SCHOOL_CLASS.apply(rows(spark, sf)), SOME_DAYS)
+    ),
+    "sessions_weekly_selected": lambda spark, sf: act.sessions(
+        act.weekly(Selection(school=SCHOOL_CLASS.school).apply(rows(spark, sf)), SOME_DAYS), 2
+    ),
+    "time_per_learner_overall_selected": lambda spark, sf: act.at_least_overall(
+        act.time_per_learner(act.overall(SCHOOL_CLASS.apply(rows(spark, sf)), SOME_DAYS))
+    ),
     "unique_learners_weekly_by_operation": weekly(act.unique_learners_by_operation),
     "new_learners_weekly": new_learners(distinct=False, narrowed=False),
     "new_learners_weekly_distinct": new_learners(distinct=True, narrowed=False),
@@ -413,6 +433,9 @@ QUERIES: dict[str, Query] = {
     "qset_performance_report": lambda spark, sf: reports.qset_performance_report(
         core(spark, sf), purpose="Practice"
     ),
+    "qset_performance_report_selected": lambda spark, sf: reports.qset_performance_report(
+        core(spark, sf), qsets=["U-click-3", "U-click-6", "U-view-8"], repository="Repo-0", l2_skill="L2-0"
+    ),
     "question_time_taken": question_times,
     "question_performance": lambda spark, sf: content.question_performance(
         question_times(spark, sf)
@@ -427,7 +450,27 @@ QUERIES: dict[str, Query] = {
     "learner_progress_report": lambda spark, sf: reports.learner_progress_report(
         attempts(spark, sf), extracts.last_questions(tables(spark, sf))
     ),
+    "learner_progress_report_of_school": lambda spark, sf: reports.learner_progress_report(
+        attempts(spark, sf), extracts.last_questions(tables(spark, sf)), SCHOOL_CLASS.school
+    ),
     # drill-downs and reports
+    "learner_list_selected": lambda spark, sf: drilldown.learner_list(
+        attempts(spark, sf),
+        "Subtraction",
+        LATER_WEEKS,
+        parent=Selection(school="NATION_2", tenant="ASIA"),
+        child=Selection(school=SCHOOL_CLASS.school, operation="Division"),
+        purposes=["Practice", "Pre Test"],
+    ),
+    "learner_detail_of_learner": lambda spark, sf: drilldown.learner_detail(
+        shared(spark, sf), positions(spark, sf), learner_id="5", purposes=["Practice"]
+    ),
+    "learner_detail_of_username": lambda spark, sf: drilldown.learner_detail(
+        shared(spark, sf), positions(spark, sf), username="user7", qset_grade="class-two", operation="Addition"
+    ),
+    "master_report_long_selected": lambda spark, sf: master_report.master_report_long(
+        *report_inputs(spark, sf), selection=Selection(grade="class-two", tenant="ASIA")
+    ),
     "learner_list": lambda spark, sf: drilldown.learner_list(attempts(spark, sf), OPERATIONS[0]),
     "learner_detail": lambda spark, sf: drilldown.learner_detail(
         shared(spark, sf),

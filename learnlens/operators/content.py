@@ -31,6 +31,9 @@ QUESTION = [
     "q_seq",
 ]
 
+HARD, EASY = "hard", "easy"
+NAME_BREAK = ", \n"
+
 
 # --- by operation and grade ------------------------------------------------------------------------
 
@@ -77,33 +80,46 @@ def grade_summary(results: DataFrame) -> DataFrame:
     )
 
 
+def easy_and_hard_names(
+    scores: DataFrame, low: float = LOW_SCORE, high: float = HIGH_SCORE
+) -> DataFrame:
+    """One row per operation, grade, list and question-set name with a low or a high average score; each name once a list."""
+    known = without_null_keys(scores, ["operation", "qset_grade", "qset_name"])
+    lists = F.array(
+        F.when(F.col("avg_score") < low, F.lit(HARD)), F.when(F.col("avg_score") > high, F.lit(EASY))
+    )
+    listed = known.select("operation", "qset_grade", F.explode(F.array_compact(lists)).alias("list"), "qset_name")
+    return listed.distinct()
+
+
 def easy_and_hard(
     scores: DataFrame, low: float = LOW_SCORE, high: float = HIGH_SCORE
 ) -> DataFrame:
     """Names of the question sets with a low and with a high average score, sorted, in one text each.
 
-    Only names that qualify are gathered, each once.
+    Names are ordered over all groups by ranges, so a group of very many is spread over tasks; each task joins the
+    names it holds of a group into one piece, and only pieces, which are in the order of the ranges, are put together.
+    A group without such names has two empty texts.
     """
-    known = without_null_keys(scores, ["operation", "qset_grade"])
-    marked = known.select(
-        "operation",
-        "qset_grade",
-        "qset_name",
-        (F.col("avg_score") < low).alias("hard"),
-        (F.col("avg_score") > high).alias("easy"),
-    )
-    names = marked.groupBy("operation", "qset_grade", "qset_name").agg(
-        F.bool_or("hard").alias("hard"), F.bool_or("easy").alias("easy")
+    group = ["operation", "qset_grade"]
+    spark = scores.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = easy_and_hard_names(scores, low, high).repartitionByRange(ranges, *group, "list", "qset_name")
+    pieces = (
+        ranged.withColumn("range", F.spark_partition_id())
+        .groupBy(*group, "list", "range")
+        .agg(F.array_join(F.array_sort(F.collect_list("qset_name")), NAME_BREAK).alias("piece"))
     )
 
-    def listed(flag: str):
-        return F.array_join(
-            F.array_sort(F.collect_list(F.when(F.col(flag), F.col("qset_name")))), ", \n"
-        )
+    def text(name: str):
+        held = F.array_sort(F.collect_list(F.when(F.col("list") == name, F.struct("range", "piece"))))
+        return F.array_join(F.transform(held, lambda p: p["piece"]), NAME_BREAK)
 
-    return names.groupBy("operation", "qset_grade").agg(
-        listed("hard").alias("qsets_score_less_than_20"),
-        listed("easy").alias("qsets_score_more_than_90"),
+    found = without_null_keys(scores, group).select(*group).distinct().withColumn("list", F.lit(None).cast("string"))
+    found = found.withColumns({"range": F.lit(None).cast("int"), "piece": F.lit(None).cast("string")})
+    return pieces.unionByName(found).groupBy(*group).agg(
+        text(HARD).alias("qsets_score_less_than_20"),
+        text(EASY).alias("qsets_score_more_than_90"),
     )
 
 

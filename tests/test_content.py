@@ -272,3 +272,24 @@ def test_learner_labels_keep_missing_parts_empty(spark):
     assert [r[0] for r in reshape.learner_labels(learners).collect()] == ["u1-", "u2-B", "-A"]
     assert [r[0] for r in reshape.learner_labels(filters.of_school(learners, "No School")).collect()] == ["u2-B"]
     assert reshape.learner_labels(filters.of_school(learners, "S")).count() == 2
+
+
+def test_a_group_of_very_many_names_is_listed_in_pieces(spark):
+    """One group holds 100,000 names; the text is that of a plain sort, and no task gathers the names of the group."""
+    n = 100_000
+    scores = spark.range(n).select(
+        F.lit("Addition").alias("operation"),
+        F.lit("class-one").alias("qset_grade"),
+        F.concat(F.lit("Set "), (F.col("id") * 7919 % n).cast("string")).alias("qset_name"),
+        F.when(F.col("id") % 3 == 0, 0.05).otherwise(0.95).alias("avg_score"),
+    )
+    more = [("Addition", "class-one", "Set 0", 0.99), ("Addition", "class-two", "B", 0.5), ("Addition", "class-two", None, 0.1), (None, "class-two", "C", 0.1)]
+    scores = scores.unionByName(spark.createDataFrame(more, "operation string, qset_grade string, qset_name string, avg_score double"))
+    rows = {r["qset_grade"]: r for r in content.easy_and_hard(scores).collect()}
+    names = {"hard": {f"Set {k * 7919 % n}" for k in range(0, n, 3)}, "easy": {f"Set {k * 7919 % n}" for k in range(n) if k % 3} | {"Set 0"}}
+    assert rows["class-one"]["qsets_score_less_than_20"] == ", \n".join(sorted(names["hard"]))
+    assert rows["class-one"]["qsets_score_more_than_90"] == ", \n".join(sorted(names["easy"]))
+    assert tuple(rows["class-two"])[2:] == ("", "") and len(rows) == 2
+    spread_out = content.easy_and_hard_names(scores).repartitionByRange(4, "operation", "qset_grade", "list", "qset_name")
+    most = spread_out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < n / 2
