@@ -664,3 +664,10 @@ SELECT 'overall' AS bucket, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE {even('minutes
     ),
     "master_report_long_selected": narrowed(ORACLES["master_report_long"], "grade = 'class-two' AND tenant_name = 'ASIA'"),
 }
+
+# Bitmaps give the figures that distinct counts give.
+ORACLES |= {
+    "learner_bitmaps_weekly": ORACLES["unique_learners_weekly"],
+    "learner_bitmaps_weekly_by_operation": ORACLES["unique_learners_weekly_by_operation"],
+    "learner_bitmaps_selected": ORACLES["unique_learners_weekly_selected"],
+}

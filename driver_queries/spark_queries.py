@@ -15,6 +15,7 @@ from learnlens.functions import values as val
 from learnlens.operators import activity as act
 from learnlens.operators import content, drilldown, jumps, progression, reshape
 from learnlens.operators import filters as flt
+from learnlens.operators import learner_bitmaps as bitmaps
 from learnlens.operators.filters import Period, Selection
 from learnlens.operators.joins import decode_lookup
 from learnlens.plans import master_report, reports
@@ -228,6 +229,13 @@ def report_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, d
     return shared(spark, sf), extracts.logins(shared_tables), AS_OF
 
 
+def rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored bitmaps of learners by day and attributes."""
+    active = rows(spark, sf)
+    numbers = written(bitmaps.numbered_learners(active), "learner-numbers")
+    return written(bitmaps.learner_rollup(active, numbers), "learner-rollup")
+
+
 def positions(spark: SparkSession, sf: str) -> DataFrame:
     return extracts.question_positions(binding.source_tables(spark, sf, shared_devices=True))
 
@@ -381,6 +389,13 @@ QUERIES: dict[str, Query] = {
     "time_per_learner_overall_selected": lambda spark, sf: act.at_least_overall(
         act.time_per_learner(act.overall(SCHOOL_CLASS.apply(rows(spark, sf)), SOME_DAYS))
     ),
+    "learner_bitmaps_weekly": lambda spark, sf: bitmaps.unique_learners(act.weekly(rollup(spark, sf))),
+    "learner_bitmaps_weekly_by_operation": lambda spark, sf: bitmaps.unique_learners_by_operation(
+        act.weekly(rollup(spark, sf))
+    ),
+    "learner_bitmaps_selected": lambda spark, sf: bitmaps.unique_learners(
+        act.weekly(SCHOOL_CLASS.apply(rollup(spark, sf)), SOME_DAYS)
+    ),
     "unique_learners_weekly_by_operation": weekly(act.unique_learners_by_operation),
     "new_learners_weekly": new_learners(distinct=False, narrowed=False),
     "new_learners_weekly_distinct": new_learners(distinct=True, narrowed=False),
