@@ -16,7 +16,7 @@ from learnlens.operators.filters import Period, Selection
 from learnlens.operators.jumps import ALL_STEPS, grade_steps, operation_steps
 from learnlens.operators.reshape import pivot_buckets
 from learnlens.schema import GRADE_STEPS, OPERATION_STEPS, OPERATIONS, PROMOTED_GRADE
-from learnlens.sources.scratch import written, written_together
+from learnlens.sources.scratch import written_by, written_together
 
 # ---------------------------------------------------------------------------
 # The rows of the report, in order.
@@ -156,13 +156,14 @@ def master_report_long(
 ) -> DataFrame:
     """One row per report row and bucket that has a figure, and all overall figures.
 
-    The attempts are read once, into daily activity that is written to the shared folder. One aggregate of it by bucket and
+    The attempts are read once, into daily activity that is written to the shared folder in buckets of learners, so that what
+    is grouped or ordered by learner is not shuffled again. One aggregate of it by bucket and
     learner, written too, gives all figures of learners, time, work and accuracy; sessions and jumps, which need other keys,
     read the daily activity, jumps at the same time. Logins, sessions and operation jumps take no operation filter. Overall figures cover all time unless
     both ends of the period are given, except median work, which covers the weeks shown.
     """
     period = shown_period(period, as_of)
-    daily = written(act.activity_daily(attempts), "activity")
+    daily = written_by(act.activity_daily(attempts), "activity", "learner_id")
     chosen = selection.apply(daily)
     any_operation = selection.any_operation().apply(daily)
     stored = written_together(

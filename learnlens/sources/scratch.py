@@ -67,6 +67,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, name: str, key: str, buckets: int | None = None) -> DataFrame:
+    """``df`` written in buckets of ``key`` and read back as a table whose layout Spark knows.
+
+    Groups, windows and joins that have the key among theirs then need no shuffle. Rows should be reduced before, so that
+    one value of the key has a bounded number.
+    """
+    spark = df.sparkSession
+    number = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = new_path(spark, name)
+    table = path.rpartition("/")[2].replace("-", "_")
+    df.repartition(number, key).write.bucketBy(number, key).sortBy(key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def written_together(**frames: DataFrame) -> dict[str, DataFrame]:
     """Frames that do not need each other, written side by side and read back; each by its name."""
     with ThreadPoolExecutor(len(frames)) as pool:

@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from learnlens.operators import activity as act
 from learnlens.operators import jumps
 from learnlens.operators.filters import Period, Selection
@@ -151,3 +153,23 @@ def test_operation_jumps_ignore_the_operation_filter(spark):
     )
     jumped = jumps.operation_jumps(frame, Selection(operation="Division"))
     assert rows_of(jumped, "step", "reached", "minutes") == [("Addition", "Division", 10.0)]
+
+
+@pytest.mark.parametrize("steps", [jumps.grade_steps, jumps.operation_steps])
+def test_jumps_of_activity_in_buckets_of_learners_need_no_shuffle(spark, steps):
+    from learnlens.operators.activity import activity_daily, learner_buckets, weekly
+    from learnlens.sources import binding
+    from learnlens.sources.scratch import written_by
+
+    daily = activity_daily(binding.attempts(spark, "/root/testdata/sf0.001", shared_devices=True))
+    stored = written_by(daily, "activity", "learner_id", 4)
+
+    def placed(activity):
+        return steps(activity, Selection(), Period(), as_of=dt.date(2024, 1, 30))
+
+    found = placed(stored)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" in plan
+    assert rows_of(found) == rows_of(placed(daily)) and found.count() > 0
+    # only the medians and counts of buckets are shuffled, and learners per bucket not at all
+    assert "Exchange" not in learner_buckets(weekly(stored))._jdf.queryExecution().executedPlan().toString()
