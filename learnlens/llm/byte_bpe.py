@@ -271,6 +271,16 @@ class Decoder:
         return gathered(self.data, self.starts[ids], self.counts[ids]).tobytes()
 
 
+_decoders: dict[str, Decoder] = {}
+
+
+def decoder(path: str) -> Decoder:
+    """The decoder of this Python worker, which serves one task after the other."""
+    if path not in _decoders:
+        _decoders[path] = Decoder(ranks_of(path))
+    return _decoders[path]
+
+
 def encoded(docs: DataFrame, path: str, pattern: str, finish: Callable[[pa.Array, list[np.ndarray]], pa.RecordBatch], schema: str) -> DataFrame:
     """``finish`` of the doc_ids and ids of each slice of rows, for every row of ``docs`` (doc_id and text)."""
     rows = _blocks(in_files(docs), pattern)
@@ -312,16 +322,13 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, and sha256 of the ids and of the bytes they decode to, of every row."""
-    decoders: list[Decoder] = []
-
     def finish(doc_ids: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
-        if not decoders:
-            decoders.append(Decoder(ranks_of(path)))
+        decode = decoder(path)
         return pa.record_batch({
             "doc_id": doc_ids,
             "n_tokens": pa.array([len(i) for i in ids], pa.int64()),
             "ids_sha256": pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in ids], pa.string()),
-            "decoded_sha256": pa.array([hashlib.sha256(decoders[0](i)).hexdigest() for i in ids], pa.string()),
+            "decoded_sha256": pa.array([hashlib.sha256(decode(i)).hexdigest() for i in ids], pa.string()),
         })
 
     return encoded(docs, path, pattern, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
