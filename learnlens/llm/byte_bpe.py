@@ -71,10 +71,20 @@ def java_pattern(pattern: str, newer: bool) -> str:
     return "(?U)" + pattern.replace("\0", f"[^\\s{letters}{numbers}]")
 
 
+def ascii_pattern(pattern: str) -> str:
+    """The pattern as it reads in texts of ASCII characters only, which it splits faster."""
+    return pattern.replace("[^\\s\\p{L}\\p{N}]", "[^\\sA-Za-z0-9]").replace("\\p{L}", "[A-Za-z]").replace("\\p{N}", "[0-9]")
+
+
 def split_words(text: Column, pattern: str) -> Column:
-    """All matches of the pattern; only texts that could hold newer code points are split by the longer form."""
-    found = [F.regexp_extract_all(text, F.lit(java_pattern(pattern, newer)), F.lit(0)) for newer in (True, False)]
-    return F.when(F.regexp_like(text, F.lit(f"[\\x{{{NEWER_LETTERS[0].split('-')[0]}}}-\\x{{10ffff}}]")), found[0]).otherwise(found[1])
+    """All matches of the pattern, in the shortest form that reads the text's characters right."""
+
+    def found(form: str) -> Column:
+        return F.regexp_extract_all(text, F.lit(form), F.lit(0))
+
+    newer = F.regexp_like(text, F.lit(f"[\\x{{{NEWER_LETTERS[0].split('-')[0]}}}-\\x{{10ffff}}]"))
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, found(ascii_pattern(pattern))).when(newer, found(java_pattern(pattern, True))).otherwise(found(java_pattern(pattern, False)))
 
 
 def literal(text: str, kind: str) -> Column:
