@@ -11,7 +11,6 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import public_tokenizers
-from pyspark.sql import functions as F
 from llm_rows import ODD, rows_by_id
 
 import corpus_pipeline
@@ -380,12 +379,3 @@ def test_stages_keep_the_columns_of_odd_and_empty_documents(spark, odd, none):
             docs = stage(spark, docs, SMALL)
             assert docs.columns == columns
             docs.collect()
-
-
-def test_ascii_texts_split_as_others_do(spark):
-    rng = random.Random(11)
-    texts = ["".join(rng.choice("ab Z'stl19.,!_ \n\t\x0b\x0c\r\x1c\x1f\x7f\0") for _ in range(rng.randint(0, 60))) for _ in range(400)]
-    pattern = public_tokenizers.PATTERN
-    frame = spark.createDataFrame([(t,) for t in texts], "text string")
-    whole = F.regexp_extract_all("text", F.lit(byte_bpe.java_pattern(pattern, False)), F.lit(0))
-    assert frame.where(~byte_bpe.split_words(F.col("text"), pattern).eqNullSafe(whole)).count() == 0
