@@ -182,6 +182,13 @@ def question_times(spark: SparkSession, sf: str) -> DataFrame:
     return content.question_times(extracts.question_level(shared_tables))
 
 
+def question_performance(spark: SparkSession, sf: str) -> DataFrame:
+    source = binding.source_tables(spark, sf, shared_devices=True)
+    return content.question_performance_of(
+        extracts.question_answers(source), extracts.set_labels(source), extracts.question_labels(source)
+    )
+
+
 def refreshed(spark: SparkSession, sf: str) -> DataFrame:
     """A first load of the older attempts, a sync of the rest, and one that finds nothing new."""
     source = tables(spark, sf)
@@ -444,7 +451,7 @@ QUERIES: dict[str, Query] = {
         binding.result_tables(spark, sf), "Practice", "Repo-1", LOW, HIGH
     ),
     "qset_learner_accuracy": qset_learners,
-    "qset_performance": lambda spark, sf: content.qset_performance(qset_learners(spark, sf)),
+    "qset_performance": lambda spark, sf: content.qset_performance_of(flt.completed(core(spark, sf))),
     "qset_performance_report": lambda spark, sf: reports.qset_performance_report(
         core(spark, sf), purpose="Practice"
     ),
@@ -452,9 +459,7 @@ QUERIES: dict[str, Query] = {
         core(spark, sf), qsets=["U-click-3", "U-click-6", "U-view-8"], repository="Repo-0", l2_skill="L2-0"
     ),
     "question_time_taken": question_times,
-    "question_performance": lambda spark, sf: content.question_performance(
-        question_times(spark, sf)
-    ),
+    "question_performance": question_performance,
     "question_performance_report": lambda spark, sf: reports.question_performance_report(
         binding.source_tables(spark, sf, shared_devices=True), "U-click-3"
     ),

@@ -35,6 +35,14 @@ def json_text(document: Column | str, path: str) -> Column:
     return F.get_json_object(document, f"$.{path}")
 
 
+def json_fields(document: Column | str, layout: str) -> Column:
+    """A document read once, as a struct of ``layout``; what it lacks, or holds in another shape, is null.
+
+    The mode is stated so that the parse stays one: without options the optimizer makes a parse of its own for each field.
+    """
+    return F.from_json(document, layout, {"mode": "PERMISSIVE"})
+
+
 def round_even(value: Column, places: int = 0) -> Column:
     """Round a double with ties to the even digit (``F.round`` sends ties away from zero)."""
     scale = F.lit(float(10**places))

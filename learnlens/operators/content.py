@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from learnlens.functions.calendar import seconds_between
@@ -31,6 +33,11 @@ QUESTION = [
     "q_seq",
 ]
 
+#: Identifiers of a question set's row; the other attributes follow from them but for renamed sets, see `by_ids`.
+QSET_IDS = ["question_set_id", "operation", "qset_grade"]
+QUESTION_IDS = ["question_set_id", "question_id", "q_seq"]
+MARK = "_attributes"
+
 HARD, EASY = "hard", "easy"
 NAME_BREAK = ", \n"
 
@@ -142,22 +149,24 @@ def grade_performance(
 # --- by question set -------------------------------------------------------------------------------
 
 
-def qset_learners(completed_attempts: DataFrame) -> DataFrame:
-    """Time, score and accuracy of each learner on each question set.
+def by_ids(rows: DataFrame, names: Sequence[str], ids: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with only the columns ``ids`` of ``names`` and a mark of the others, and the names for ids and mark.
 
-    Time is the uncapped span of each day, summed over days. Attempts that lack an attribute of the question
-    set, such as a skill, belong to no group and are left out, and so are those without a time.
+    Shuffles of the first then carry a number instead of texts. The mark is a 64-bit hash, which only has to tell apart the
+    few states of one thing's attributes, such as its old and its new name.
     """
-    keys = [*QSET, "learner_id"]
-    days = (
-        without_null_keys(completed_attempts, [*keys, "updated_at"])
-        .groupBy(*keys, F.to_date("updated_at").alias("updated_date"))
-        .agg(
-            F.min("updated_at").alias("first_at"),
-            F.max("updated_at").alias("last_at"),
-            F.sum("score").alias("score"),
-            F.count("score").alias("scored"),
-        )
+    others = [c for c in names if c not in ids]
+    marked = rows.withColumn(MARK, F.xxhash64(*others))
+    return marked.drop(*others), marked.select(*names, MARK).distinct()
+
+
+def _learners(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Time, score and accuracy per ``keys``, which include the learner."""
+    days = rows.groupBy(*keys, F.to_date("updated_at").alias("updated_date")).agg(
+        F.min("updated_at").alias("first_at"),
+        F.max("updated_at").alias("last_at"),
+        F.sum("score").alias("score"),
+        F.count("score").alias("scored"),
     )
     span = seconds_between(F.col("first_at"), F.col("last_at")).cast("decimal(18,6)")
     return days.groupBy(*keys).agg(
@@ -168,11 +177,26 @@ def qset_learners(completed_attempts: DataFrame) -> DataFrame:
     )
 
 
-def qset_performance(learners: DataFrame) -> DataFrame:
-    """Learners, median and mean accuracy (fractions) and time (minutes) of each question set."""
-    measured = spread(learners, QSET, {"accuracy": 0.01, "total_time": 60.0})
+def _of_qsets(completed_attempts: DataFrame) -> DataFrame:
+    return without_null_keys(completed_attempts, [*QSET, "learner_id", "updated_at"])
+
+
+def qset_learners(completed_attempts: DataFrame) -> DataFrame:
+    """Time, score and accuracy of each learner on each question set.
+
+    Time is the uncapped span of each day, summed over days. Attempts that lack an attribute of the question
+    set, such as a skill, belong to no group and are left out, and so are those without a time.
+    """
+    keys = [*QSET_IDS, MARK]
+    rows, names = by_ids(_of_qsets(completed_attempts), QSET, QSET_IDS)
+    measures = ["total_time", "total_score", "total_count", "accuracy"]
+    return _learners(rows, [*keys, "learner_id"]).join(names, keys).select(*QSET, "learner_id", *measures)
+
+
+def _difficulty(learners: DataFrame, keys: Sequence[str]) -> DataFrame:
+    measured = spread(learners, keys, {"accuracy": 0.01, "total_time": 60.0})
     return measured.select(
-        *QSET,
+        *keys,
         F.col("rows").alias("count_of_learners"),
         F.col("accuracy_median").alias("median_accuracy"),
         F.col("accuracy_mean").alias("average_accuracy"),
@@ -181,6 +205,19 @@ def qset_performance(learners: DataFrame) -> DataFrame:
     )
 
 
+def qset_performance(learners: DataFrame) -> DataFrame:
+    """Learners, median and mean accuracy (fractions) and time (minutes) of each question set."""
+    return _difficulty(learners, QSET)
+
+
+def qset_performance_of(completed_attempts: DataFrame) -> DataFrame:
+    """``qset_performance(qset_learners(completed_attempts))``, reduced by identifiers; names are joined to the result."""
+    keys = [*QSET_IDS, MARK]
+    rows, names = by_ids(_of_qsets(completed_attempts), QSET, QSET_IDS)
+    found = _difficulty(_learners(rows, [*keys, "learner_id"]), keys).join(names, keys)
+    return found.select(*QSET, *[c for c in found.columns if c not in {*QSET, MARK}])
+
+
 def qset_report(performance: DataFrame) -> DataFrame:
     return performance.withColumns(
         {c: percent_text(F.col(c)) for c in ("median_accuracy", "average_accuracy")}
@@ -213,29 +250,29 @@ def question_times(question_level: DataFrame) -> DataFrame:
     )
 
 
-def question_performance(timed: DataFrame) -> DataFrame:
-    """Learners, median and mean score and mean time of each question.
+def _answered(timed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Learners, median and mean score and mean time per ``keys``.
 
     Attempts are reduced to counts per learner and score, then per score. A score is a small whole number, so
     the median of a question looks at a handful of distinct values however many learners answered it.
     """
     per_learner = (
-        without_null_keys(timed, QUESTION)
-        .groupBy(*QUESTION, "learner_id", "score")
+        without_null_keys(timed, keys)
+        .groupBy(*keys, "learner_id", "score")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.sum(F.col("question_time_taken").cast("decimal(18,6)")).alias("seconds"),
         )
     )
-    once = Window.partitionBy(*QUESTION, "learner_id").orderBy("score")
+    once = Window.partitionBy(*keys, "learner_id").orderBy("score")
     counted = (F.row_number().over(once) == 1) & F.col("learner_id").isNotNull()
     per_score = (
         per_learner.withColumn("learners", counted.cast("bigint"))
-        .groupBy(*QUESTION, "score")
+        .groupBy(*keys, "score")
         .agg(*[F.sum(c).alias(c) for c in ("n", "seconds", "learners")])
     )
     scored = F.when(F.col("score").isNotNull(), F.col("n"))
-    return per_score.groupBy(*QUESTION).agg(
+    return per_score.groupBy(*keys).agg(
         F.sum("learners").alias("learners_count"),
         F.percentile("score", 0.5, F.col("n")).alias("median_accuracy"),
         F.try_divide(
@@ -247,6 +284,22 @@ def question_performance(timed: DataFrame) -> DataFrame:
     )
 
 
+def question_performance(timed: DataFrame) -> DataFrame:
+    """Learners, median and mean score and mean time of each question."""
+    return _answered(timed, QUESTION)
+
+
+def question_performance_of(answers: DataFrame, sets: DataFrame, questions: DataFrame) -> DataFrame:
+    """``question_performance(question_times(...))`` of attempts that carry identifiers only.
+
+    ``sets`` and ``questions`` have one row per identifier; they are joined to the result, of one row per question.
+    Questions and sets they do not name are left out.
+    """
+    found = _answered(question_times(answers), QUESTION_IDS)
+    named = without_null_keys(found.join(sets, "question_set_id").join(questions, "question_id"), QUESTION)
+    return named.select(*QUESTION, *[c for c in found.columns if c not in QUESTION])
+
+
 def question_report(performance: DataFrame) -> DataFrame:
     return performance.withColumns(
         {c: percent_text(F.col(c)) for c in ("median_accuracy", "average_accuracy")}

@@ -54,14 +54,14 @@ def qset_performance_report(
     rows = completed(attempts, *chosen)
     if not any(chosen):
         rows = rows.where(F.lit(False))
-    return content.qset_report(content.qset_performance(content.qset_learners(rows)))
+    return content.qset_report(content.qset_performance_of(rows))
 
 
 def question_performance_report(tables: extracts.Tables, qset_uid: str | None) -> DataFrame:
     """Difficulty of the questions of one question set; nothing is shown until one is chosen."""
-    rows = extracts.question_level(tables, qset_uid)
+    rows = extracts.question_answers(tables, qset_uid)
     if not qset_uid:
         rows = rows.where(F.lit(False))
     return content.question_report(
-        content.question_performance(content.question_times(rows))
+        content.question_performance_of(rows, extracts.set_labels(tables), extracts.question_labels(tables))
     )

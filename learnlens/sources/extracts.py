@@ -13,13 +13,22 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window, functions as F
 
 from learnlens.functions.calendar import instant
-from learnlens.functions.values import grade_label, json_text
+from learnlens.functions.values import grade_label, json_fields, json_text
 from learnlens.operators.joins import decode_lookup
 from learnlens.schema import ATTEMPTS, COMPLETED, LOGIN_EVENT, NO_SCHOOL
 from learnlens.sources.scratch import written_together
 
 Tables = Mapping[str, DataFrame]
 
+#: What is read of the taxonomy of an attempt, of a question set, and for names.
+ATTEMPT_TAXONOMY = "class struct<identifier: string>, l1_skill struct<identifier: string>"
+SET_TAXONOMY = (
+    "l1_skill struct<identifier: string>, l2_skill array<struct<identifier: string>>,"
+    " l3_skill array<struct<identifier: string>>"
+)
+NAMED_TAXONOMY = "class struct<name: struct<en: string>>, l1_skill struct<name: struct<en: string>>"
+SET_NAMES = ["l1_skill", "l2_skill", "l3_skill", "repo_name"]
+
 
 def learner_profiles(tables: Tables) -> DataFrame:
     """Learners with the names of their class, school and tenant (null where unknown)."""
@@ -49,27 +58,64 @@ def learner_profiles(tables: Tables) -> DataFrame:
 
 
 def _question_sets(tables: Tables) -> DataFrame:
-    return tables["question_set"].select(
+    sets = tables["question_set"].withColumn("taxonomy", json_fields("taxonomy", SET_TAXONOMY))
+    return sets.select(
         F.col("identifier").alias("question_set_id"),
         json_text("title", "en").alias("qset_name"),
         F.col("x_id").alias("qset_uid"),
         "purpose",
         json_text("repository", "identifier").alias("repo_name_identifier"),
-        json_text("taxonomy", "l1_skill.identifier").alias("l1_skill_identifier"),
-        json_text("taxonomy", "l2_skill[0].identifier").alias("l2_skill_identifier"),
-        json_text("taxonomy", "l3_skill[0].identifier").alias("l3_skill_identifier"),
+        F.col("taxonomy.l1_skill.identifier").alias("l1_skill_identifier"),
+        F.get("taxonomy.l2_skill", F.lit(0))["identifier"].alias("l2_skill_identifier"),
+        F.get("taxonomy.l3_skill", F.lit(0))["identifier"].alias("l3_skill_identifier"),
         "sequence",
     )
 
 
-def _with_codes(facts: DataFrame) -> DataFrame:
-    """Attempt records with the identifiers in their taxonomy."""
-    return facts.withColumns(
+def _decoded_sets(tables: Tables) -> DataFrame:
+    """Question sets with the names of their skills and repository."""
+    skill = skills(tables)
+    sets = _question_sets(tables)
+    for level in ("l1_skill", "l2_skill", "l3_skill"):
+        of_level = skill.where(F.col("type") == level)
+        sets = decode_lookup(sets, of_level, f"{level}_identifier", "identifier", "skill", level)
+    return decode_lookup(
+        sets, repositories(tables), "repo_name_identifier", "identifier", "repo_name", "repo_name"
+    )
+
+
+def _decoded_codes(facts: DataFrame, tables: Tables) -> DataFrame:
+    """Attempt records with operation and ``qset_grade`` in place of the identifiers of :func:`_with_codes`."""
+    operations = skills(tables).where("type = 'l1_skill'")
+    decoded = decode_lookup(facts, operations, "operation_identifier", "identifier", "skill", "operation")
+    decoded = decode_lookup(
+        decoded, _grade_ids(tables), "qset_grade_identifier", "identifier", "grade_id", "qset_grade"
+    )
+    return decoded.withColumn("qset_grade", grade_label(F.col("qset_grade")))
+
+
+def _shown_profile(attempts: DataFrame) -> DataFrame:
+    """The learner's grade as a canonical label, a missing school as ``No School``."""
+    return attempts.withColumns(
         {
-            "qset_grade_identifier": json_text("taxonomy", "class.identifier"),
-            "operation_identifier": json_text("taxonomy", "l1_skill.identifier"),
+            "grade": grade_label(F.col("grade").try_cast("int")),
+            "school": F.coalesce("school", F.lit(NO_SCHOOL)),
         }
-    ).drop("taxonomy")
+    )
+
+
+def _with_codes(facts: DataFrame) -> DataFrame:
+    """Attempt records with the identifiers in their taxonomy."""
+    return (
+        facts.withColumn("taxonomy", json_fields("taxonomy", ATTEMPT_TAXONOMY))
+        .withColumns(
+            {
+                "qset_grade_identifier": F.col("taxonomy.class.identifier"),
+                "operation_identifier": F.col("taxonomy.l1_skill.identifier"),
+            }
+        )
+        .drop("taxonomy")
+    )
 
 
 def _grade_ids(tables: Tables) -> DataFrame:
@@ -123,10 +169,11 @@ def last_questions(tables: Tables) -> DataFrame:
     The grade is given as the canonical label, the form attempts carry. Equal sequences are settled by
     identifier so that the answer is the same on every run.
     """
-    sets = tables["question_set"].select(
+    named = tables["question_set"].withColumn("taxonomy", json_fields("taxonomy", NAMED_TAXONOMY))
+    sets = named.select(
         "identifier",
-        json_text("taxonomy", "l1_skill.name.en").alias("operation"),
-        json_text("taxonomy", "class.name.en").alias("class_name"),
+        F.col("taxonomy.l1_skill.name.en").alias("operation"),
+        F.col("taxonomy.class.name.en").alias("class_name"),
         "sequence",
     )
     top_set = Window.partitionBy("class_name", "operation").orderBy(
@@ -253,20 +300,14 @@ def question_set_ids(tables: Tables, repository: str | None = None) -> DataFrame
 
 def question_level(tables: Tables, qset_uid: str | None = None) -> DataFrame:
     """Attempts with question and question-set positions; of one question set if given."""
-    sets = tables["question_set"].select(
-        F.col("identifier").alias("question_set_id"),
-        F.col("x_id").alias("question_set_uid"),
-        F.col("sequence").alias("qs_seq"),
-    )
+    sets = set_labels(tables)
     facts = tables["question_attempts"].select(
         "question_set_id", "question_id", "learner_id", "score", "updated_at"
     )
     if qset_uid:
         sets = sets.where(F.col("question_set_uid") == qset_uid)
     positions = tables["question_set_question_mapping"].withColumnRenamed("sequence", "q_seq")
-    questions = tables["question"].select(
-        F.col("identifier").alias("question_id"), F.col("x_id").alias("question_uid")
-    )
+    questions = question_labels(tables)
     # With a question set chosen the filter would make this left join an inner one anyway.
     return (
         facts.join(sets, "question_set_id", "inner" if qset_uid else "left")
@@ -287,17 +328,48 @@ def question_level(tables: Tables, qset_uid: str | None = None) -> DataFrame:
     )
 
 
+def question_answers(tables: Tables, qset_uid: str | None = None) -> DataFrame:
+    """The attempts of :func:`question_level` by identifiers only, with the position that orders them."""
+    facts = tables["question_attempts"].select(
+        "question_set_id", "question_id", "learner_id", "score", "updated_at"
+    )
+    if qset_uid:
+        chosen = tables["question_set"].where(F.col("x_id") == qset_uid)
+        facts = facts.join(chosen.select(F.col("identifier").alias("question_set_id")), "question_set_id")
+    positions = tables["question_set_question_mapping"].withColumnRenamed("sequence", "q_seq")
+    return facts.join(positions, ["question_set_id", "question_id"], "left").withColumn(
+        "updated_date", F.to_date("updated_at")
+    )
+
+
+def set_labels(tables: Tables) -> DataFrame:
+    """Public id and position of each question set."""
+    return tables["question_set"].select(
+        F.col("identifier").alias("question_set_id"),
+        F.col("x_id").alias("question_set_uid"),
+        F.col("sequence").alias("qs_seq"),
+    )
+
+
+def question_labels(tables: Tables) -> DataFrame:
+    """Public id of each question."""
+    return tables["question"].select(
+        F.col("identifier").alias("question_id"), F.col("x_id").alias("question_uid")
+    )
+
+
 def set_results(
     tables: Tables, purpose: str | None = None, repository: str | None = None
 ) -> DataFrame:
     """Scores of completed question-set journeys, optionally of one purpose or repository."""
     journeys = tables["learner_journey"].where(F.col("status") == COMPLETED).drop("status")
-    results = tables["question_set_results"].select(
+    named = tables["question_set_results"].withColumn("taxonomy", json_fields("taxonomy", NAMED_TAXONOMY))
+    results = named.select(
         "question_set_id",
         "learner_id",
         "score",
-        json_text("taxonomy", "l1_skill.name.en").alias("operation"),
-        json_text("taxonomy", "class.name.en").alias("qset_grade"),
+        F.col("taxonomy.l1_skill.name.en").alias("operation"),
+        F.col("taxonomy.class.name.en").alias("qset_grade"),
         F.col("question_set_id").alias("result_set_id"),
     )
     sets = tables["question_set"]
@@ -325,69 +397,29 @@ def set_results(
 def enrich(flat: DataFrame, tables: Tables) -> DataFrame:
     """Decode the identifiers of :func:`attempts_flat` into names.
 
-    Grades become canonical labels, a missing school becomes ``No School``.
+    Grades become canonical labels, a missing school becomes ``No School``. Skills and repository belong to the
+    question set, so they are decoded on the sets, and the fact takes all four names in one join by its set.
     """
-    skill = skills(tables)
-    decoded = decode_lookup(
-        flat, _grade_ids(tables), "qset_grade_identifier", "identifier", "grade_id", "qset_grade"
-    ).withColumns(
-        {
-            "qset_grade": grade_label(F.col("qset_grade")),
-            "grade": grade_label(F.col("grade").try_cast("int")),
-            "school": F.coalesce("school", F.lit(NO_SCHOOL)),
-        }
-    )
-    levels = {
-        "operation": ("operation_identifier", "l1_skill"),
-        "l1_skill": ("l1_skill_identifier", "l1_skill"),
-        "l2_skill": ("l2_skill_identifier", "l2_skill"),
-        "l3_skill": ("l3_skill_identifier", "l3_skill"),
-    }
-    for name, (identifier, level) in levels.items():
-        of_level = skill.where(F.col("type") == level)
-        decoded = decode_lookup(decoded, of_level, identifier, "identifier", "skill", name)
-    return decode_lookup(
-        decoded, repositories(tables), "repo_name_identifier", "identifier", "repo_name", "repo_name"
-    )
+    names = _decoded_sets(tables).select("question_set_id", *SET_NAMES)
+    identifiers = [f"{c}_identifier" for c in SET_NAMES]
+    decoded = _decoded_codes(flat.drop(*identifiers), tables)
+    return _shown_profile(decoded.join(names, "question_set_id", "left"))
 
 
 def attempts(tables: Tables, since: dt.datetime | None = None) -> DataFrame:
     """The attempt fact all metrics read: the rows of ``enrich(attempts_flat(tables))``.
 
-    Names are decoded on the question sets, so that the fact is joined five times and not nine. The decoded sets
+    The fact meets sets that are decoded already, so it is joined five times. The decoded sets
     and the learner profiles are stored first: Spark then knows their true size and broadcasts one that is small,
     instead of shuffling the fact because the size of a chain of joins is unknown.
     """
     facts = tables["question_attempts"]
     if since is not None:
         facts = facts.where(F.col("updated_at") >= instant(since))
-    skill = skills(tables)
-    sets = _question_sets(tables)
-    for level in ("l1_skill", "l2_skill", "l3_skill"):
-        of_level = skill.where(F.col("type") == level)
-        sets = decode_lookup(sets, of_level, f"{level}_identifier", "identifier", "skill", level)
-    sets = decode_lookup(
-        sets, repositories(tables), "repo_name_identifier", "identifier", "repo_name", "repo_name"
-    )
-    stored = written_together(question_sets=sets, learner_profiles=learner_profiles(tables))
-    sets, profiles = stored["question_sets"], stored["learner_profiles"]
-    operations = skill.where("type = 'l1_skill'")
-    decoded = decode_lookup(
-        _with_codes(facts), operations, "operation_identifier", "identifier", "skill", "operation"
-    )
-    decoded = decode_lookup(
-        decoded, _grade_ids(tables), "qset_grade_identifier", "identifier", "grade_id", "grade_id"
-    )
-    return (
-        decoded.join(sets, "question_set_id", "left")
-        .join(profiles, "learner_id", "left")
+    stored = written_together(question_sets=_decoded_sets(tables), learner_profiles=learner_profiles(tables))
+    return _shown_profile(
+        _decoded_codes(_with_codes(facts), tables)
+        .join(stored["question_sets"], "question_set_id", "left")
+        .join(stored["learner_profiles"], "learner_id", "left")
         .join(tables["learner_journey"], ["question_set_id", "learner_id"], "left")
-        .withColumns(
-            {
-                "qset_grade": grade_label(F.col("grade_id")),
-                "grade": grade_label(F.col("grade").try_cast("int")),
-                "school": F.coalesce("school", F.lit(NO_SCHOOL)),
-            }
-        )
-        .select(*ATTEMPTS.names)
-    )
+    ).select(*ATTEMPTS.names)

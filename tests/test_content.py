@@ -8,6 +8,7 @@ from learnlens.functions.spread import spread
 from learnlens.operators import content, drilldown, filters, reshape
 from learnlens.operators.filters import Selection
 from learnlens.plans import reports
+from learnlens.sources import extracts
 from helpers import at, attempts, one, rows_of
 
 QUESTION_LEVEL = (
@@ -85,6 +86,62 @@ def test_qset_time_is_uncapped_and_summed_over_days(spark):
     ]
 
 
+def test_question_sets_by_identifiers_equal_those_by_names(spark):
+    """A set that was renamed, or lies in two grades, counts once for each state of its attributes."""
+    rng = random.Random(5)
+    frame = attempts(
+        spark,
+        *[
+            {
+                "learner_id": str(rng.randrange(9)),
+                "question_set_id": f"s{rng.randrange(3)}",
+                "qset_name": rng.choice(["Old", "New"]),
+                "qset_grade": rng.choice(["class-one", "class-two", None]),
+                "l2_skill": rng.choice(["L2", "L2", None]),
+                "updated_at": at(rng.randrange(8, 12), 10, rng.randrange(60)),
+                "score": rng.choice([0, 1, None]),
+            }
+            for _ in range(400)
+        ],
+    )
+    by_name = content.qset_performance(content.qset_learners(frame))
+    by_id = content.qset_performance_of(frame)
+    assert by_id.columns == by_name.columns and by_id.count() == 12
+    assert rows_of(by_id) == rows_of(by_name)
+
+
+def test_texts_of_question_sets_are_not_shuffled_with_learners(spark):
+    """Every exchange that carries learners or their measures hashes and holds identifiers only."""
+    plan = content.qset_performance_of(attempts(spark, {}))._jdf.queryExecution().optimizedPlan().toString()
+    grouped = [line for line in plan.splitlines() if "Aggregate [" in line and "learner_id" in line]
+    assert grouped and not any("qset_name" in line or "l2_skill" in line for line in grouped)
+
+
+def test_questions_by_identifiers_equal_those_by_names(spark):
+    rng = random.Random(6)
+    facts = [
+        (rng.choice(["s1", "s2", "gone", None]), rng.choice(["q1", "q2", "q3", None]), rng.choice("abcd"), rng.choice([0, 1, None]), at(rng.randrange(8, 10), 10, rng.randrange(60)))
+        for _ in range(300)
+    ]
+    facts = spark.createDataFrame(facts, "question_set_id string, question_id string, learner_id string, score int, updated_at timestamp_ntz")
+    tables = {
+        "question_attempts": facts,
+        "question_set": spark.createDataFrame([("s1", "U1", 1), ("s2", "U2", None)], "identifier string, x_id string, sequence int"),
+        "question_set_question_mapping": spark.createDataFrame(
+            [("s1", "q1", 1), ("s1", "q2", 2), ("s2", "q1", 1), ("gone", "q1", 1), ("s1", "q4", 3), ("s1", "q3", 9), ("s1", "q3", 10)],
+            "question_set_id string, question_id string, sequence int",
+        ),
+        "question": spark.createDataFrame([(f"q{k}", f"Q{k}") for k in (1, 2, 3, 4)], "identifier string, x_id string"),
+    }
+    for chosen in (None, "U1"):
+        by_name = content.question_performance(content.question_times(extracts.question_level(tables, chosen)))
+        by_id = content.question_performance_of(
+            extracts.question_answers(tables, chosen), extracts.set_labels(tables), extracts.question_labels(tables)
+        )
+        assert by_id.columns == by_name.columns and by_id.count() == 4
+        assert rows_of(by_id) == rows_of(by_name)
+
+
 def test_incomplete_journeys_do_not_count(spark):
     frame = attempts(spark, {"status": "in-progress"}, {"status": None})
     assert filters.completed(frame).count() == 0

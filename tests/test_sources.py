@@ -97,6 +97,46 @@ def test_decoding_before_or_after_flattening_is_the_same(tables):
     assert early.exceptAll(late).count() == 0 and late.exceptAll(early).count() == 0
 
 
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_are_read_once_and_the_fact_is_joined_five_times(spark, tables):
+    plan = optimized(extracts.attempts(tables))
+    assert plan.count("from_json") == 1 and plan.count("Join LeftOuter") == 5  # the sets are stored by then
+    assert optimized(extracts.last_questions(tables)).count("from_json") == 1
+    assert optimized(extracts.set_results(tables)).count("from_json") == 1
+    # Flattened attempts meet the decoded sets in one join, beside those by grade and operation.
+    schema = extracts.attempts_flat(tables).schema
+    path = scratch.new_path(spark, "flat")
+    extracts.attempts_flat(tables).write.parquet(path)
+    late = extracts.enrich(spark.read.schema(schema).parquet(path), tables)
+    chain, joins = late._jdf.queryExecution().analyzed(), 0
+    while chain.children().size() > 0:  # the fact is always the left side
+        joins += chain.nodeName() == "Join"
+        chain = chain.children().apply(0)
+    assert joins == 3
+
+
+@pytest.mark.parametrize(
+    "document, found",
+    [
+        ('{"l1_skill": {"identifier": "a"}, "l2_skill": [{"identifier": "b"}, {"identifier": "c"}]}', ("a", "b", None)),
+        ('{"l1_skill": {"identifier": 7}, "l2_skill": [], "l3_skill": [{}]}', ("7", None, None)),
+        ('{"l1_skill": null, "l3_skill": [{"identifier": "d"}], "more": [1, 2]}', (None, None, "d")),
+        ('{"l1_skill": {"identifier": "a"}, "l2_skill": {"identifier": "b"}}', ("a", None, None)),
+        ("no document", (None, None, None)),
+        ("", (None, None, None)),
+        (None, (None, None, None)),
+    ],
+)
+def test_identifiers_in_a_taxonomy(spark, document, found):
+    row = ("s", None, None, None, None, document, 1)
+    sets = spark.createDataFrame([row], SOURCE_SCHEMAS["question_set"])
+    (made,) = extracts._question_sets({"question_set": sets}).collect()
+    assert tuple(made[f"l{n}_skill_identifier"] for n in (1, 2, 3)) == found
+
+
 def test_driver_binding_equals_the_pipeline(spark):
     direct = binding.attempts(spark, SF)
     made = extracts.attempts(binding.source_tables(spark, SF)).select(*direct.columns)
