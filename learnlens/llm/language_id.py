@@ -57,6 +57,7 @@ def hashed_ngrams(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.nda
     count = np.concatenate([[0], np.cumsum(is_letter)])
     points = np.where(is_letter, points, np.uint32(32))
     after = np.concatenate([points[1:], np.full(1, 32, np.uint32)]) if len(points) else points
+    after[ends[ends > starts] - 1] = 32  # what follows a text is a space, not the text beside it in the batch
     blank = (points == 32) & (after == 32)
     found = []
     for order in ORDERS:

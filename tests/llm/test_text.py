@@ -136,6 +136,48 @@ def test_language_of_nothing(none):
     assert langs == [] and language_id.predict(none, langs, matrix).collect() == []
 
 
+def plain_ngrams(text):
+    """Buckets of the n-grams of one text, character by character."""
+    low = [ord(c) if c.isalpha() else 32 for c in text.lower()]
+    found = []
+    for order in language_id.ORDERS:
+        for at in range(len(low) - order + 1):
+            if low[at] == 32 and (at + 1 == len(low) or low[at + 1] == 32):
+                continue
+            mixed = sum(p * (m + 2 * order) for p, m in zip(low[at : at + order], language_id.MULTIPLIERS, strict=False)) % 2**32
+            found.append((mixed ^ (mixed >> 15)) * language_id.MULTIPLIERS[3] % 2**32 >> 16)
+    return found
+
+
+def test_language_by_the_sums_of_naive_bayes(spark, prose):
+    """Learning and scores against plain sums over a small frame; neighbours in a batch change nothing."""
+    tails = {"en": " the end. ", "de": " das Ende", "fr": ", la fin!  "}
+    rows = [(i, prose(6 + i % 5, seed=i) + tails[lang] * (1 + i % 3), lang) for i, lang in enumerate(["en", "de", "fr"] * 20)]
+    rows += [(90, "", "en"), (91, None, "de"), (92, "12 34.", "fr"), (93, "fin", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    counts = {}
+    for i, text, lang in rows:
+        if text is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            counts.setdefault(lang, Counter()).update(plain_ngrams(text))
+    langs = sorted(counts)
+    weight = {}
+    for lang in langs:
+        whole = sum(counts[lang].values()) + language_id.SMOOTHING * language_id.BUCKETS
+        weight[lang] = lambda b, n=counts[lang], whole=whole: math.log((n[b] + language_id.SMOOTHING) / whole)
+    found = {r["doc_id"]: r for r in language_id.predict(docs, *language_id.learn(docs)).collect()}
+    assert len(found) == len(rows)
+    for i, text, _ in rows:
+        grams = plain_ngrams(text or "")
+        if not any(c.isalpha() for c in text or ""):
+            assert (found[i]["lang_pred"], found[i]["score"]) == ("und", 0.0)
+            continue
+        evidence = [sum(map(weight[lang], grams)) * min(len(grams), language_id.EVIDENCE) / len(grams) for lang in langs]
+        odds = [math.exp(e - max(evidence)) for e in evidence]
+        best = max(range(len(langs)), key=lambda k: odds[k])
+        assert found[i]["lang_pred"] == langs[best], i
+        assert found[i]["score"] == pytest.approx(odds[best] / sum(odds), abs=1e-9), i
+
+
 def test_no_ngram_reaches_across_texts():
     one = language_id.hashed_ngrams(pa.array(["ab", "", "cd"]))[0]
     other = [language_id.hashed_ngrams(pa.array([t]))[0] for t in ("ab", "cd")]
