@@ -56,11 +56,19 @@ PARTITION_BYTES = 64 << 20
 MANIFEST = "part int, path string, n_docs long, n_ids long"
 
 
+def arrow_uri(uri: str) -> str:
+    """A folder named as Spark names it, in the names Arrow knows; credentials come from the environment of the workers."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return "file:///" + rest.lstrip("/")
+    if scheme in ("s3a", "s3n"):
+        return f"s3:{rest}"
+    return uri
+
+
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a folder named as Spark names it, and the path in it."""
-    if uri.startswith("file:"):
-        uri = "file:///" + uri.removeprefix("file:").lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
+    return pafs.FileSystem.from_uri(arrow_uri(uri))
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:

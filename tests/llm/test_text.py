@@ -136,6 +136,22 @@ def test_language_of_nothing(none):
     assert langs == [] and language_id.predict(none, langs, matrix).collect() == []
 
 
+@pytest.mark.parametrize(
+    "uri, known",
+    [
+        ("file:/a/b", "file:///a/b"),
+        ("file:///a/b", "file:///a/b"),
+        ("/a/b", "/a/b"),
+        ("s3a://bucket/a", "s3://bucket/a"),
+        ("s3n://bucket/a", "s3://bucket/a"),
+        ("abfss://c@account.dfs.core.windows.net/a", "abfss://c@account.dfs.core.windows.net/a"),
+        ("hdfs://name:8020/a", "hdfs://name:8020/a"),
+    ],
+)
+def test_folders_by_their_names(uri, known):
+    assert token_planes.arrow_uri(uri) == known
+
+
 def plain_ngrams(text):
     """Buckets of the n-grams of one text, character by character."""
     low = [ord(c) if c.isalpha() else 32 for c in text.lower()]
