@@ -1,7 +1,7 @@
 """Near-duplicate documents by MinHash bands and sequential Bayesian verification.
 
-1. Each document's distinct 4-word shingles are hashed to a signature of ``HASHES`` minima. Documents with the same words
-   in the same order are one class from here on, represented by the smallest id.
+1. Each document's distinct shingles of ``width`` words are hashed to a signature of ``HASHES`` minima. Documents with the same
+   words in the same order, by the sha256 of their words, are one class from here on, represented by the smallest id.
 2. ``BANDS`` bands of the signature put classes into buckets. Two sets with similarity 0.8 share no bucket once in
    twenty million pairs (0.59 ** 32). Buckets of one class end here.
 3. In each bucket every class is paired with one centre, another one per band; so a bucket of n gives n - 1 pairs.
@@ -17,7 +17,7 @@
 A centre's text is spread over as many copies as its pairs need. Only counts come to the driver.
 
 Defined results: a null or empty text or one of white space has no shingles and is linked with nothing; its component is
-its own id. A text with fewer than four words has its whole sequence as one shingle. Rows that repeat a doc_id count
+its own id. A text with fewer than ``width`` words has its whole sequence as one shingle. Rows that repeat a doc_id count
 as one document. Rows without an id are linked with nothing, stay, and have no component. Very long texts are hashed
 whole. An empty table gives an empty result. Other columns are not read.
 """
@@ -28,6 +28,8 @@ import math
 import re
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import partial
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -42,17 +44,16 @@ HASHES, BANDS, BATCH = 128, 32, 16
 ROWS = HASHES // BANDS
 PERCENT = 80
 MISS = 1e-6
-CHUNK = 256
+CHUNK, CHUNK_SHINGLES, FACING = 256, 1 << 20, 8
 SPREAD = 512
 SLICE_BYTES = 4 << 20
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _random = np.random.default_rng(20_240_101)
 _odd = lambda n: _random.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
-BASE, MIX, TAIL = _odd(1)[0], _odd(WORDS), _odd(2)
+BASE, MIX, TAIL = _odd(1)[0], _odd(4), _odd(2)
 FACTORS, SHIFTS = _odd(HASHES), _odd(HASHES)
 BAND_MIX = _odd(ROWS)
-DIGEST = _odd(2)
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -93,14 +94,20 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return mixed((summed[last] - summed[first]) * down[first]), np.searchsorted(first, starts)
 
 
-def shingle_hashes(words: np.ndarray) -> np.ndarray:
-    """Distinct hashes of the 4-word shingles of one text; of fewer words, one hash of the whole sequence."""
+def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """Distinct hashes of the shingles of one text; of fewer words than ``width``, one hash of the whole sequence."""
     if not len(words):
         return words
-    if len(words) < WORDS:
-        return mixed((words * MIX[: len(words)]).sum(keepdims=True, dtype=np.uint64) + TAIL[1] * np.uint64(len(words)))
-    grams = len(words) - WORDS + 1
-    return np.unique(mixed(sum(words[k : k + grams] * MIX[k] for k in range(WORDS))))
+    factors = powers(MIX[0], min(len(words), width) + 1)[1:]
+    if len(words) < width:
+        return mixed((words * factors).sum(keepdims=True, dtype=np.uint64) + TAIL[1] * np.uint64(len(words)))
+    grams = len(words) - width + 1
+    return np.unique(mixed(sum(words[k : k + grams] * factors[k] for k in range(width))))
+
+
+def word_digest(text: str) -> bytes:
+    """sha256 of the words in order; bytes split at the same six characters as words."""
+    return sha256(b" ".join(text.encode().translate(_LOWER).split())).digest()
 
 
 def minima(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -111,16 +118,12 @@ def minima(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in slices(batch, "text", SLICE_BYTES):
             words, at = words_of(piece.column("text"))
-            sets = [shingle_hashes(words[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+            sets = [shingle_hashes(words[a:b], width) for a, b in zip(at[:-1], at[1:], strict=True)]
             sizes = np.array([len(s) for s in sets], np.int64)
-            digests = np.zeros((len(sets), 2), np.uint64)
-            for k, base in enumerate(DIGEST):
-                for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-                    digests[i, k] = (words[a:b] * powers(base, b - a)).sum(dtype=np.uint64)
             full = np.flatnonzero(sizes)
             signature = np.zeros((len(sets), HASHES), np.uint32)
             cuts = np.concatenate([[0], np.cumsum(sizes[full])])
@@ -136,16 +139,15 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({
                 "doc_id": piece.column("doc_id"),
                 "n_shingles": pa.array(sizes),
-                "d1": pa.array(digests[:, 0].view(np.int64)),
-                "d2": pa.array(digests[:, 1].view(np.int64)),
+                "digest": pa.array([word_digest(text) for text in piece.column("text").to_pylist()], pa.binary()),
                 "signature": pa.array([row.tobytes() for row in low], pa.binary()),
                 "bands": pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel())),
             })
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the words (d1, d2), signature (16 bits a hash) and band keys of every row."""
-    return id_and_text(docs).mapInArrow(_signed, "doc_id long, n_shingles long, d1 long, d2 long, signature binary, bands array<long>")
+def signatures(docs: DataFrame, width: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, digest of the words, signature (16 bits a hash) and band keys of every row."""
+    return id_and_text(docs).mapInArrow(partial(_signed, width), "doc_id long, n_shingles long, digest binary, signature binary, bands array<long>")
 
 
 def least_matches(threshold: float = PERCENT / 100, miss: float = MISS, hashes: int = HASHES, batch: int = BATCH) -> list[int]:
@@ -236,29 +238,29 @@ class _Side:
         self.sets = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in slices(batch, "text", SLICE_BYTES):
             words, at = words_of(piece.column("text"))
-            sets = [shingle_hashes(words[a:b]).view(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)]
+            sets = [shingle_hashes(words[a:b], width).view(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.record_batch({"rep": piece.column("doc_id"), "shingles": pa.array(sets, pa.list_(pa.int64()))})
 
 
-def shingle_set(text: str) -> set[tuple[str, ...]]:
+def shingle_set(text: str, width: int) -> set[tuple[str, ...]]:
     words = [w for w in _SPLIT.split(text.translate(str.maketrans(UPPER, LOWER))) if w]
-    if len(words) < WORDS:
+    if len(words) < width:
         return {tuple(words)} if words else set()
-    return set(zip(*(words[k:] for k in range(WORDS)), strict=False))
+    return set(zip(*(words[k:] for k in range(width)), strict=False))
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verified(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: tuple[int | None, set] = (None, set())
     for batch in batches:
         linked = []
         for b, text_a, text_b in zip(batch.column("b").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True):
             if held[0] != b:
-                held = (b, shingle_set(text_b.as_py()))
-            mine = shingle_set(text_a.as_py())
+                held = (b, shingle_set(text_b.as_py(), width))
+            mine = shingle_set(text_a.as_py(), width)
             both = len(mine & held[1])
             linked.append(100 * both >= PERCENT * (len(mine) + len(held[1]) - both))
         yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(linked))
@@ -275,7 +277,7 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(ARROW_ROWS, before)
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, width: int = WORDS) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough. b may be one end of very many pairs."""
     spark = pairs.sparkSession
     copies = pairs.groupBy("b").agg((F.floor(F.count(F.lit(1)) / SPREAD) + 1).cast("int").alias("copies"))
@@ -285,7 +287,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     right = right.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
     both = left.join(right, ["b", "copy"]).select("a", "b", "text_a", "text_b")
     with small_batches(spark, 128):
-        return written(both.mapInArrow(_verified, "a long, b long"), "verified")
+        return written(both.mapInArrow(partial(_verified, width), "a long, b long"), "verified")
 
 
 def _named(reps: DataFrame, comps: DataFrame) -> DataFrame:
@@ -307,21 +309,22 @@ def _joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
     return components(links)
 
 
-def _settled(pairs: DataFrame, texts: DataFrame, comps: DataFrame | None, by: list[str]) -> DataFrame:
+def _settled(pairs: DataFrame, texts: DataFrame, comps: DataFrame | None, by: list[str], width: int) -> DataFrame:
     """Components after verifying ``pairs``: the best for each ``by`` first, the rest only where it could still matter."""
     if comps is not None:
         pairs = written(_still_apart(pairs, comps), "apart")
     best = written(pairs.groupBy(*by).agg(F.max_by(F.struct("a", "b"), "equal").alias("best")).select("best.*").distinct(), "best")
-    comps = _joined(comps, verify(best, texts))
+    comps = _joined(comps, verify(best, texts, width))
     rest = written(_still_apart(pairs.select("a", "b"), comps).select("a", "b").distinct().join(best, ["a", "b"], "left_anti"), "rest")
-    return comps if rest.isEmpty() else _joined(comps, verify(rest, texts))
+    return comps if rest.isEmpty() else _joined(comps, verify(rest, texts, width))
 
 
-def _late_links(members: DataFrame, near: DataFrame, texts: DataFrame) -> DataFrame | None:
+def _late_links(members: DataFrame, near: DataFrame, texts: DataFrame, width: int) -> DataFrame | None:
     """Links between classes of different components that share a bucket; enough of them to join what belongs together.
 
     Buckets that still hold several components are gathered into groups of classes, so that a pair is compared once, however
-    many buckets it shares. Chunks of a group meet in a join and are compared within tasks.
+    many buckets it shares. Chunks, bounded in classes and in shingles, meet in a join and are compared within tasks; a key of the
+    join holds ``FACING`` chunks of a group and all that face them.
     """
     named = members.join(near.select("rep", "component"), "rep")
     open_ = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("rep").alias("least")).where("low <> high").select("bucket", "least")
@@ -329,24 +332,26 @@ def _late_links(members: DataFrame, near: DataFrame, texts: DataFrame) -> DataFr
     if apart.isEmpty():
         return None
     groups = components(apart, "rep", "least").withColumnRenamed("node", "rep").withColumnRenamed("component", "grouped")
-    sizes = groups.groupBy("grouped").agg(F.count(F.lit(1)).alias("members"))
-    sets = texts.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets, "rep long, shingles array<long>")
+    sizes = groups.join(near.select("rep", "n"), "rep").groupBy("grouped").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
+    sizes = sizes.select("grouped", F.greatest(F.floor(F.col("members") / CHUNK), F.floor(F.col("total") / CHUNK_SHINGLES)).alias("more"))
+    sets = texts.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(partial(_sets, width), "rep long, shingles array<long>")
     rows = groups.join(sizes, "grouped").join(near, "rep").join(sets, "rep")
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.floor(F.col("members") / CHUNK) + 1).cast("int"))
-    chunks = written(rows.groupBy("grouped", "chunk").agg(F.collect_list(F.struct("rep", "component", "n", "signature", "bands", "shingles")).alias("rows")), "chunks")
-    left = chunks.select("grouped", F.col("chunk").alias("one"), F.col("rows").alias("left"))
-    right = chunks.select("grouped", F.col("chunk").alias("two"), F.col("rows").alias("right"))
-    facing = left.join(right, "grouped").where("one <= two").select("left", "right", (F.col("one") == F.col("two")).alias("same"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("more") + 1).cast("int"))
+    chunks = written(rows.groupBy("grouped", "more", "chunk").agg(F.collect_list(F.struct("rep", "component", "n", "signature", "bands", "shingles")).alias("rows")), "chunks")
+    part = lambda chunk: F.floor(chunk / FACING).cast("int")
+    left = chunks.select("grouped", part(F.col("chunk")).alias("part"), F.col("chunk").alias("one"), F.col("rows").alias("left"))
+    right = chunks.select("grouped", F.explode(F.sequence(F.lit(0), part(F.col("chunk")))).alias("part"), F.col("chunk").alias("two"), F.col("rows").alias("right"))
+    facing = left.join(right, ["grouped", "part"]).where("one <= two").select("left", "right", (F.col("one") == F.col("two")).alias("same"))
     with small_batches(members.sparkSession, 2):
         return written(facing.mapInArrow(_linked_chunks, "a long, b long").distinct(), "late-links")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    rows = written(signatures(docs), "signatures")
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+def near_duplicates(docs: DataFrame, width: int = WORDS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, by shingles of ``width`` words."""
+    rows = written(signatures(docs, width), "signatures")
+    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     classes = written(classes, "classes")
-    reps = rows.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id"])
+    reps = rows.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"]).dropDuplicates(["doc_id"])
     reps = written(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "signature", "bands"), "reps")
 
     banded = reps.select("rep", F.explode("bands").alias("bucket"))
@@ -362,13 +367,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         stars = members.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
         like = stars.join(a, "a").join(b, "b").where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
         pairs = written(like.select("a", "b", "sig_a", "sig_b").mapInArrow(_compared, "a long, b long, equal int"), "pairs")
-        comps = _settled(pairs, texts, None, ["a"])
+        comps = _settled(pairs, texts, None, ["a"], width)
 
-        late = _late_links(members, _named(near, comps), texts)
+        late = _late_links(members, _named(near, comps), texts, width)
         if late is not None:
-            comps = _joined(comps, verify(late, texts))
+            comps = _joined(comps, verify(late, texts, width))
 
-    out = rows.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
+    out = rows.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     rep = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", rep.alias("rep"))
     if comps is not None:
@@ -378,9 +383,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = WORDS) -> DataFrame:
     """The documents without those whose component has a smaller id; all columns stay."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = near_duplicates(docs, width).where("not kept").select("doc_id").distinct()
     return without(docs, gone, F.col("row.doc_id").cast("long") == F.col("doc_id"))
 
 

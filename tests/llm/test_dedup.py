@@ -108,10 +108,10 @@ def test_lines_of_nothing(none):
 # --- near copies -----------------------------------------------------------------------------------
 
 
-def near_by_brute_force(rows):
+def near_by_brute_force(rows, width=4):
     def shingles(text):
         words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if w]
-        return {tuple(words[k : k + 4]) for k in range(max(1, len(words) - 3))} if words else set()
+        return {tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
 
     sets = {i: shingles(t) for i, t in rows}
     reached = {i: i for i in sets}
@@ -147,6 +147,22 @@ def test_near_copies_are_linked_as_by_brute_force(make, prose, monkeypatch, chun
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
 
 
+def test_near_copies_by_longer_shingles(make, prose):
+    rows = list(enumerate([*chain(prose, 30, 60), *[prose(40, 200 + k) for k in range(10)], "a b c d", "A b  c d", "a b c"]))
+    wide = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(make(rows), 5).collect()}
+    assert wide == near_by_brute_force(rows, 5) != near_by_brute_force(rows)
+    kept = near_dedup.one_of_each(make(rows), 5).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(i for i, (_, component) in wide.items() if i == component)
+
+
+def test_large_groups_face_each_other_in_parts(make, prose, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CHUNK_SHINGLES", 300)
+    monkeypatch.setattr(near_dedup, "FACING", 2)
+    rows = list(enumerate([*chain(prose, 50), *[prose(40, 300 + k) for k in range(5)]]))
+    found = near_dedup.near_duplicates(make(rows)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == near_by_brute_force(rows)
+
+
 def test_near_copies_of_odd_rows(odd):
     found = near_dedup.near_duplicates(odd).collect()
     assert len(found) == len(ODD)
