@@ -112,7 +112,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int
     return langs, matrix
 
 
-def score_texts(texts: pa.Array, langs: list[str], matrix: np.ndarray) -> tuple[list[str], np.ndarray]:
+def score_texts(texts: pa.Array, langs: list[str], matrix: np.ndarray, most: float = EVIDENCE) -> tuple[list[str], np.ndarray]:
     texts = pc.fill_null(texts, "")
     grams, starts, has_letter = hashed_ngrams(texts)
     total, number = np.zeros((len(texts), len(langs))), np.zeros(len(texts))
@@ -125,7 +125,7 @@ def score_texts(texts: pa.Array, langs: list[str], matrix: np.ndarray) -> tuple[
                 total[filled, k] += np.add.reduceat(np.ascontiguousarray(matrix[:, k])[bucket], at)
     if not langs:
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
-    evidence = total * (np.minimum(number, EVIDENCE) / np.maximum(number, 1))[:, None]
+    evidence = total * (np.minimum(number, most) / np.maximum(number, 1))[:, None]
     posterior = np.exp(evidence - evidence.max(axis=1, keepdims=True))
     posterior /= posterior.sum(axis=1, keepdims=True)
     best = posterior.argmax(axis=1)
@@ -150,7 +150,7 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame:
 
 
 def accepted(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """The documents whose language is known with at least ``least_score``; all columns stay.
+    """The documents whose language is known with at least ``least_score`` by all their n-grams; all columns stay.
 
     The rows themselves pass through the scorer, so no join by id is needed and repeated ids do no harm.
     """
@@ -162,7 +162,7 @@ def accepted(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
         names, table = model.value
         for batch in batches:
             for piece in slices(batch, "text", SLICE_BYTES):
-                pred, score = score_texts(piece.column("text"), names, table)
+                pred, score = score_texts(piece.column("text"), names, table, np.inf)
                 stays = np.array([p != UNKNOWN for p in pred], bool) & (score >= least_score)
                 yield pa.record_batch({"row": piece.column("row").filter(pa.array(stays))})
 

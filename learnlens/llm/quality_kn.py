@@ -1,7 +1,8 @@
 """Quality by an interpolated modified Kneser-Ney n-gram model of characters, trained on trusted text.
 
-Every run of white space is one character, and texts begin with ``ORDER`` - 1 start characters. An n-gram is packed into one long. All
-trusted texts are counted and all texts are scored; nothing is sampled.
+Every run of white space is one character, and texts begin with ``ORDER`` - 1 start characters. Characters are UTF-16 code units, so one
+beyond the basic plane is two, and an n-gram is packed into one long. All texts are scored and all trusted texts are counted, but for those
+whose crc32(doc_id as text) is a multiple of ``HELD_OUT``: they give the thresholds.
 
 1. A scan counts, per block of rows, the n-grams of trusted texts, and lists the n-grams of all texts.
 2. Summed over the blocks, the counts are sharded by n-gram. Grouping by suffix gives the continuation counts of the lower
@@ -11,12 +12,13 @@ trusted texts are counted and all texts are scored; nothing is sampled.
 
 So neither texts nor occurrences are shuffled, only distinct n-grams of blocks, and the model is never broadcast or collected.
 
-A document is kept if its perplexity is not above ``threshold``: ``slack`` times the ``quantile`` of the perplexities of its
-language's trusted texts. A language without trusted text, also a missing one, takes the quantile over all of them.
+A document is kept if its perplexity is not above ``threshold``: the ``quantile`` of the perplexities of its language's trusted texts
+that were held out of the counts. A language with fewer than ``LEAST`` of them, also a missing one, takes the quantile over all that
+were held out; if these are fewer than ``LEAST`` too, over all trusted texts.
 
 Defined results: a null or empty text, or one of white space alone, has no perplexity and is not kept. Without any trusted text all
 characters are alike and everything else is kept. Repeated rows are counted and scored each. A row without an id is
-never trusted but scored. Characters beyond the basic plane share 4096 codes. Other columns are not read.
+never trusted but scored. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,30 +30,31 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from learnlens.llm.base import documents, joined_bytes, slices, table
+from learnlens.llm.base import crc_of_id, documents, joined_bytes, slices, table
 from learnlens.llm.blocks import block, in_files, read_block, row_in_block, write_blocks
 from learnlens.sources.scratch import written
 
 ORDER = 4
 START = 2
-QUANTILE, SLACK = 0.99, 1.1
+QUANTILE, HELD_OUT, LEAST = 0.99, 10, 20
 SLICE_BYTES = 4 << 20
 HELD_NGRAMS = 4 << 20
 
 
 def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The packed n-grams that end at each character, and where each text's begin (one more than texts)."""
-    data, _ = joined_bytes(pc.utf8_trim(pc.replace_substring_regex(texts, r"[\s\x0b]+", " "), " "))
-    lengths = np.asarray(pc.utf8_length(pc.utf8_trim(pc.replace_substring_regex(texts, r"[\s\x0b]+", " "), " ")), np.int64)
-    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.uint64)
-    points = np.where(points > 0xFFFF, np.uint64(0xE000) + (points & np.uint64(0xFFF)), points)
-    starts = np.concatenate([[0], np.cumsum(lengths)])
-    pad = ORDER - 1
-    padded = np.full(len(points) + pad * len(lengths), START, np.uint64)
+    trimmed = pc.utf8_trim(pc.replace_substring_regex(texts, r"[\s\x0b]+", " "), " ")
+    data, _ = joined_bytes(trimmed)
+    units = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-16-le"), np.uint16)
+    starts = np.concatenate([[0], np.cumsum(np.asarray(pc.utf8_length(trimmed), np.int64))])
+    if starts[-1] < len(units):  # some characters are two units, of which the second is 0xDC00 to 0xDFFF
+        starts = np.append(np.flatnonzero(units & 0xFC00 != 0xDC00), len(units))[starts]
+    lengths, pad = np.diff(starts), ORDER - 1
+    padded = np.full(len(units) + pad * len(lengths), START, np.uint64)
     owner = np.repeat(np.arange(len(lengths)), lengths)
-    at = np.arange(len(points)) + pad * (owner + 1)
-    padded[at] = points
-    packed = np.zeros(len(points), np.uint64)
+    at = np.arange(len(units)) + pad * (owner + 1)
+    padded[at] = units
+    packed = np.zeros(len(units), np.uint64)
     for k in range(ORDER):
         packed = (packed << np.uint64(16)) | padded[at - pad + k]
     return packed.view(np.int64), starts
@@ -189,12 +192,13 @@ def perplexities(docs: DataFrame, scores: str) -> DataFrame:
     return rows.mapInArrow(scored, "doc_id long, lang string, n_tokens long, perplexity double")
 
 
-def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """One row per row of ``docs``: doc_id, lang, n_tokens, perplexity, threshold, kept. Trusted are labels' doc_ids of quality 1."""
     docs = in_files(docs)
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     places = docs.select(F.col("doc_id").cast("long").alias("doc_id"), block().alias("block"), row_in_block().alias("row"))
-    trusted = write_blocks(places.join(good, "doc_id", "left_semi").select("block", "row"), "trusted")
+    held_out = crc_of_id(F.col("doc_id")) % HELD_OUT == 0
+    trusted = write_blocks(places.join(good.where(~held_out), "doc_id", "left_semi").select("block", "row"), "trusted")
 
     found = written(block_ngrams(docs, trusted), "block-ngrams")
     counts = written(found.where("n > 0").groupBy("gram").agg(F.sum("n").alias("n")), "counts")
@@ -202,11 +206,16 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack
     folder = write_blocks(found.select("block", "gram").distinct().join(scores, "gram"), "scores")
 
     rows = written(perplexities(docs, folder), "perplexities")
-    mine = rows.join(good, "doc_id", "left_semi").where("perplexity is not null")
-    cut = lambda: (F.percentile_approx("perplexity", quantile, 100_000) * slack).alias("threshold")
-    by_lang = mine.where("lang is not null").groupBy("lang").agg(cut())
-    overall = mine.agg(cut()).first()["threshold"]
-    out = rows.join(by_lang, "lang", "left").withColumn("threshold", F.coalesce("threshold", F.lit(float("inf") if overall is None else overall)))
+    mine = rows.join(good, "doc_id", "left_semi").where("perplexity is not null").withColumn("held_out", held_out)
+    value = F.percentile_approx("perplexity", quantile, 100_000).alias("threshold")
+    number = F.count(F.lit(1)).alias("number")
+    by_lang = mine.where("held_out and lang is not null").groupBy("lang").agg(value, number).where(F.col("number") >= LEAST).drop("number")
+    overall = {r["held_out"]: r for r in mine.groupBy("held_out").agg(value, number).collect()}
+    if True in overall and overall[True]["number"] >= LEAST:
+        other = overall[True]["threshold"]
+    else:
+        other = mine.agg(value).first()["threshold"] if overall else float("inf")
+    out = rows.join(by_lang, "lang", "left").withColumn("threshold", F.coalesce("threshold", F.lit(other)))
     kept = F.col("perplexity").isNotNull() & (F.col("perplexity") <= F.col("threshold"))
     return out.select("doc_id", "lang", "n_tokens", "perplexity", "threshold", kept.alias("kept"))
 

@@ -229,14 +229,17 @@ def kneser_ney(texts, order=quality_kn.ORDER):
 
 
 def test_perplexity_by_definition(spark, make, prose):
-    rows = [(i, prose(12, i)) for i in range(12)] + [(20, "###$$$ %%% ta ko"), (21, ""), (22, None), (None, prose(5, 3)), (23, "日本 ta ko")]
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(8)] + [(20, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = [(i, prose(12, i)) for i in range(12)] + [(20, "###$$$ %%% ta ko"), (21, ""), (22, None), (None, prose(5, 3)), (23, "日本 ta ko"), (24, "ta 😀𝒳 ko"), (25, "ta 😀"), (5000, "mi 𝒴😁 ko")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(8)] + [(20, 0, 0), (None, 1, 0), (25, 1, 0)], "doc_id long, quality int, toxic int")
     found = quality_kn.judged(make(rows, clashing=True), labels).collect()
     assert len(found) == len(rows)
     by_id = rows_by_id(found)
-    probability = kneser_ney([t for i, t in rows if i is not None and i < 8])
+    counted = lambda i: i is not None and (i < 8 or i == 25) and zlib.crc32(str(i).encode()) % quality_kn.HELD_OUT
+    units = lambda t: "".join(chr(int.from_bytes(t.encode("utf-16-le")[k : k + 2], "little")) for k in range(0, len(t.encode("utf-16-le")), 2))
+    probability = kneser_ney([units(t) for i, t in rows if counted(i)])
     for i, t in rows:
         if t:
+            t = units(t)
             padded = "\2\2\2" + t
             want = math.exp(-sum(math.log(probability(tuple(padded[k : k + 4]))) for k in range(len(t))) / len(t))
             assert by_id[i]["perplexity"] == pytest.approx(want, rel=1e-9)
@@ -245,6 +248,15 @@ def test_perplexity_by_definition(spark, make, prose):
     assert not by_id[20]["kept"] and all(by_id[i]["kept"] for i in range(7))
 
 
+def test_thresholds_are_those_of_trusted_texts_held_out(spark, make, prose):
+    rows = [(i, prose(30, i)) for i in range(400)] + [(1000, "zz##qq")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    found = rows_by_id(quality_kn.judged(make(rows), labels, 0.5).collect())
+    held = sorted(found[i]["perplexity"] for i in range(400) if zlib.crc32(str(i).encode()) % quality_kn.HELD_OUT == 0)
+    assert len(held) >= quality_kn.LEAST and {r["threshold"] for r in found.values()} == {held[-(-len(held) // 2) - 1]}
+    assert all(r["kept"] == (r["perplexity"] <= r["threshold"]) for r in found.values()) and not found[1000]["kept"]
+
+
 def test_quality_without_trusted_text(spark, make, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r["kept"] == bool((t or "").strip()) for t, r in zip(["one text", " "], quality_kn.judged(make([(1, "one text"), (2, " ")]), labels).orderBy("doc_id").collect(), strict=True))
