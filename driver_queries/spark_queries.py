@@ -191,7 +191,7 @@ def question_performance(spark: SparkSession, sf: str) -> DataFrame:
 
 def refreshed(spark: SparkSession, sf: str) -> DataFrame:
     """A first load of the older attempts, a sync of the rest, and one that finds nothing new."""
-    source = tables(spark, sf)
+    source = binding.source_tables(spark, sf, stored=True)
     older = source["question_attempts"].where(F.col("updated_at") <= cal.instant(FIRST_LOAD_UNTIL))
     store = snapshots.SnapshotStore(spark, new_path(spark, "snapshots"))
     store.refresh(source.replacing(question_attempts=older), NOW)
@@ -202,7 +202,7 @@ def refreshed(spark: SparkSession, sf: str) -> DataFrame:
 
 def two_syncs(spark: SparkSession, sf: str) -> snapshots.SnapshotStore:
     """A store that got the newer attempts and logins first and then all, the older ones late; it keeps first weeks."""
-    source = tables(spark, sf)
+    source = binding.source_tables(spark, sf, stored=True)
     facts, events = source["question_attempts"], source["telemetry_data"]
     late = cal.instant(FIRST_LOAD_UNTIL)
     newer = source.replacing(
@@ -216,7 +216,7 @@ def two_syncs(spark: SparkSession, sf: str) -> snapshots.SnapshotStore:
 
 def streamed(spark: SparkSession, sf: str) -> DataFrame:
     """The same end state reached by streaming the attempt records from files, several batches, one late and one sent twice."""
-    source = tables(spark, sf)
+    source = binding.source_tables(spark, sf, stored=True)
     facts = source["question_attempts"]
     late = F.col("updated_at") <= cal.instant(FIRST_LOAD_UNTIL)
     landing = new_path(spark, "landing")

@@ -185,13 +185,16 @@ def _named(text: Column | str) -> Column:
 
 
 def source_tables(
-    spark: SparkSession, sf_dir: str, shared_devices: bool = False
+    spark: SparkSession, sf_dir: str, shared_devices: bool = False, stored: bool = False
 ) -> Tables:
     """The normalised source tables, JSON documents included, for attempts, logins and journeys.
 
-    The catalogue of questions is taken from the events once and stored; sets, skills and so on derive from it.
+    The catalogue of questions is taken from the events once and stored; sets, skills and so on derive from it. With
+    ``stored`` so are the events, for jobs that read them many times: their documents are parsed once.
     """
     events = _events(spark, sf_dir, shared_devices)
+    if stored:
+        events = written(events, "events")
 
     @cache
     def questions() -> DataFrame:

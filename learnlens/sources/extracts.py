@@ -88,20 +88,19 @@ def _decoded_codes(facts: DataFrame, tables: Tables) -> DataFrame:
     """Attempt records with operation and ``qset_grade`` in place of the identifiers of :func:`_with_codes`."""
     operations = skills(tables).where("type = 'l1_skill'")
     decoded = decode_lookup(facts, operations, "operation_identifier", "identifier", "skill", "operation")
-    decoded = decode_lookup(
-        decoded, _grade_ids(tables), "qset_grade_identifier", "identifier", "grade_id", "qset_grade"
+    return decode_lookup(
+        decoded, _grade_ids(tables), "qset_grade_identifier", "identifier", "grade", "qset_grade"
     )
-    return decoded.withColumn("qset_grade", grade_label(F.col("qset_grade")))
 
 
-def _shown_profile(attempts: DataFrame) -> DataFrame:
-    """The learner's grade as a canonical label, a missing school as ``No School``."""
-    return attempts.withColumns(
-        {
-            "grade": grade_label(F.col("grade").try_cast("int")),
-            "school": F.coalesce("school", F.lit(NO_SCHOOL)),
-        }
-    )
+def _canonical_grade(profiles: DataFrame) -> DataFrame:
+    """The learner's grade as a canonical label."""
+    return profiles.withColumn("grade", grade_label(F.col("grade").try_cast("int")))
+
+
+def _named_school(attempts: DataFrame) -> DataFrame:
+    """A missing school as ``No School``."""
+    return attempts.withColumn("school", F.coalesce("school", F.lit(NO_SCHOOL)))
 
 
 def _with_codes(facts: DataFrame) -> DataFrame:
@@ -119,7 +118,7 @@ def _with_codes(facts: DataFrame) -> DataFrame:
 
 
 def _grade_ids(tables: Tables) -> DataFrame:
-    return tables["class_master"].select("identifier", F.col("id").alias("grade_id"))
+    return tables["class_master"].select("identifier", grade_label(F.col("id")).alias("grade"))
 
 
 def attempts_flat(tables: Tables, since: dt.datetime | None = None) -> DataFrame:
@@ -403,23 +402,25 @@ def enrich(flat: DataFrame, tables: Tables) -> DataFrame:
     names = _decoded_sets(tables).select("question_set_id", *SET_NAMES)
     identifiers = [f"{c}_identifier" for c in SET_NAMES]
     decoded = _decoded_codes(flat.drop(*identifiers), tables)
-    return _shown_profile(decoded.join(names, "question_set_id", "left"))
+    return _named_school(_canonical_grade(decoded.join(names, "question_set_id", "left")))
 
 
 def attempts(tables: Tables, since: dt.datetime | None = None) -> DataFrame:
     """The attempt fact all metrics read: the rows of ``enrich(attempts_flat(tables))``.
 
-    The fact meets sets that are decoded already, so it is joined five times. The decoded sets
-    and the learner profiles are stored first: Spark then knows their true size and broadcasts one that is small,
+    The fact meets sets that are decoded already, so it is joined five times; journeys and profiles, by which it may be
+    shuffled, come first, while its rows are narrow, and grades are labelled on the lookups. The decoded sets and the learner profiles are stored first: Spark then knows their true size and broadcasts one that is small,
     instead of shuffling the fact because the size of a chain of joins is unknown.
     """
     facts = tables["question_attempts"]
     if since is not None:
         facts = facts.where(F.col("updated_at") >= instant(since))
-    stored = written_together(question_sets=_decoded_sets(tables), learner_profiles=learner_profiles(tables))
-    return _shown_profile(
-        _decoded_codes(_with_codes(facts), tables)
-        .join(stored["question_sets"], "question_set_id", "left")
-        .join(stored["learner_profiles"], "learner_id", "left")
+    stored = written_together(question_sets=_decoded_sets(tables), learner_profiles=_canonical_grade(learner_profiles(tables)))
+    narrow = (
+        _with_codes(facts)
         .join(tables["learner_journey"], ["question_set_id", "learner_id"], "left")
+        .join(stored["learner_profiles"], "learner_id", "left")
+    )
+    return _named_school(
+        _decoded_codes(narrow, tables).join(stored["question_sets"], "question_set_id", "left")
     ).select(*ATTEMPTS.names)

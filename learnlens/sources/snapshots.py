@@ -70,15 +70,11 @@ SIDE_BY_SIDE = 8
 def not_stored(new: DataFrame, stored: DataFrame) -> DataFrame:
     """The rows of ``new``, each once, that ``stored`` does not have; a missing value equals a missing value.
 
-    Rows are placed by one hash; their columns are compared only where hashes meet.
+    Rows of both are grouped by all columns in one aggregate, which takes repeats out before its only shuffle.
     """
-    columns = new.columns
-    mine = new.distinct().withColumn("_row", row_hash(columns)).alias("n")
-    held = stored.select(*[f"`{c}`" for c in columns]).withColumn("_row", row_hash(columns)).alias("s")
-    same = F.col("n._row") == F.col("s._row")
-    for c in columns:
-        same = same & F.col(f"n.`{c}`").eqNullSafe(F.col(f"s.`{c}`"))
-    return mine.join(held, same, "left_anti").drop("_row")
+    columns = [f"`{c}`" for c in new.columns]
+    both = new.withColumn("_held", F.lit(False)).unionByName(stored.select(*columns).withColumn("_held", F.lit(True)))
+    return both.groupBy(*columns).agg(F.bool_or("_held").alias("_held")).where("not _held").drop("_held")
 
 
 def days_with_repeats(stored: DataFrame) -> DataFrame:
@@ -148,7 +144,7 @@ class SnapshotStore:
                 "first_weeks": (first_weeks.LAYOUT, None),
             }[name]
             layout = T.StructType.fromDDL(text)
-        return Folders(self.spark, self.root, name, layout, time)
+        return Folders(self.spark, self.root, name, layout, time, digested=name == "logins")
 
     def attempts(self, period: Period = Period()) -> DataFrame:
         """The fact; with both ends of a period, only the folders of its days are opened."""

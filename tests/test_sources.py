@@ -575,3 +575,35 @@ def test_a_store_without_learner_weeks_says_so(spark, tables, store):
     store.refresh(tables, NOW)
     with pytest.raises(ValueError):
         store.new_learners()
+
+
+def test_rows_not_stored_take_one_shuffle_and_no_join(spark):
+    layout = "a string, b int"
+    new = spark.createDataFrame([("x", 1), ("x", 1), (None, 2), (None, 2), ("y", None), ("", None)], layout)
+    stored = spark.createDataFrame([("x", 1), ("x", 1), ("y", None), ("z", 3)], layout)
+    missing = snapshots.not_stored(new, stored)
+    assert missing.columns == ["a", "b"]
+    assert sorted(map(tuple, missing.collect()), key=str) == [("", None), (None, 2)]
+    plan = snapshots.not_stored(new, stored)._jdf.queryExecution().executedPlan().toString()  # as planned, before it runs
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_stored_events_are_parsed_once(spark):
+    read, kept = binding.source_tables(spark, SF), binding.source_tables(spark, SF, stored=True)
+    for name in ("question_attempts", "learner_journey", "telemetry_data"):
+        assert "get_json_object" in optimized(read[name]) and "get_json_object" not in optimized(kept[name])
+        assert kept[name].dtypes == read[name].dtypes
+        assert kept[name].exceptAll(read[name]).isEmpty() and read[name].exceptAll(kept[name]).isEmpty()
+
+
+def test_grades_are_labelled_on_lookups_and_the_fact_meets_journeys_first(spark, tables):
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(extracts.attempts(tables)._jdf.queryExecution(), "simple")
+    lines = [line for line in plan.splitlines() if "LeftOuter" in line]
+    assert "question_set_id" in lines[-1] and "learner_id" in lines[-1]  # the innermost join is printed last
+
+
+def test_only_logins_are_digested(spark, tables, tmp_path):
+    store = snapshots.SnapshotStore(spark, str(tmp_path / "store"))
+    store.refresh(tables, NOW)
+    digests = {(f.store, f.digest is None) for f in store.folders() if f.day}
+    assert digests <= {("attempts", True), ("logins", False)} and ("attempts", True) in digests
