@@ -208,11 +208,11 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 
 
 def window_filter(windows: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap of the windows' hashes, one byte for eight bits; at most bits / 64 rows come to the driver."""
+    """A bitmap of the windows' hashes, one byte for eight bits; at most bits / 64 rows come to the driver, as Arrow columns."""
     spread = windows.select(F.pmod("hash", F.lit(bits)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word"))
     words = np.zeros(bits // 64, np.int64)
-    for row in spread.collect():
-        words[row["id"]] = row["word"]
+    found = spread.toArrow()
+    words[found["id"].to_numpy()] = found["word"].to_numpy()
     return words
 
 

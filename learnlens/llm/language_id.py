@@ -104,9 +104,10 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int
     counts = rows.where(chosen).select("text", "lang").mapInArrow(_counted, "lang string, bucket int, n long")
     langs = sorted(sizes)
     matrix = np.full((BUCKETS + 1, len(langs)), SMOOTHING)
-    column = {lang: i for i, lang in enumerate(langs)}
-    for r in counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows a language
-        matrix[r["bucket"], column[r["lang"]]] += r["n"]
+    # at most BUCKETS rows a language, as Arrow columns: rows as Python objects would stay in the driver's memory
+    found = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    of_lang = pc.index_in(found["lang"].combine_chunks(), pa.array(langs, pa.string())).to_numpy(zero_copy_only=False)
+    matrix[found["bucket"].to_numpy(), of_lang] += found["n"].to_numpy()
     matrix = np.log(matrix / matrix[:BUCKETS].sum(axis=0))
     matrix[BUCKETS] = 0
     return langs, matrix

@@ -449,3 +449,16 @@ def test_stages_keep_the_columns_of_odd_and_empty_documents(spark, odd, none):
             docs = stage(spark, docs, SMALL)
             assert docs.columns == columns
             docs.collect()
+
+
+def test_counts_and_bitmaps_come_to_the_driver_as_columns(make, prose, spark, monkeypatch):
+    docs = make([(i, prose(60, seed=i)) for i in range(40)])
+    items = spark.createDataFrame([(i, prose(40, seed=100 + i)) for i in range(20)], "item_id long, text string")
+    windows = decontaminate.benchmark_windows(items)
+    kind, found = type(docs), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: found.append(collect(self)) or found[-1])
+    langs, matrix = language_id.learn(docs)
+    words = decontaminate.window_filter(windows)
+    assert langs == ["en"] and np.isfinite(matrix).all() and words.any()
+    assert max(map(len, found), default=0) <= 1  # a row a language; n-grams and words of the bitmap are many more
