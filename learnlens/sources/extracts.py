@@ -409,7 +409,8 @@ def attempts(tables: Tables, since: dt.datetime | None = None) -> DataFrame:
     """The attempt fact all metrics read: the rows of ``enrich(attempts_flat(tables))``.
 
     The fact meets sets that are decoded already, so it is joined five times; journeys and profiles, by which it may be
-    shuffled, come first, while its rows are narrow, and grades are labelled on the lookups. The decoded sets and the learner profiles are stored first: Spark then knows their true size and broadcasts one that is small,
+    shuffled, come first, while its rows are narrow, and grades are labelled on the lookups. The decoded sets and the
+    learner profiles are stored first: Spark then knows their true size and broadcasts one that is small,
     instead of shuffling the fact because the size of a chain of joins is unknown.
     """
     facts = tables["question_attempts"]
