@@ -105,6 +105,23 @@ def test_token_files_equal_the_library(spark, make, tmp_path, kind):
     assert Counter(tuple(r) for r in found) == want
 
 
+def test_texts_learn_their_new_units_together(monkeypatch):
+    """A call to the tokenizer for each text with a new unit took half of the time."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(WORDS)
+    tokenizer.encode_special_tokens = True
+    texts = [*STRANGE, "it's 'tis I'm don''t 'll'l they're 12.5% a'b", "\u00c0\u00c9 stra\u00dfe'm na\u00efve", "\u65e5\u672c I'm", "", "'", "<|endoftext|> x", *[f"word{k} qz{k}x, It's" for k in range(50)]]
+    learned, encode = [], token_planes.Encoder(WORDS)
+    learn = encode._learn
+    monkeypatch.setattr(encode, "_learn", lambda new, plain: (learned.append(plain), learn(new, plain)))
+    for _ in range(2):
+        assert [ids.tolist() for ids in encode(texts)] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert sorted(learned) == [False, True]
+    monkeypatch.setattr(token_planes, "CACHE_UNITS", 1)
+    assert [ids.tolist() for ids in encode(texts)] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
 def test_token_files_of_nothing(spark, none, tmp_path):
     assert token_planes.write(none, WORDS, str(tmp_path)) == []
     assert token_planes.read(spark, str(tmp_path), []).collect() == []
