@@ -352,6 +352,13 @@ def test_slid_windows_are_scored_as_by_forward_also_with_saturated_gates(factor,
         assert net.slid(gates, words) == pytest.approx(one_by_one, abs=1e-5)
 
 
+def test_a_score_is_the_same_whatever_texts_are_scored_with_it(prose):
+    net = toxicity.Network(3)
+    texts = [prose(n) for n in (40, 700, 33, 90, 32, 64)] + ["same word " * 60]
+    together = toxicity.Scorer(net)(texts)
+    assert [toxicity.Scorer(net)([t])[0] for t in texts] == pytest.approx(together.tolist(), abs=1.2e-7)
+
+
 def test_every_letter_of_a_long_run_counts():
     long = "".join(chr(0x4E00 + k) for k in range(500))
     for n in (62, 63, 64, 65, 72, 124, 125, 500):
