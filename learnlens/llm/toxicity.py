@@ -21,13 +21,12 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from learnlens.llm.base import crc_of_id, documents, joined_bytes, slices, table
+from learnlens.llm.base import crc_of_id, documents, slices, table
 
 WINDOW, TRAIN_STRIDE = 32, 24
 WORD_ROWS, CHAR_ROWS, INPUT, HIDDEN, ATTENTION = 1 << 15, 1 << 16, 8, 8, 8
@@ -36,17 +35,14 @@ CHARS, LONG_WORD = (3, 4, 5), 64
 SLICE_BYTES = 1 << 20
 CACHE_WORDS = 200_000
 SCORED_AT_ONCE = 1024
-# with more columns a step's product passes the 262,144 multiplications from which the numeric library starts threads
 SLID_AT_ONCE = 1024
-NEAR, LAST_DIGIT = 4e-6, 2e-7
 WORD = re.compile(r"[^\W\d_]+")
-CRC_START, CRC_MASK = 7, np.uint32(0xFFFFFFFF)
 
 
 def words_of(text: str) -> list[str]:
     """Runs of letters; longer ones as words of ``LONG_WORD`` letters, of which neighbours share all but the last of the longest run of characters."""
     found = WORD.findall(text.lower())
-    if max(map(len, found), default=0) <= LONG_WORD:
+    if all(len(word) <= LONG_WORD for word in found):
         return found
     step = LONG_WORD - max(CHARS) + 1
     return [word[k : k + LONG_WORD] for word in found for k in range(0, max(1, len(word) - LONG_WORD + step), step)]
@@ -55,40 +51,10 @@ def words_of(text: str) -> list[str]:
 def features(word: str) -> tuple[int, np.ndarray]:
     """Row of the word and rows of its runs of 3 to 5 characters, of which the word's ends count as one each."""
     data = f"<{word}>".encode()
-    grams = [zlib.crc32(data[k : k + n], CRC_START) % CHAR_ROWS for n in CHARS for k in range(len(data) - n + 1)]
+    grams = [zlib.crc32(data[k : k + n], 7) % CHAR_ROWS for n in CHARS for k in range(len(data) - n + 1)]
     return zlib.crc32(data) % WORD_ROWS, np.array(grams, np.int32)
 
 
-def _crc_table() -> np.ndarray:
-    table = np.arange(256, dtype=np.uint32)
-    for _ in range(8):
-        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
-    return table
-
-
-CRC_TABLE = _crc_table()
-
-
-def features_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``features`` of many words at once: rows of the words, how many runs each has, and the rows of all runs."""
-    data = [f"<{word}>".encode() for word in words]
-    rows = np.array([zlib.crc32(d) % WORD_ROWS for d in data], np.int64)
-    flat, begins = joined_bytes(pa.array(data, pa.large_binary()))
-    lengths, begins = np.diff(begins), begins[:-1]
-    counts = np.maximum(lengths[:, None] - np.array(CHARS) + 1, 0)
-    firsts = (np.cumsum(counts) - counts.ravel()).reshape(counts.shape)
-    grams = np.zeros(counts.sum(), np.int32)
-    # the checksum of the n bytes from each place on, whatever word they are of
-    crc = np.full(len(flat) + 1, CRC_START ^ CRC_MASK, np.uint32)
-    for n in range(1, max(CHARS) + 1):
-        crc = CRC_TABLE[(crc[:-1] ^ flat[n - 1 :]) & np.uint32(255)] ^ (crc[:-1] >> np.uint32(8))
-        if n in CHARS:
-            each, first = counts[:, CHARS.index(n)], firsts[:, CHARS.index(n)]
-            within = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-            grams[np.repeat(first, each) + within] = (crc[np.repeat(begins, each) + within] ^ CRC_MASK) % np.uint32(CHAR_ROWS)
-    return rows, counts.sum(axis=1), grams
-
-
 def window_starts(n: int, stride: int = 1) -> range | list[int]:
     if n <= WINDOW:
         return [0]
@@ -123,12 +89,10 @@ class Network:
         """Input vectors of words, by their features."""
         if not found:
             return np.zeros((0, INPUT), np.float32)
-        return self.summed(np.array([w for w, _ in found]), np.array([len(c) for _, c in found]), np.concatenate([c for _, c in found]))
-
-    def summed(self, rows: np.ndarray, sizes: np.ndarray, grams: np.ndarray) -> np.ndarray:
-        """Input vectors of words, by their rows and the rows of their runs of characters."""
-        means = np.add.reduceat(self.p["chars"][grams], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None].astype(np.float32)
-        return self.p["words"][rows] + means
+        sizes = np.array([len(c) for _, c in found])
+        chars = self.p["chars"][np.concatenate([c for _, c in found])]
+        means = np.add.reduceat(chars, np.cumsum(sizes) - sizes, axis=0) / sizes[:, None].astype(np.float32)
+        return self.p["words"][[w for w, _ in found]] + means
 
     def projected(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What the inputs give to the gates of the two layers, a row per input."""
@@ -169,98 +133,45 @@ class Network:
     def slid(self, gates: tuple[np.ndarray, np.ndarray], words: np.ndarray) -> np.ndarray:
         """Scores of the windows that begin at each of ``words`` (rows of ``gates``) up to the last whole one, as by ``forward``.
 
-        A window is a column, so that a step of all windows reads a slice of the words and no gate is copied. Sigmoid and tanh
-        are 1 / (1 + exp(-x)) and 1 - 2 / (1 + exp(2x)), as exp takes half the time of tanh; signs and factors are put into the
-        weights. States are held less one, with a row of ones between the layers, so that the matrices add what is constant.
+        A window is a column, so that a step of all windows reads a slice of the words and no gate is copied.
         """
         p, scores = self.p, np.zeros(max(0, len(words) - WINDOW + 1), np.float32)
-        two, one, less_two = 2 * HIDDEN, np.float32(1), np.float32(-2)
-        scale = np.repeat(np.float32([-1, 2]), [two, HIDDEN])
-        weights = []
-        for d in "fb":
-            w = scale * p[f"Wh{d}"]
-            b = (w.sum(axis=0) + scale * p[f"bh{d}"])[None]
-            weights.append(np.ascontiguousarray(np.concatenate([w, b] if d == "f" else [b, w]).T))
-        w = np.concatenate([2 * p["Wa"], p["wo"][:, None]], axis=1)
-        b = (w.sum(axis=0) + np.append(2 * p["ba"], p["bo"]))[None]
-        out = np.ascontiguousarray(np.concatenate([w[:HIDDEN], b, w[HIDDEN:]]).T)
-        size = 0
-        # an exp that overflows gives a sigmoid of 0, as it should
-        with np.errstate(over="ignore"):
-            for k in range(0, len(scores), SLID_AT_ONCE):
-                n = min(SLID_AT_ONCE, len(scores) - k)
-                if n != size:
-                    size = n
-                    a, states, pooled = np.empty((3 * HIDDEN, n), np.float32), np.empty((WINDOW + 2, two + 1, n), np.float32), np.empty((WINDOW, ATTENTION + 1, n), np.float32)
-                    zr, z, r, c = a[:two], a[:HIDDEN], a[HIDDEN:two], a[two:]
-                    states[[0, -1]], states[:, HIDDEN] = -1, 1
-                    # per step: the state before it with the ones, the same without, and the state after it
-                    forth = [(states[t, : HIDDEN + 1], states[t, :HIDDEN], states[t + 1, :HIDDEN]) for t in range(WINDOW)]
-                    back = [(states[t + 2, HIDDEN:], states[t + 2, HIDDEN + 1 :], states[t + 1, HIDDEN + 1 :]) for t in range(WINDOW)]
-                for part, order, steps in ((0, range(WINDOW), forth), (1, range(WINDOW - 1, -1, -1), back)):
-                    w = weights[part]
-                    g = np.ascontiguousarray(gates[part].take(words[k : k + n + WINDOW - 1], axis=0).T)
-                    g *= scale[:, None]
-                    g_zr, g_c = g[:two], g[two:]
-                    for t in order:
-                        with_ones, old, new = steps[t]
-                        np.matmul(w, with_ones, out=a)
-                        np.add(zr, g_zr[:, t : t + n], out=zr)
-                        np.exp(zr, out=zr)
-                        np.add(zr, one, out=zr)
-                        np.divide(c, r, out=c)
-                        np.add(c, g_c[:, t : t + n], out=c)
-                        np.exp(c, out=c)
-                        np.add(c, one, out=c)
-                        np.divide(less_two, c, out=c)
-                        np.subtract(old, c, out=new)
-                        np.divide(new, z, out=new)
-                        np.add(new, c, out=new)
-                np.matmul(out, states[1:-1], out=pooled)
-                inner = pooled[:, :-1]
-                np.exp(inner, out=inner)
-                inner += one
-                # the one of each tanh is the same for all words of a window, so it does not change their shares
-                e = (less_two * p["ua"]) @ np.reciprocal(inner, out=inner)
-                e = np.exp(e - e.max(axis=0))
-                scores[k : k + n] = _sigmoid((e * pooled[:, -1]).sum(axis=0) / e.sum(axis=0))
-        return scores
-
-    def begun_at(self, gates: tuple[np.ndarray, np.ndarray], words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Scores of the windows that begin at ``starts``, by tanh, to the last digit whatever windows are scored with them."""
-        p, half, two = self.p, np.float32(0.5), 2 * HIDDEN
-        # a product of few columns is added up in another order
-        padded = np.resize(starts, -(-len(starts) // 16) * 16)
-        n = len(padded)
-        states, a = np.empty((WINDOW, two, n), np.float32), np.empty((3 * HIDDEN, n), np.float32)
-        zr, z, r, c = a[:two], a[:HIDDEN], a[HIDDEN:two], a[two:]
-        for d, part, order in (("f", 0, range(WINDOW)), ("b", 1, range(WINDOW - 1, -1, -1))):
-            w, b = np.ascontiguousarray(half * p[f"Wh{d}"].T), half * p[f"bh{d}"][:, None]
-            h = np.zeros((HIDDEN, n), np.float32)
-            for t in order:
-                g = np.ascontiguousarray(gates[part].take(words[padded + t], axis=0).T)
+        half, two, most = np.float32(0.5), 2 * HIDDEN, min(SLID_AT_ONCE, len(scores))
+        weights = [(np.ascontiguousarray(half * p[f"Wh{d}"].T), half * p[f"bh{d}"][:, None]) for d in "fb"]
+        out = np.concatenate([p["Wa"].T, p["wo"][None]])
+        held = np.empty((3 * HIDDEN, most), np.float32), np.empty((WINDOW, two, most), np.float32), np.empty((WINDOW, ATTENTION + 1, most), np.float32)
+        for k in range(0, len(scores), SLID_AT_ONCE):
+            n = min(most, len(scores) - k)
+            a, states, pooled = held if n == most else [np.empty((*x.shape[:-1], n), np.float32) for x in held]
+            zr, z, r, c = a[:two], a[:HIDDEN], a[HIDDEN:two], a[two:]
+            for part, order in ((0, range(WINDOW)), (1, range(WINDOW - 1, -1, -1))):
+                w, b = weights[part]
+                g = np.ascontiguousarray(gates[part].take(words[k : k + n + WINDOW - 1], axis=0).T)
                 g[:two] *= half
                 g[:two] += b[:two]
-                # a sigmoid is half of one more than the tanh of half its input
-                np.matmul(w, h, out=a)
-                zr += g[:two]
-                np.tanh(zr, out=zr)
-                zr += 1
-                c += b[two:]
-                c *= r
-                c += g[two:]
-                np.tanh(c, out=c)
-                z *= half
-                new = np.subtract(h, c, out=states[t, part * HIDDEN : (part + 1) * HIDDEN])
-                new *= z
-                new += c
-                h = new
-        pooled = np.matmul(np.concatenate([p["Wa"].T, p["wo"][None]]), states)
-        inner = pooled[:, :-1]
-        inner += p["ba"][:, None]
-        e = p["ua"] @ np.tanh(inner, out=inner)
-        e = np.exp(e - e.max(axis=0))
-        return _sigmoid((e * pooled[:, -1]).sum(axis=0) / e.sum(axis=0) + p["bo"])[: len(starts)]
+                h = np.zeros((HIDDEN, n), np.float32)
+                for t in order:
+                    # a sigmoid is half of one more than the tanh of half its input
+                    np.matmul(w, h, out=a)
+                    zr += g[:two, t : t + n]
+                    np.tanh(zr, out=zr)
+                    zr += 1
+                    c += b[two:]
+                    c *= r
+                    c += g[two:, t : t + n]
+                    np.tanh(c, out=c)
+                    z *= half
+                    new = np.subtract(h, c, out=states[t, part * HIDDEN : (part + 1) * HIDDEN])
+                    new *= z
+                    new += c
+                    h = new
+            np.matmul(out, states, out=pooled)
+            inner = pooled[:, :-1]
+            inner += p["ba"][:, None]
+            e = p["ua"] @ np.tanh(inner, out=inner)
+            e = np.exp(e - e.max(axis=0))
+            scores[k : k + n] = _sigmoid((e * pooled[:, -1]).sum(axis=0) / e.sum(axis=0) + p["bo"])
+        return scores
 
     def gradients(self, x: np.ndarray, windows: np.ndarray, lengths: np.ndarray, target: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Gradients of the mean log loss, for the weights and for the input vectors."""
@@ -397,16 +308,17 @@ class Scorer:
     def _numbers(self, lists: list[list[str]]) -> None:
         if len(self.number) > CACHE_WORDS:
             self.number, self.gates = {}, (self.gates[0][:0], self.gates[1][:0])
-        new = list(set().union(*lists).difference(self.number))
+        new = [w for w in {w for words in lists for w in words} if w not in self.number]
         if new:
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-            more = self.net.projected(self.net.summed(*features_of(new)))
+            for word in new:
+                self.number[word] = len(self.number)
+            more = self.net.projected(self.net.inputs([features(w) for w in new]))
             self.gates = tuple(np.concatenate(pair) for pair in zip(self.gates, more, strict=True))
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         lists = [words_of(t) for t in texts]
         self._numbers(lists)
-        flat = np.fromiter(map(self.number.__getitem__, chain.from_iterable(lists)), np.int32)
+        flat = np.fromiter((self.number[w] for words in lists for w in words), np.int32)
         sizes = np.array([len(words) for words in lists], np.int64)
         begins = np.cumsum(sizes) - sizes
         gates = self.gates if len(self.gates[0]) else (np.zeros((1, 3 * HIDDEN), np.float32),) * 2
@@ -424,15 +336,7 @@ class Scorer:
             words = flat[np.repeat(sizes >= WINDOW, sizes)]
             first = np.cumsum(sizes[long]) - sizes[long]
             bounds = np.stack([first, first + sizes[long] - WINDOW + 1], axis=1).ravel()
-            slid = np.append(self.net.slid(gates, words), np.float32(0))
-            worst = np.maximum.reduceat(slid, bounds)[::2]
-            # the windows that rounding may have kept from being the worst are scored once more, by tanh
-            least = np.full(len(slid), np.inf)
-            for first, stop, w in zip(bounds[::2], bounds[1::2], worst, strict=True):
-                least[first:stop] = w - NEAR * w - LAST_DIGIT
-            near = np.flatnonzero(slid >= least)
-            again = np.concatenate([self.net.begun_at(gates, words, near[k : k + SLID_AT_ONCE]) for k in range(0, len(near), SLID_AT_ONCE)])
-            scores[long] = np.maximum.reduceat(again, np.searchsorted(near, bounds[::2]))
+            scores[long] = np.maximum.reduceat(np.append(self.net.slid(gates, words), 0), bounds)[::2]
         return scores
 
 
