@@ -5,9 +5,11 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 from llm_rows import ODD, rows_by_id
 from pyspark.sql import functions as F
@@ -163,6 +165,30 @@ def test_large_groups_face_each_other_in_parts(make, prose, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == near_by_brute_force(rows)
 
 
+def test_signatures_take_memory_of_a_slice_not_of_a_batch(prose):
+    texts = [prose(2000, k) for k in range(300)]
+    batch = pa.record_batch({"doc_id": pa.array(range(300), pa.int64()), "text": pa.array(texts)})
+    tracemalloc.start()
+    sizes = [n for out in near_dedup._signed(4, iter([batch])) for n in out.column("n_shingles").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes == [len(near_dedup.shingle_set(text, 4)) for text in texts]
+    assert batch.nbytes > 3 << 20 and peak < 8 * batch.nbytes
+
+
+def test_arrow_batches_with_texts_are_bounded_in_bytes(spark):
+    def lengths(batches):
+        for batch in batches:
+            yield pa.record_batch({"n": pa.array([batch.nbytes])})
+
+    texts = spark.range(200, numPartitions=1).select(F.repeat(F.lit("a"), 1 << 18).alias("text"))
+    before = [spark.conf.get(key) for key in (near_dedup.ARROW_ROWS, near_dedup.ARROW_BYTES)]
+    with near_dedup.small_batches(spark, 128):
+        found = [r["n"] for r in texts.mapInArrow(lengths, "n long").collect()]
+    assert sum(found) >= 200 << 18 and max(found) <= near_dedup.BATCH_BYTES + (1 << 20)
+    assert [spark.conf.get(key) for key in (near_dedup.ARROW_ROWS, near_dedup.ARROW_BYTES)] == before
+
+
 def test_near_copies_of_odd_rows(odd):
     found = near_dedup.near_duplicates(odd).collect()
     assert len(found) == len(ODD)
