@@ -330,6 +330,26 @@ def test_a_score_is_that_of_the_worst_of_all_windows(prose):
         assert all(any(s <= k and k + m <= s + toxicity.WINDOW for s in starts) for m in range(1, 33) for k in range(n - m + 1))
 
 
+def test_features_of_many_words_are_those_of_each():
+    words = ["a", "ab", "abc", "hello", "stra\u00dfe", "\u65e5\u672c\u8a9e", "x" * toxicity.LONG_WORD, ""]
+    rows, sizes, grams = toxicity.features_of(words)
+    for word, row, mine in zip(words, rows, np.split(grams, np.cumsum(sizes)[:-1]), strict=True):
+        one_row, one_grams = toxicity.features(word)
+        assert row == one_row and mine.tolist() == one_grams.tolist()
+
+
+def test_new_words_are_not_looked_up_one_by_one(prose, monkeypatch):
+    net, texts = toxicity.Network(3), [prose(n) for n in (0, 1, 40, 90)]
+    words = sorted({w for text in texts for w in toxicity.words_of(text)})
+    each = dict(zip(words, np.concatenate(net.projected(net.inputs([toxicity.features(w) for w in words])), axis=1), strict=True))
+    monkeypatch.setattr(toxicity, "features", None)
+    scorer = toxicity.Scorer(net)
+    scorer(texts[:2])
+    scorer(texts)
+    gates = np.concatenate(scorer.gates, axis=1)
+    assert set(scorer.number) == set(words) and all((gates[k] == each[w]).all() for w, k in scorer.number.items())
+
+
 def test_every_letter_of_a_long_run_counts():
     long = "".join(chr(0x4E00 + k) for k in range(500))
     for n in (62, 63, 64, 65, 72, 124, 125, 500):
