@@ -15,7 +15,7 @@ from llm_rows import ODD, rows_by_id
 from pyspark.sql import functions as F
 
 from learnlens.llm import line_dedup, near_dedup, registry, stream_dedup, suffix_dedup
-from learnlens.llm.components import components
+from learnlens.llm.components import _star, components
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
 
@@ -220,6 +220,23 @@ def test_components(spark):
     assert {r["node"]: r["component"] for r in found} == {1: 1, 2: 1, 3: 1, 9: 1, 5: 5, 6: 5, **{i: 16 for i in range(16, 21)}}
 
 
+def test_few_links_in_many_partitions_are_few_tasks(spark, monkeypatch):
+    changed = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in changed}
+    links = [(k + 1, k) for k in range(30) if k % 10]
+    try:
+        for key, value in changed.items():
+            spark.conf.set(key, value)
+        frame = spark.createDataFrame(links, "a long, b long")
+        assert all(_star(frame, large, 3).rdd.getNumPartitions() <= 3 for large in (True, False))
+        monkeypatch.setattr("learnlens.llm.components.LINKS_EACH", 2)
+        found = components(frame).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert {r["node"]: r["component"] for r in found} == {k: (k - 1) // 10 * 10 + 1 for k in range(1, 31)}
+
+
 # --- repeated byte strings -------------------------------------------------------------------------
 
 
