@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
 A text is split by the pattern of the vocabulary. A word (a match) becomes an array of its bytes' ids, and a fold merges the
-adjacent pair with the lowest rank, the first of equals, until no pair has a rank. Ranks come from one literal:
-small arrays of pairs and ranks, dealt to buckets by the pair, so that a look-up takes the same time in a vocabulary of
-any size. Only the two ranks next to a merge are looked up anew. Words of the vocabulary that no merges lead to are in the
-literal as they are.
+adjacent pair with the lowest rank, the first of equals, until no pair has a rank. Ranks come from one stored row, read by
+a scalar subquery: small arrays of pairs and ranks, dealt to buckets by the pair, so that a look-up takes the same time in a
+vocabulary of any size. Only the two ranks next to a merge are looked up anew. Words of the vocabulary that no merges lead to
+are in the row as they are.
 
 Only distinct words are folded. Rows of a file are taken in blocks of ``BLOCK_ROWS``, the distinct words of the blocks are
 shuffled by word, each word is folded once, and its ids go back to the blocks that hold it, as one small
@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from learnlens.llm.base import documents, offsets
 from learnlens.llm.blocks import block, in_files, read_block, write_blocks
+from learnlens.sources.scratch import written
 
 BUCKETS = 131_071
 SLICE_WORDS = 1 << 20
@@ -77,11 +78,6 @@ def split_words(text: Column, pattern: str) -> Column:
     return F.when(F.regexp_like(text, F.lit(f"[\\x{{{NEWER_LETTERS[0].split('-')[0]}}}-\\x{{10ffff}}]")), found[0]).otherwise(found[1])
 
 
-def literal(text: str, kind: str) -> Column:
-    """One literal of a nested type: parsed from JSON once, when the plan is optimised."""
-    return F.from_json(F.lit(text), kind)
-
-
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` with a name for ``value``, so that a large or costly value stands in the plan once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -121,14 +117,19 @@ def rank_map(ranks: list[tuple[bytes, int]]) -> dict:
     return {"keys": keys, "values": values, "bytes": single, "whole": whole}
 
 
-def rank_text(spark: SparkSession, path: str) -> str:
-    """The rank map as the text of its literal. A task builds it, so that the driver holds the text and not the map."""
+def rank_column(spark: SparkSession, path: str) -> Column:
+    """The rank map as a scalar subquery over a stored row.
+
+    A task builds and writes it. So no plan spells it out, the driver's Python never holds it, and its JVM holds one block of
+    bytes per query that is run.
+    """
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _ in batches:
             yield pa.record_batch({"held": pa.array([json.dumps(rank_map(ranks_of(path)), separators=(",", ":"))])})
 
-    return spark.range(1, numPartitions=1).mapInArrow(built, "held string").first()["held"]
+    text = spark.range(1, numPartitions=1).mapInArrow(built, "held string")
+    return written(text.select(F.from_json("held", KIND).alias("held")), "ranks").scalar()
 
 
 def merged_ids(ids: list[int], by_pair: dict[tuple[int, int], int]) -> list[int]:
@@ -142,7 +143,7 @@ def merged_ids(ids: list[int], by_pair: dict[tuple[int, int], int]) -> list[int]
 
 
 class Fold:
-    """Ids of words, given the rank literal."""
+    """Ids of words, given the rank map."""
 
     def __init__(self, held: Column):
         self.held = held
@@ -217,15 +218,21 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out()
 
 
-def dictionaries(rows: DataFrame, path: str) -> str:
-    """The folder of the blocks' dictionaries: word and ids, a partition per block."""
+def folded(rows: DataFrame, path: str) -> DataFrame:
+    """The distinct words of ``rows``, the blocks that hold them, and their ids."""
     # a given number of partitions: folding costs time, not bytes, so few bytes must not be put into few tasks
     spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = 1 + rows.count() // (BLOCK_ROWS * LISTED)
     pairs = rows.select("block", "words").mapInArrow(_distinct, "block long, word string").withColumn("part", F.pmod("block", F.lit(lists)))
     words = pairs.repartition(spread, "word", "part").groupBy("word", "part").agg(F.collect_list("block").alias("blocks"))
-    folded = words.select("word", "blocks", bound(literal(rank_text(rows.sparkSession, path), KIND), lambda held: Fold(held)(F.col("word"))).alias("ids"))
-    return write_blocks(folded.select(F.explode("blocks").alias("block"), "word", "ids"), "dictionaries")
+    # subqueries may not stand within higher-order functions, so the optimiser puts the column into the fold, where it stands once
+    words = words.withColumn("held", rank_column(rows.sparkSession, path))
+    return words.select("word", "blocks", bound(F.col("held"), lambda held: Fold(held)(F.col("word"))).alias("ids"))
+
+
+def dictionaries(rows: DataFrame, path: str) -> str:
+    """The folder of the blocks' dictionaries: word and ids, a partition per block."""
+    return write_blocks(folded(rows, path).select(F.explode("blocks").alias("block"), "word", "ids"), "dictionaries")
 
 
 class Dictionary:

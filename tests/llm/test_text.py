@@ -57,6 +57,16 @@ def test_encoding_of_nothing(none):
     assert byte_bpe.round_trip(none, RANKS, public_tokenizers.PATTERN).collect() == []
 
 
+def test_plans_do_not_spell_out_the_ranks(make):
+    words = byte_bpe._blocks(make([(1, "some text"), (2, None)]), public_tokenizers.PATTERN)
+    found = byte_bpe.folded(words, RANKS)
+    plans = found._jdf.queryExecution()
+    assert all(len(plan.toString()) < 100_000 for plan in (plans.optimizedPlan(), plans.executedPlan()))
+    # the ranks stand within the fold, and are not copied into every row
+    assert " AS held#" not in plans.optimizedPlan().toString()
+    assert {r["word"] for r in found.collect()} == {"some", " text"}
+
+
 def test_vocabularies_with_words_no_merge_leads_to():
     ranks = [*((bytes([b]), b) for b in range(256)), (b"ab", 256), (b"xyz", 257)]
     held = byte_bpe.rank_map(ranks)
